@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, secrets, sharding
+from . import langid, mixing, packing, pii, secrets, sharding, tokencount
 
-MODULES = (pii, secrets, mixing, sharding)
+MODULES = (pii, secrets, mixing, packing, langid, tokencount, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
