@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, packing, pii, secrets, sharding, tokencount
+from . import ann, knn, langid, mixing, neardup, packing, pii, secrets, sharding, tokencount
 
-MODULES = (pii, secrets, mixing, packing, langid, tokencount, neardup, sharding)
+MODULES = (pii, secrets, mixing, packing, langid, tokencount, neardup, knn, ann, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
