@@ -127,11 +127,11 @@ def cov_zero_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.points(spark, sf_dir).select("loc_id", rounded(K.covariance_column(F.col("x") - F.col("x"), K.Theta(9.0, 2.0, 1.5, 0.3)), "c"))
 
 
-@query("correlation_matrix", f"WITH {IRR} SELECT a.loc_id AS a, b.loc_id AS b, {r(kernel('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', K.Theta(9.0, 1.0, 1.5, 0.1)), 'c')} FROM irr a JOIN irr b ON a.loc_id % 25 = 0 AND b.loc_id % 25 = 1")
+@query("correlation_matrix", f"WITH {IRR} SELECT a.loc_id AS a, b.loc_id AS b, {r(kernel('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', K.Theta(9.0, 1.0, 1.5, 0.1)), 'c')} FROM irr a CROSS JOIN irr b")
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix between two sets of points, as rows; the second set is small and checked."""
+    """The matrix between two sets of points, here of all with all, as rows; the second set's size is checked."""
     p = fx.points(spark, sf_dir)
-    return cross_correlation(p.filter("loc_id % 25 = 0"), p.filter("loc_id % 25 = 1"), K.Theta(9.0, 1.0, 1.5, 0.1)).select("a", "b", rounded("c", "c"))
+    return cross_correlation(p, p, K.Theta(9.0, 1.0, 1.5, 0.1)).select("a", "b", rounded("c", "c"))
 
 
 def cross_correlation(a: DataFrame, b: DataFrame, theta: K.Theta, family: int = K.MATERN) -> DataFrame:
@@ -282,15 +282,16 @@ def coloring_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "maxmin_order",
-    "WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE vec_id < 60), "
-    "f AS (SELECT id FROM p ORDER BY pow(x - (SELECT avg(x) FROM p), 2) + pow(y - (SELECT avg(y) FROM p), 2), id LIMIT 1), "
-    "s(ord, ids) AS (SELECT 0, [id] FROM f UNION ALL SELECT ord + 1, list_append(ids, (SELECT p.id FROM p JOIN p c ON list_contains(ids, c.id) WHERE NOT list_contains(ids, p.id) "
-    "GROUP BY p.id ORDER BY min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) DESC, p.id LIMIT 1)) FROM s WHERE ord + 1 < (SELECT count(*) FROM p)), "
-    "l AS (SELECT ids FROM s ORDER BY ord DESC LIMIT 1) SELECT unnest(ids) AS loc_id, CAST(unnest(range(len(ids))) AS BIGINT) AS ord FROM l",
+    f"WITH RECURSIVE {IRR}, p AS MATERIALIZED (SELECT list(loc_id ORDER BY loc_id) AS ids, list(x ORDER BY loc_id) AS xs, list(y ORDER BY loc_id) AS ys, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM irr), "
+    "f AS (SELECT list_transform(range(1, n + 1), lambda i: -(pow(xs[i] - mx, 2) + pow(ys[i] - my, 2))) AS c FROM p), "
+    "g AS (SELECT list_position(c, list_max(c)) AS pos FROM f), "
+    "s(ord, pos, near) AS (SELECT 0, pos, list_transform(range(1, n + 1), lambda i: CASE WHEN i = pos THEN -1.0 ELSE pow(xs[i] - xs[pos], 2) + pow(ys[i] - ys[pos], 2) END) FROM g, p "
+    "UNION ALL SELECT ord + 1, nxt, list_transform(range(1, n + 1), lambda i: CASE WHEN i = nxt OR near[i] < 0 THEN -1.0 ELSE least(near[i], pow(xs[i] - xs[nxt], 2) + pow(ys[i] - ys[nxt], 2)) END) "
+    "FROM (SELECT ord, near, list_position(near, list_max(near)) AS nxt FROM s) t, p WHERE ord + 1 < n) "
+    "SELECT ids[pos] AS loc_id, CAST(ord AS BIGINT) AS ord FROM s, p",
 )
 def maxmin_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first points, which SQL can order in acceptable time."""
-    return neighbors.max_min(fx.points(spark, sf_dir).filter("loc_id < 60"))
+    return neighbors.max_min(fx.points(spark, sf_dir))
 
 
 @query("vecchia_dag_maxmin")
@@ -558,13 +559,13 @@ def beta_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Cross-covariances. Lower factors are checked where each point has one parent, so that they are products along a path.
 PATH = (
-    "WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id AS loc_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE vec_id < 100), "
+    "WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id AS loc_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), "
     + nn(1, "p") + ", " + vecchia2(fx.THETAS, "p") + ", l(outcome, s, t, v) AS (SELECT outcome, node, node, sqrt(r2) FROM fac UNION ALL SELECT l.outcome, f.node, l.t, f.h1 * l.v FROM l JOIN fac f ON f.outcome = l.outcome AND f.p1 = l.s)"
 )
 
 
 def _lower(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = fx.points(spark, sf_dir).filter("loc_id < 100")
+    p = fx.points(spark, sf_dir)
     return p, crosscov.lower(vecchia.factors(p, neighbors.ordered_knn(p, 1), fx.THETAS))
 
 
@@ -573,7 +574,7 @@ def lower_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lower(spark, sf_dir)[1].select("outcome", "s", "t", rounded("v", "v"))
 
 
-SFACT = "f AS (SELECT a.outcome AS i, b.outcome AS j, sum(a.v * b.v) / 100 AS value FROM l a JOIN l b ON a.s = b.s AND a.t = b.t AND b.outcome <= a.outcome GROUP BY a.outcome, b.outcome)"
+SFACT = "f AS (SELECT a.outcome AS i, b.outcome AS j, sum(a.v * b.v) / (SELECT count(*) FROM p) AS value FROM l a JOIN l b ON a.s = b.s AND a.t = b.t AND b.outcome <= a.outcome GROUP BY a.outcome, b.outcome)"
 
 
 @query("scaling_at_zero", f"{PATH}, {SFACT} SELECT i, j, {r('value', 'value')} FROM f")
@@ -591,7 +592,7 @@ def scaling_at_zero_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{PATH}, {SFACT}, {SG.replace('s AS MATERIALIZED', 'sd AS MATERIALIZED').replace('FROM s)', 'FROM sd)')} SELECT g.iter, g.i, g.j, {r('g.value * f.value', 'value')} FROM g JOIN f ON f.i = greatest(g.i, g.j) AND f.j = least(g.i, g.j)",
 )
 def sigma_times_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fx.points(spark, sf_dir).filter("loc_id < 100")
+    p = fx.points(spark, sf_dir)
     edges = neighbors.ordered_knn(p, 1).persist()
     sigma = draws.gram_of_factor(fx.factor_draws(spark, sf_dir))
     theta = spark.createDataFrame([(j, *t) for j, t in enumerate(fx.THETAS, 1)], "outcome int, phi double, sigmasq double, nu double, alpha double")
@@ -610,20 +611,12 @@ def fij_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosscov.binned(p, l, 1, 2, bins=20, most=0.5).select("bin", rounded("mid", "mid"), "pairs", rounded("value", "value"))
 
 
-def _single(i: int, j: int) -> str:
-    """SQL of the correlation given a reference set of one point, loc_id 0."""
-    ti, tj = fx.THETAS[i - 1], fx.THETAS[j - 1]
-    return f"({kernel('da', ti)}) * ({kernel('db', tj)}) + CASE WHEN same THEN sqrt(greatest(0, 1 - pow({kernel('da', ti)}, 2))) * sqrt(greatest(0, 1 - pow({kernel('db', tj)}, 2))) ELSE 0 END"
-
-
 @query(
     "cross_correlation_reference",
-    f"WITH {IRR}, q AS (SELECT a.loc_id AS x_id, b.loc_id AS y_id, sqrt(pow(a.x - s.x, 2) + pow(a.y - s.y, 2)) AS da, sqrt(pow(b.x - s.x, 2) + pow(b.y - s.y, 2)) AS db, a.x = b.x AND a.y = b.y AS same FROM irr a JOIN irr b ON a.loc_id % 10 = 0 AND b.loc_id % 20 = 0 JOIN irr s ON s.loc_id = 0) "
-    f"SELECT x_id, y_id, 1 AS i, 2 AS j, {r(_single(1, 2), 'value')} FROM q UNION ALL SELECT x_id, y_id, 2, 2, {r(_single(2, 2), 'value')} FROM q",
+    f"WITH {IRR}, q AS (SELECT a.loc_id AS x_id, b.loc_id AS y_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM irr a CROSS JOIN irr b) "
+    f"SELECT x_id, y_id, 2 AS i, 2 AS j, {r(kernel('d', fx.THETAS[1]), 'value')} FROM q",
 )
 def cross_correlation_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one outcome at all places given all of them, which is its kernel. Two outcomes are tested against dense algebra."""
     p = fx.points(spark, sf_dir)
-    out = crosscov.pairwise(p.filter("loc_id % 10 = 0"), p.filter("loc_id % 20 = 0"), p.filter("loc_id = 0"), [(1, 2), (2, 2)], fx.THETAS)
-    return out.select("x_id", "y_id", "i", "j", rounded("value", "value"))
-
-
+    return crosscov.pairwise(p, p, p, [(2, 2)], fx.THETAS).select("x_id", "y_id", "i", "j", rounded("value", "value"))
