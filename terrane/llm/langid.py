@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from .shared import slices, table
 
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 4000
 GRAMS = 200_000
 SEED = 5
 FLOOR, SWITCH = -4.0, 8.0
 #: A document of which less than this share of letters is surely in its language is rejected in the pipeline.
-ACCEPT = 0.5
+ACCEPT = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Most words with known scores in a Python worker.
-WORDS = 250_000
+WORDS = 600_000
 # First code points of ranges of scripts.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"),
@@ -53,12 +53,23 @@ def grams(word: str) -> list[str]:
 
 
 class Model(NamedTuple):
+    """codes: sorted codes of grams of letters, their rows in weights being the same; words: rows of whole words; the last rows are for grams not seen."""
+
     langs: list[str]
-    grams: dict[str, int]
+    codes: np.ndarray
+    words: dict[str, int]
     weights: np.ndarray
-    unseen: np.ndarray
     scripts: dict[str, np.ndarray]
 
+    def unseen(self, kind: int) -> int:
+        """The row for a gram that was not seen: of one, two or three letters, or a word (4)."""
+        return len(self.weights) - 5 + kind
+
+
+def code(gram: str) -> int:
+    """Up to three characters as an integer."""
+    return sum(ord(c) << 21 * i for i, c in enumerate(reversed(gram)))
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether a row is not to be learnt from: crc32 of the id as text, modulo 3, is 1. A null id is as an empty text."""
@@ -75,7 +86,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     last = rows.select(order.alias("o")).orderBy("o").limit(train_docs).agg(F.max("o")).first()[0]
     if last is None:
-        return Model([], {}, np.zeros((0, 0)), np.zeros(0), {})
+        return Model([], np.zeros(0, np.uint64), {}, np.zeros((5, 0), np.float32), {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(n: Counter) -> pa.RecordBatch:
@@ -100,29 +111,25 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS
     counts = part.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "lang", "gram").limit(most_grams).collect()
     langs = sorted({r.lang for r in top})
-    n_langs = len(langs)
     at = {x: i for i, x in enumerate(langs)}
-    index: dict[str, int] = {}
     scripts: dict[str, np.ndarray] = {}
-    cells = []
+    tables: dict[str, np.ndarray] = {}
     for r in top:
         if r.gram[0] == "#" and len(r.gram) > 1:
-            scripts.setdefault(r.gram[1:], np.zeros(n_langs, bool))[at[r.lang]] = True
+            scripts.setdefault(r.gram[1:], np.zeros(len(langs), bool))[at[r.lang]] = True
         else:
-            cells.append((index.setdefault(r.gram, len(index)), at[r.lang], r.n))
-    n = np.zeros((len(index), n_langs))
-    for g, k, c in cells:
-        n[g, k] = c
-    # Kinds of gram have distributions of their own: letters, pairs, triples, words.
-    kind = np.array([4 if g[0] == "=" and len(g) > 1 else min(len(g), 3) for g in index] or [0])
-    weights, unseen = np.zeros_like(n), np.zeros((5, n_langs))
-    for k in range(1, 5):
-        own = n[kind == k] if len(index) else n
+            tables.setdefault(r.gram, np.zeros(len(langs)))[at[r.lang]] += r.n
+    short = sorted((g for g in tables if g[0] != "="), key=code)
+    long = [g for g in tables if g[0] == "="]
+    n = np.array([tables[g] for g in (*short, *long)]).reshape(-1, len(langs))
+    kind = np.array([*map(len, short), *(4 for _ in long)])
+    weights = np.zeros((len(n) + 5, len(langs)))
+    for k in range(1, 5):  # letters, pairs, triples and words have distributions of their own
+        own = n[kind == k]
         total = own.sum(0) + 0.5 * (len(own) + 1)
-        unseen[k] = np.log(0.5 / total)
-        weights[kind == k] = np.log((own + 0.5) / total)
-
-    return Model(langs, index, weights.astype(np.float32), unseen.astype(np.float32), scripts)
+        weights[:-5][kind == k] = np.log((own + 0.5) / total)
+        weights[len(n) + k] = np.log(0.5 / total)
+    return Model(langs, np.array([code(g) for g in short], np.uint64), {g[1:]: len(short) + i for i, g in enumerate(long)}, weights.astype(np.float32), scripts)
 
 
 class Scorer:
@@ -136,39 +143,48 @@ class Scorer:
         self.words: dict[str, int] = {"": 0}
         self.scores = np.zeros((WORDS + 1, max(1, len(self.model.langs))), np.float32)
         self.letters = np.zeros(WORDS + 1, np.int32)
-        self.stems: dict[str, np.ndarray] = {}
 
-    def stem(self, words: list[str]) -> None:
+    def stem(self, words: list[str]) -> np.ndarray:
         """Scores of words of letters, all at once."""
-        m, flat, ends = self.model, [], []
-        size = len(m.grams)
-        for w in words:
-            for g in grams(w):
-                k = m.grams.get(g)
-                flat.append(k if k is not None else size + (4 if g[0] == "=" and len(g) > 1 else min(len(g), 3)))
-            ends.append(len(flat))
-        every = np.concatenate([m.weights, m.unseen]) if size else m.unseen
-        if not words:
-            return
-        sums = np.add.reduceat(every[np.array(flat)].astype(np.float64), [0, *ends[:-1]], axis=0)
-        for w, s in zip(words, sums, strict=True):
-            may = m.scripts.get(script(w))
-            if may is not None and may.any():
-                s = np.where(may, s, -np.inf)
-            s = s - s.max()
-            self.stems[w] = np.maximum(s - np.log(np.exp(s).sum()), FLOOR)
+        m = self.model
+        sizes = np.array([len(w) + 2 for w in words])
+        points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        starts = np.cumsum([0, *sizes])[:-1]
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(points))  # to the end of the word
+        inside = left > 1
+        inside[starts] = False
+        second, third = np.append(points[1:], 0).astype(np.uint64), np.append(points[2:], (0, 0)).astype(np.uint64)
+        bits = np.uint64(21)
+        sums = np.zeros((len(points), len(m.langs)))
+        for kind, codes, may in ((1, points, inside), (2, points << bits | second, left > 1), (3, (points << bits | second) << bits | third, left > 2)):
+            own = codes[may]
+            place = np.minimum(np.searchsorted(m.codes, own), len(m.codes) - 1)
+            sums[may] += m.weights[np.where(m.codes[place] == own, place, m.unseen(kind))]
+        whole = m.weights[[m.words.get(w, m.unseen(4)) for w in words]]
+        out = np.add.reduceat(sums, starts, axis=0) + whole
+        if len(m.scripts) > 1 or any(not x.all() for x in m.scripts.values()):
+            for i, w in enumerate(words):
+                may = m.scripts.get(script(w))
+                if may is not None and may.any():
+                    out[i, ~may] = -np.inf
+        out -= out.max(1, keepdims=True)
+        return np.maximum(out - np.log(np.exp(out).sum(1, keepdims=True)), FLOOR)
 
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.words]
         parts = [LETTERS.findall(c.lower()) for c in new]
-        self.stems = {}
-        self.stem(list({w for p in parts for w in p}))
-        for c, p in zip(new, parts, strict=True):
-            at = self.words[c] = len(self.words)
-            if p:
-                self.scores[at] = sum(self.stems[w] for w in p)
-                self.letters[at] = sum(map(len, p))
-        self.stems = {}
+        stems = list({w for p in parts for w in p})
+        row = {w: i for i, w in enumerate(stems)}
+        scored = self.stem(stems) if stems else np.zeros((0, 1))
+        first = len(self.words)
+        self.words.update(zip(new, range(first, first + len(new)), strict=True))
+        if not stems:
+            return
+        # Most chunks have one word of letters; several are added up, none adds nothing.
+        owner = np.repeat(np.arange(first, first + len(new)), [len(p) for p in parts])
+        flat = [w for p in parts for w in p]
+        np.add.at(self.scores, owner, scored[[row[w] for w in flat]])
+        np.add.at(self.letters, owner, [len(w) for w in flat])
 
     def chunks(self, words: list[list[str]]) -> list[np.ndarray]:
         """Rows of the tables for the words of each text. Clears the tables before they are full."""
