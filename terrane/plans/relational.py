@@ -620,3 +620,26 @@ def cross_correlation_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of one outcome at all places given all of them, which is its kernel. Two outcomes are tested against dense algebra."""
     p = fx.points(spark, sf_dir)
     return crosscov.pairwise(p, p, p, [(2, 2)], fx.THETAS).select("x_id", "y_id", "i", "j", rounded("value", "value"))
+
+
+def _theta_draws(spark: SparkSession) -> DataFrame:
+    """Three draws of one theta."""
+    rows = [(1, it, j, *t) for it in (1, 2, 3) for j, t in enumerate(fx.THETAS, 1)]
+    return spark.createDataFrame(rows, "chain int, iter int, outcome int, phi double, sigmasq double, nu double, alpha double")
+
+
+@query("fij_at_zero_draws", f"{PATH}, {SFACT} SELECT CAST(iter AS INTEGER) AS iter, i, j, {r('value', 'value')} FROM f CROSS JOIN range(1, 4) t(iter)")
+def fij_at_zero_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors at zero by draw; equal thetas are computed once."""
+    p = fx.points(spark, sf_dir)
+    edges = neighbors.ordered_knn(p, 1).persist()
+    out = crosscov.by_theta(_theta_draws(spark), lambda t: crosscov.at_zero(crosscov.lower(vecchia.factors(p, edges, t))))
+    return out.select("iter", "i", "j", rounded("value", "value"))
+
+
+@query("fij_bins_draws", ORACLES["fij_bins"].replace("SELECT bin, round", "SELECT CAST(iter AS INTEGER) AS iter, bin, round").replace("FROM e GROUP BY bin", "FROM e CROSS JOIN range(1, 4) t(iter) GROUP BY bin, iter"))
+def fij_bins_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.points(spark, sf_dir)
+    edges = neighbors.ordered_knn(p, 1).persist()
+    out = crosscov.by_theta(_theta_draws(spark), lambda t: crosscov.binned(p, crosscov.lower(vecchia.factors(p, edges, t)), 1, 2, bins=20, most=0.5))
+    return out.select("iter", "bin", rounded("mid", "mid"), "pairs", rounded("value", "value"))
