@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.neighbors import ranked
+
 
 def thin(rows: DataFrame, most: int, key: str) -> DataFrame:
     """At most `most` rows evenly spaced in the order of key: positions round(seq(1, n, length)), halves to even."""
@@ -16,8 +18,7 @@ def thin(rows: DataFrame, most: int, key: str) -> DataFrame:
         return rows.limit(0)
     step = (n - 1) / (size - 1) if size > 1 else 0.0
     keep = rows.sparkSession.range(size).select(F.bround(1 + F.col("id") * F.lit(step)).cast("long").alias("nth"))
-    nth = F.row_number().over(Window.orderBy(key)).cast("long")
-    return rows.withColumn("nth", nth).join(F.broadcast(keep), "nth", "left_semi").drop("nth")  # `most` rows
+    return ranked(rows, key).withColumn("nth", F.col("ord") + 1).join(F.broadcast(keep), "nth", "left_semi").drop("nth", "ord")  # `most` rows
 
 
 def tail(draws: DataFrame, k: int) -> DataFrame:
@@ -31,13 +32,14 @@ def running_mean(draws: DataFrame, burn: int | None = None) -> DataFrame:
     w = Window.partitionBy("chain", "param", "i", "j").orderBy("iter")
     if burn is None:
         return draws.select("chain", "param", "i", "j", "iter", F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("mean"))
-    # m_t = (1 - a_t) m_(t-1) + a_t x_t is a sum of x_s weighted by a_s prod(1 - a_u) over u > s.
-    nth = F.row_number().over(w)
-    steps = draws.select("chain", "param", "i", "j", "iter", "value", nth.alias("t"))
-    a = F.when(F.col("t") <= burn, F.lit(1.0)).otherwise(F.pow((F.col("t") - burn + 1).cast("double"), F.lit(-0.65)))
-    steps = steps.withColumn("a", a).withColumn("xs", F.collect_list(F.struct("a", "value")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    fold = F.aggregate("xs", F.lit(0.0), lambda m, x: m + x["a"] * (x["value"] - m))
-    return steps.select("chain", "param", "i", "j", "iter", fold.alias("mean"))
+    # Behind the burn-in m_t = (1 - a_t) m_(t-1) + a_t x_t, so m_t / P_t is a running sum, P_t being the product of the 1 - a.
+    steps = draws.select("chain", "param", "i", "j", "iter", "value", F.row_number().over(w).alias("t"))
+    a = F.when(F.col("t") > burn, F.pow((F.col("t") - burn + 1).cast("double"), F.lit(-0.65)))
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("a", a).withColumn("p", F.exp(F.coalesce(F.sum(F.ln(1 - F.col("a"))).over(before), F.lit(0.0))))
+    first = F.coalesce(F.max(F.when(F.col("t") == burn, F.col("value"))).over(Window.partitionBy("chain", "param", "i", "j")), F.lit(0.0))
+    later = F.col("p") * (first + F.coalesce(F.sum(F.col("a") * F.col("value") / F.col("p")).over(before), F.lit(0.0)))
+    return steps.select("chain", "param", "i", "j", "iter", F.when(F.col("t") <= burn, F.col("value")).otherwise(later).alias("mean"))
 
 
 def entry_covariance(draws: DataFrame) -> DataFrame:

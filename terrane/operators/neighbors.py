@@ -61,13 +61,13 @@ def ordered_knn_cells(points: DataFrame, m: int) -> DataFrame:
     return _by_cells(a, b, m, ordered=True)
 
 
-def ranked(points: DataFrame) -> DataFrame:
-    """points with ord, their rank by loc_id from 0: ranges are sorted apart, then counted on."""
+def ranked(points: DataFrame, key: str = "loc_id") -> DataFrame:
+    """points with ord, their rank by a key from 0: ranges are sorted apart, then counted on."""
     parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = points.repartitionByRange(parts, "loc_id").withColumn("part", F.spark_partition_id()).persist()
+    rows = points.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()).persist()
     ahead = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = rows.groupBy("part").count().select("part", ahead.alias("first"))  # a row for each partition
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("loc_id")) - 1
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
     return rows.withColumn("nth", nth).join(F.broadcast(firsts), "part").withColumn("ord", F.col("first") + F.col("nth")).drop("part", "nth", "first")
 
 
@@ -113,17 +113,24 @@ def _by_cells(a: DataFrame, b: DataFrame, m: int, ordered: bool) -> DataFrame:
 
 
 def grid_check(points: DataFrame, tolerance: float = math.sqrt(np.finfo(float).eps)) -> DataFrame:
-    """One row: nx, ny, n, gridded: whether the points are all of a rectangle of equal steps in each direction."""
+    """One row: nx, ny, n, gridded: whether the points are all of a rectangle of equal steps in each direction.
 
-    def axis(c: str) -> DataFrame:
-        step = F.col(c) - F.lag(c).over(Window.orderBy(c))
-        steps = points.select(c).distinct().withColumn("step", step)
-        return steps.agg(F.count("*").alias(f"n{c}"), F.coalesce(F.max("step") - F.min("step"), F.lit(0.0)).alias(f"gap_{c}"))
+    By aggregates only: each coordinate must be a whole number of mean steps from the first, all numbers being there.
+    """
+    size = points.agg(*(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max), ("n", F.count_distinct))), F.count_distinct("x", "y").alias("n"))
+
+    def nth(c: str) -> Column:
+        step = (F.col(f"high_{c}") - F.col(f"low_{c}")) / (F.col(f"n_{c}") - 1)
+        return F.when(F.col(f"n_{c}") > 1, F.round((F.col(c) - F.col(f"low_{c}")) / step)).otherwise(0.0)
+
+    def off(c: str) -> Column:
+        step = (F.col(f"high_{c}") - F.col(f"low_{c}")) / (F.col(f"n_{c}") - 1)
+        return F.when(F.col(f"n_{c}") > 1, F.abs(F.col(c) - F.col(f"low_{c}") - nth(c) * step)).otherwise(0.0)
 
-    n = points.select("x", "y").distinct().agg(F.count("*").alias("n"))
-    one = axis("x").crossJoin(axis("y")).crossJoin(n)  # single rows
-    gridded = (F.col("nx") * F.col("ny") == F.col("n")) & (F.col("gap_x") <= tolerance) & (F.col("gap_y") <= tolerance)
-    return one.select("nx", "ny", "n", gridded.alias("gridded"))
+    every = points.crossJoin(F.broadcast(size))  # one row
+    told = every.groupBy("n_x", "n_y", "n").agg(*(F.max(off(c)).alias(f"off_{c}") for c in "xy"), *(F.count_distinct(nth(c)).alias(f"there_{c}") for c in "xy"))
+    even = (F.greatest("off_x", "off_y") <= tolerance) & (F.col("there_x") == F.col("n_x")) & (F.col("there_y") == F.col("n_y"))
+    return told.select(F.col("n_x").alias("nx"), F.col("n_y").alias("ny"), "n", ((F.col("n_x") * F.col("n_y") == F.col("n")) & even).alias("gridded"))
 
 
 def stencil(m: int) -> list[tuple[int, int]]:
