@@ -36,6 +36,8 @@ ROWS, MANTISSA, MISS = 4, 10, 1e-8
 #: Standard errors by which an estimate may be below the threshold.
 MARGIN = 5.0
 BLOCK = 2048
+#: Bits of the filter that texts pass before they are shuffled: at most so many are broadcast, 8 MB.
+FILTER_BITS = 1 << 26
 WORDS = 250_000
 
 
@@ -139,7 +141,7 @@ def cutoff(percent: int, n: int) -> float:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), set_id, registers and keys of every row; the last three null for an empty set."""
+    """doc_id, n (size of the set), set_id and registers of every row; the last two null for an empty set."""
     n = bands(percent) * ROWS
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -150,17 +152,15 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
             regs: list = [None] * len(sets)
-            bands_: list = [None] * len(sets)
             ids: list = [None] * len(sets)
             if len(full):
                 starts = np.cumsum([0, *sizes[full]])[:-1]
-                r = sketch(np.concatenate([sets[i] for i in full]), starts, n)
-                for i, own, k in zip(full, r, keys(r), strict=True):
-                    regs[i], bands_[i], ids[i] = own.tobytes(), k, hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands_, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_id", "registers", "keys"])
+                for i, own in zip(full, sketch(np.concatenate([sets[i] for i in full]), starts, n), strict=True):
+                    regs[i], ids[i] = own.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_id", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, set_id binary, registers binary, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, set_id binary, registers binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,8 +188,8 @@ def blocks(rows: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
     is_rest: the row stands for the rest of block i; is_all: for the nodes of block j. Groups without rest are left out.
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("size"), F.sum(F.col("rest").cast("long")).alias("rests")).filter("rests > 0 and size > 1")
-    sizes = sizes.select(F.col(group).alias("g"), F.ceil(F.col("size") / block).cast("int").alias("nj"), F.ceil(F.col("rests") / block).cast("int").alias("ni"))
-    dealt = rows.join(sizes, rows[group] == sizes["g"]).drop("g")
+    sizes = sizes.select(F.col(group).alias("of_group"), F.ceil(F.col("size") / block).cast("int").alias("nj"), F.ceil(F.col("rests") / block).cast("int").alias("ni"))
+    dealt = rows.join(sizes, rows[group] == sizes["of_group"]).drop("of_group")
     dealt = dealt.withColumn("own_j", F.pmod(F.xxhash64("node"), "nj")).withColumn("own_i", F.pmod(F.xxhash64("node", F.lit(1)), "ni"))
     i = F.sequence(F.lit(0), F.col("ni") - 1)
     as_all = F.transform(i, lambda x: F.struct(x.cast("long").alias("i"), F.col("own_j").cast("long").alias("j"), (F.col("rest") & (x == F.col("own_i"))).alias("is_rest"), F.lit(True).alias("is_all")))
@@ -276,9 +276,16 @@ def near_center(percent: int, n: int) -> Column:
 
 
 def clusters(nodes: DataFrame, percent: int) -> DataFrame:
-    """Ties (a, b) of nodes (node, n, registers, keys): every pair that may be linked is connected by them."""
+    """Ties (a, b) of nodes (node, n, registers): every pair that may be linked is connected by them."""
     width = bands(percent) * ROWS
-    members = nodes.select("node", F.explode("keys").alias("key"))
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            own = keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, width))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), own.shape[1]))), pa.array(own.ravel())], ["node", "key"])
+
+    members = nodes.select("node", "registers").mapInArrow(members_of, f"node {kind}, key bigint")
     counts = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = durable(members.join(counts, "key"))
     known = shared.groupBy("node").agg(F.sum("size").alias("known"))
@@ -292,22 +299,32 @@ def clusters(nodes: DataFrame, percent: int) -> DataFrame:
     judged = durable(pairs.withColumn("near", near_center(percent, width)).select("node", "center", "near"))
     ties = judged.filter("near").select(F.col("node").alias("a"), F.col("center").alias("b"))
     # Keys with nodes that are far from the center: those nodes against all of the key.
-    by_key = edges.join(judged, ["node", "center"]).select("key", "node", (~F.col("near")).alias("rest"))
-    by_key = by_key.unionByName(centers.select("key", F.col("center").alias("node"), F.lit(False).alias("rest")))
+    # Where a key has but two nodes, that was their comparison.
+    more = shared.filter("size > 2").join(centers, "key")
+    by_key = more.filter("node != center").join(judged, ["node", "center"]).select("key", "node", (~F.col("near")).alias("rest"))
+    by_key = by_key.unionByName(more.filter("node = center").select("key", "node", F.lit(False).alias("rest")))
     dealt = blocks(by_key, "key").join(slim, "node")
 
     def of_task(pdf: pd.DataFrame) -> pd.DataFrame:
         return compare(pdf, percent, exact=False)
 
-    kind = nodes.schema["node"].dataType.simpleString()
     far = dealt.groupBy("key", "i", "j").applyInPandas(of_task, f"a {kind}, b {kind}")
-    return ties.unionByName(far)
+    return durable(ties.unionByName(far))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """The sets of nodes (node): node, n, hashes. Rows of the node's id are read; there is a row for each."""
+    """The sets of nodes (node): node, n, hashes. Rows of the node's id are read; there is a row for each.
+
+    Most texts are no node's that has a likeness. A filter of FILTER_BITS bits, broadcast, keeps them out of the shuffle; the
+    join behind it is exact, however full the filter is.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    ids = nodes.select(F.col("node").alias("doc_id"))
+    maps = ids.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
+    marked = docs.select("doc_id", "text").withColumns({"bucket": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "bucket")
+    inside = F.expr("shiftright(cast(conv(hex(substring(map, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1 = 1")
+    texts = marked.filter(inside).select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
@@ -349,7 +366,7 @@ def dedup(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     rows = durable(signatures(docs, size, percent))
     full = rows.filter("n > 0 and doc_id is not null")
     own = full.groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    sketches = full.select("doc_id", "set_id", "n", "registers", "keys")
+    sketches = full.select("doc_id", "set_id", "n", "registers")
     nodes = sketches.join(own, (sketches["set_id"] == own["set_id"]) & (sketches["doc_id"] == own["node"])).drop(own["set_id"]).drop("doc_id").dropDuplicates(["set_id"])
     nodes = durable(nodes)
     ties = clusters(nodes, percent)
