@@ -7,8 +7,9 @@ it would have to move to reach a node's side, and visits leaves until they hold
 have in common with it, LEAST rows at least. The candidates in the visited leaves are then ranked by their exact
 inner products.
 
-Leaves with many rows are dealt in blocks. A bounded part of the sample tells each query a score that K rows reach;
-leaf candidates below it are left in the task that found them. Those K rows are candidates too. Trees and sample are
+Leaves with many rows are dealt in blocks. A bounded part of the sample, KNOWN rows, tells each query a score that K rows
+reach; leaf candidates below it are left in the task that found them. Those K rows are candidates too, so up to
+KNOWN rows the search is exact. Trees and sample are
 broadcast; SAMPLE bounds them.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import durable, table
 from .vectors import BLOCK, best, in_slices, matrix, one_width, valid
 
-TREES, LEAF, SAMPLE, KNOWN, SEED = 8, 64, 16_384, 1_024, 9
+TREES, LEAF, SAMPLE, KNOWN, SEED = 8, 64, 16_384, 8_192, 9
 #: Share of the rows that a query looks at, and the least number. In high dimensions without clusters much is needed.
 SHARE, LEAST = 0.6, 4_000
 K, EVERY = 20, 20
@@ -162,7 +163,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, share: float = SH
             margins = [flat @ t.directions.T - t.cuts for t in forest_]
             scores = q @ some.T
             scores[ids[:, None] == some_ids[None, :]] = -np.inf
-            order = np.argsort(-scores, axis=1)[:, :k]
+            order = np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k]
+            order = np.take_along_axis(order, np.argsort(-np.take_along_axis(scores, order, 1), axis=1), 1)
             edge = np.take_along_axis(scores, order[:, -1:], 1)[:, 0] if order.shape[1] == k else np.full(len(q), -np.inf)
             to, tree, leaf, part = [], [], [], []
             for i in range(len(q)):
@@ -185,12 +187,10 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, share: float = SH
 
     queries = whole.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     sent = queries.mapInArrow(route, "query_id bigint, q array<double>, edge double, tree int, leaf int, part int, sure array<struct<vec_id: bigint, score: double>>")
-    split = {key: n for key, n in parts.items() if n > 1}
-    n_parts = F.lit(1)
-    if split:
-        code = F.col("tree").cast("long") * (1 << 32) + F.col("leaf")
-        n_parts = F.coalesce(F.create_map(*(F.lit(x) for (t, f), n in split.items() for x in ((t << 32) + f, n)))[code], F.lit(1))
-    data = placed.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), n_parts).cast("int"))
+    data = placed.withColumn("part", F.lit(0))
+    if split := [(t, f, n) for (t, f), n in parts.items() if n > 1]:  # leaves of a bounded sample
+        large = F.broadcast(spark.createDataFrame(split, "tree int, leaf int, parts int"))
+        data = placed.join(large, ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
     def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found: list = [[], [], []]
