@@ -105,7 +105,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     keyed = fresh.select("blob_id", rule_of[F.col("kind")].alias("rule"), "spans")
     new = todo.join(keyed, ["blob_id", "rule"], "left").select("blob_id", "rule", F.col("spans").cast(SPANS).alias("spans"))
     known = keyed if ledger is None else keyed.unionByName(ledger.filter(F.col("rule").isin([r.key for r in rules]) & F.col("spans").isNotNull()).select("blob_id", "rule", F.col("spans").cast(SPANS).alias("spans")).dropDuplicates(["blob_id", "rule"]))
-    by_blob = known.groupBy(F.col("blob_id").alias("found_id")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # Cut off, so that a blob of very many rows meets its findings in a join that can be split.
+    by_blob = durable(known.groupBy(F.col("blob_id").alias("found_id")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     paths = docs.select("doc_id", F.sha2(text, 256).alias("blob_id"), *(c for c in keep if c not in ("doc_id", "blob_id")))
     empty = F.array().cast(SPANS)
     found = paths.join(by_blob, paths["blob_id"] == by_blob["found_id"], "left").select("doc_id", "blob_id", F.coalesce("spans", empty).alias("spans"), *(c for c in keep if c != "doc_id"))
