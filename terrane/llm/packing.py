@@ -31,7 +31,7 @@ LENGTH = 4096
 WINDOW = 256
 QUADRATIC = 1 / 4096
 #: Most words with known ids in a Python worker, in each of two generations.
-WORDS = 200_000
+WORDS = 500_000
 PUNCTUATION = ".,;:!?|"
 #: Words of letters that are encoded in one call.
 JOINED = 1000
@@ -71,9 +71,8 @@ class Encoder:
         every, at = ids.tobytes(), [0, *(4 * stops).tolist()]
         return [every[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def ids_of(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if is_letters(w)]
-        rest = [w for w in words if not is_letters(w)]
+    def ids_of(self, plain: list[str], rest: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters and of others."""
         out = dict(zip(rest, self.whole(rest), strict=True))
         for i in range(0, len(plain), JOINED):
             some = plain[i : i + JOINED]
@@ -85,24 +84,28 @@ class Encoder:
         if len(known) >= WORDS:
             self.older = old = known
             self.words = known = {}
-        new, split = set(), []
+        plain, rest, split = set(), set(), []
         for w in words:
             if (ids := known.get(w)) is None:
                 if (ids := old.get(w)) is None:
-                    if w[-1] in PUNCTUATION and is_letters(w[:-1]):
+                    stem = w[:-1]
+                    if w[-1] not in PUNCTUATION:
+                        (plain if is_letters(w) else rest).add(w)
+                    elif is_letters(stem):
                         split.append(w)
-                        if w[:-1] not in words and (stem := known.get(w[:-1]) or old.get(w[:-1])) is not None:
-                            out[w[:-1]] = stem
-                        elif w[:-1] not in words:
-                            new.add(w[:-1])
+                        if stem not in words:
+                            if (own := known.get(stem) or old.get(stem)) is not None:
+                                out[stem] = own
+                            else:
+                                plain.add(stem)
                         if w[-1] not in words:
-                            new.add(w[-1])
+                            rest.add(w[-1])
                     else:
-                        new.add(w)
+                        rest.add(w)
                     continue
                 known[w] = ids
             out[w] = ids
-        fresh = self.ids_of(list(new))
+        fresh = self.ids_of(list(plain), list(rest))
         known.update(fresh)
         out.update(fresh)
         for w in split:
