@@ -86,7 +86,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").alias("path"), text).withColumn("blob_id", F.sha2("text", 256))
+    # A hash of the id, so that null ids are as others. Rows that share it within a blob have one text.
+    rows = docs.select(F.xxhash64("doc_id").alias("path"), text).withColumn("blob_id", F.sha2("text", 256))
     blobs = rows.groupBy("blob_id").agg(F.min("path").alias("path"))
     keys = F.array(*(F.lit(r.key) for r in rules))
     if ledger is None:
@@ -97,9 +98,10 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         blobs = blobs.select("blob_id", "path", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
     blobs = durable(blobs.filter(F.size("todo") > 0))
     one = blobs.select(F.col("blob_id").alias("b"), F.col("path").alias("p"), "todo").hint("shuffle_hash")
-    chosen = rows.join(one, (rows["blob_id"] == one["b"]) & rows["path"].eqNullSafe(one["p"]))
+    chosen = rows.join(one, (rows["blob_id"] == one["b"]) & (rows["path"] == one["p"])).select("blob_id", "path", "todo", "text")
+    chosen = chosen.dropDuplicates(["blob_id", "path"])  # one path a blob: one row of it, dealt as the join is
     span = F.struct("at", "rank", "kind", "upto")
-    fresh = durable(find(chosen.select("blob_id", "todo", "text"), rules).distinct().groupBy("blob_id", "kind").agg(F.collect_list(span).alias("spans")))
+    fresh = durable(find(chosen.select("blob_id", "todo", "text"), rules).groupBy("blob_id", "kind").agg(F.collect_list(span).alias("spans")))
     rule_of = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.key)))
     todo = blobs.select("blob_id", F.explode("todo").alias("rule"))
     keyed = fresh.select("blob_id", rule_of[F.col("kind")].alias("rule"), "spans")

@@ -106,6 +106,19 @@ def test_secrets_and_ledger(spark):
     assert {r["doc_id"]: len(r["spans"]) for r in later.collect()} == {k: len(v) for k, v in said.items()}
 
 
+def test_repeated_rows_and_null_ids_are_scanned_once(spark):
+    two = "secret=abcdefghijkl0123456789 and token=ABCDEFGHIJKLMNOPQRST"
+    rows = [(1, two), (1, two), (None, two + " x"), (None, two + " x"), (2, two + " y"), (None, two + " y"), (3, two + " y"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found, new = secrets.scan(docs, keep=("text",))
+    got = found.withColumn("clean", secrets.redact(F.col("text"), F.col("spans"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [f"{s['kind']}:{s['at']}:{s['upto']}" for s in r["spans"]] == brute_secrets(r["text"] or "")
+        assert r["text"] is None or r["clean"][:25] == "[secret] and [secret]" + r["text"][len(two) :]
+    assert all(len(r["spans"]) == 2 for r in new.filter("rule = 'assign@1' and spans is not null").collect())
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdefabcdefabcdef99 end"), (2, "nothing here"), (3, None)], "doc_id bigint, text string")
     found, _ = secrets.scan(docs, keep=("text",))
