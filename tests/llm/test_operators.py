@@ -119,6 +119,30 @@ def test_repeated_rows_and_null_ids_are_scanned_once(spark):
     assert all(len(r["spans"]) == 2 for r in new.filter("rule = 'assign@1' and spans is not null").collect())
 
 
+KEY = [("MIIE" + "aB3+/xYz" * 8)[:64] for _ in range(5)] + ["Kw=="]
+PEM_TEXTS = {  # name: text, and what is left of it
+    "whole": ("a\n-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(KEY) + "\n-----END RSA PRIVATE KEY-----\nb", "a\n[secret]\nb"),
+    "headers": ("-----BEGIN EC PRIVATE KEY-----\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,00\r\n\r\n" + "\r\n".join(KEY) + "\r\n-----END EC PRIVATE KEY----- b", "[secret] b"),
+    "no end": ("a -----BEGIN PRIVATE KEY-----\nDEK-Info: AES-128-CBC,00\n\n" + "\n".join(KEY) + "\nsome words follow", "a [secret]\nsome words follow"),
+    "no end, last": ("-----BEGIN PRIVATE KEY-----\n" + "\n".join(KEY[:-1] + ["abc"]), "[secret]"),
+    "no end, spaces": ("-----BEGIN PRIVATE KEY----- " + " ".join(KEY) + " and words", "[secret] and words"),
+    "escaped": ('{"k": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(KEY) + '\\n-----END PRIVATE KEY-----\\n"}', '{"k": "[secret]\\n"}'),
+    "escaped, no end": ('{"k": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(KEY) + '\\n"}', '{"k": "[secret]\\n"}'),
+    "two": ("-----BEGIN PRIVATE KEY-----\n" + "\n".join(KEY) + "\nwords between\n-----BEGIN PRIVATE KEY-----\n" + KEY[0] + "\n-----END PRIVATE KEY-----", "[secret]\nwords between\n[secret]"),
+    "mark alone": ("the line -----BEGIN PRIVATE KEY----- opens a key", "the line [secret] opens a key"),
+    "long": ("-----BEGIN PRIVATE KEY-----\n" + "\n".join(KEY[:1] * 20_000) + "\n" + "- -- " * 100_000, None),
+    "many marks": ("-----BEGIN PRIVATE KEY-----\n- " * 2_000, None),
+}
+
+
+def test_no_line_of_a_key_is_left(spark):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in PEM_TEXTS.items()], "doc_id string, text string")
+    found, _ = secrets.scan(docs, keep=("text",))
+    got = {r["doc_id"]: r["t"] for r in found.select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert {k: got[k] for k, (_, want) in PEM_TEXTS.items() if want is not None} == {k: want for k, (_, want) in PEM_TEXTS.items() if want is not None}
+    assert not any(x in got["long"] for x in KEY) and got["many marks"].count("[secret]") == 2_000
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é password=abcdefabcdefabcdef99 end"), (2, "nothing here"), (3, None)], "doc_id bigint, text string")
     found, _ = secrets.scan(docs, keep=("text",))
