@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
 
 Each pattern is matched in linear time whatever the text: repeats are possessive, starts are anchored by what
-precedes them, and e-mail addresses are found from their @. Cards must pass Luhn's check, IBANs mod 97. A
-span's score is its kind's prior, raised if one of the kind's context words stands within NEAR characters.
+precedes them, and e-mail addresses are found from their @. Cards must pass Luhn's check, IBANs mod 97,
+and those are cut at their country's length. A span's score is its kind's prior, raised if one of the kind's context words stands within NEAR characters.
 Base kinds (email, ip, card, phone) are kept at any score; iban and ssn need THRESHOLD.
 
 The work is row by row in Arrow slices: no shuffle, and memory bounded by a slice.
@@ -40,6 +40,18 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", re.A)
+IBAN_START = re.compile(r"\b[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])", re.A)
+IBAN_END = re.compile(r"[A-Z0-9]\b", re.A)
+# Lengths of IBANs by country, from the registry of ISO 13616.
+IBAN_LENGTHS = {
+    k: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB LC NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 33: "RU",
+    }.items()
+    for k in names.split()
+}
 SSN = re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", re.A)
 NOT_DIGIT = re.compile(r"[^0-9]+")
 NEARBY = {k: re.compile(r"(?:^|[^A-Za-z])(?:" + "|".join(words) + r")", re.I | re.A) for k, words in CONTEXT.items()}
@@ -66,6 +78,26 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, free
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """IBANs, whatever stands behind them: a match may run on into the words that follow, and is cut at its country's length.
+
+    Where that fails the whole match is tried, and where the country is not known every end of a word. A start
+    that gives none hides no later one. Each start looks at a bounded stretch.
+    """
+    free = 0
+    for s in IBAN_START.finditer(text):
+        if s.start() < free or not (m := IBAN.match(text, s.start())):
+            continue
+        ends = [e.end() for e in IBAN_END.finditer(text, m.start(), m.end() + 1) if e.end() <= m.end()][::-1]
+        if known := IBAN_LENGTHS.get(m[0][:2]):
+            ends = [e for e in ends if len(text[m.start() : e].replace(" ", "")) == known] + [m.end()]
+        for end in ends:
+            if 15 <= len(x := text[m.start() : end].replace(" ", "")) <= 34 and mod_97(x):
+                free = end
+                yield m.start(), end
+                break
+
+
 def proposals(text: str) -> Iterator[tuple[int, int, str]]:
     """Confirmed spans of every kind: start, end, kind; of one kind in order."""
     if "@" in text:
@@ -85,9 +117,8 @@ def proposals(text: str) -> Iterator[tuple[int, int, str]]:
         for m in PHONE.finditer(text):
             if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15:
                 yield m.start(), m.end(), "phone"
-    for m in IBAN.finditer(text):
-        if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod_97(x):
-            yield m.start(), m.end(), "iban"
+    for start, end in ibans(text):
+        yield start, end, "iban"
 
 
 def find(text: str | None) -> list[tuple[int, int, str, float]]:

@@ -68,6 +68,20 @@ def test_pii_scores():
     assert pii.find("call +1 (545) 555-9193")[0][3] > pii.find("xxxx +1 (545) 555-9193")[0][3]
 
 
+def test_ibans_before_words_and_numbers():
+    gb, flat, de, no = "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    for iban in (gb, flat, de, no):
+        for before in ("", "IBAN ", "AB12 "):
+            for after in ("", " BIC NWBKGB2L", " EUR 500", " IS MINE", " 500", " A", ". BIC", ", EUR", " Please", " and", " GBP 1234 5678 9012 3456"):
+                t = f"{before}{iban}{after}"
+                assert [x[:3] for x in pii.find(t) if x[2] == "iban"] == [(len(before), len(before) + len(iban), "iban")], t
+    assert [x[:2] for x in pii.find(f"{gb} {de} {no}") if x[2] == "iban"] == [(0, 27), (28, 55), (56, 74)]
+    unlisted = "ZZ" + next(f"{c:02d}" for c in range(2, 99) if pii.mod_97(f"ZZ{c:02d}ABCD1234567890")) + " ABCD 1234 5678 90"
+    assert (0, len(unlisted), "iban") in [x[:3] for x in pii.find(f"{unlisted} BIC")]
+    for t in ("GB83 WEST 1234 5698 7654 32 BIC NWBKGB2L", flat + "EUR", flat + "x", flat + "_"):
+        assert not [x for x in pii.find(t) if x[2] == "iban"], t
+
+
 def test_pii_long_texts_take_linear_time():
     for t in ("a" * 200_000, "1" * 200_000, "@" * 200_000, "1." * 100_000, "a@" * 100_000, "AB12" * 50_000):
         pii.find(t)
