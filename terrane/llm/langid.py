@@ -4,8 +4,9 @@ Learning: grams of one to three letters and whole words, counted by language ove
 of at most TRAIN_DOCS documents in a seeded order. The counts are added up by Spark; the GRAMS most frequent
 reach the driver.
 
-Prediction: the scripts of a word's letters leave as candidates the languages learnt with that script. Each
-word has the log of each candidate's posterior, FLOOR at least. Viterbi with a price SWITCH for a change of
+Prediction: the script of a word's first letter leaves as candidates the languages learnt with that script. Grams
+that no language has weigh the same for all. A word of a script that no language was learnt with speaks for none of
+them: FLOOR for each, not their share, which would be sure enough with one or two languages. Each other word has the log of each candidate's posterior, FLOOR at least. Viterbi with a price SWITCH for a change of
 language labels the words, so spans come out. Most texts have one language; for those a bound tells that
 no switch can pay: within any stretch no other language gains more than SWITCH on the best one of the text.
 """
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from .shared import slices, table
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 6000
 GRAMS = 200_000
 SEED = 5
 FLOOR, SWITCH = -4.0, 8.0
 #: A document of which less than this share of letters is surely in its language is rejected in the pipeline.
-ACCEPT = 0.3
+ACCEPT = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Most words with known scores in a Python worker.
 WORDS = 600_000
@@ -128,7 +129,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS
         own = n[kind == k]
         total = own.sum(0) + 0.5 * (len(own) + 1)
         weights[:-5][kind == k] = np.log((own + 0.5) / total)
-        weights[len(n) + k] = np.log(0.5 / total)
+        weights[len(n) + k] = np.log(0.5 / total).mean()  # no evidence for any language
     return Model(langs, np.array([code(g) for g in short], np.uint64), {g[1:]: len(short) + i for i, g in enumerate(long)}, weights.astype(np.float32), scripts)
 
 
@@ -137,6 +138,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.may = np.array([model.scripts.get(x, np.zeros(len(model.langs), bool)) for x in NAMES])
         self.forget()
 
     def forget(self) -> None:
@@ -162,13 +164,13 @@ class Scorer:
             sums[may] += m.weights[np.where(m.codes[place] == own, place, m.unseen(kind))]
         whole = m.weights[[m.words.get(w, m.unseen(4)) for w in words]]
         out = np.add.reduceat(sums, starts, axis=0) + whole
-        if len(m.scripts) > 1 or any(not x.all() for x in m.scripts.values()):
-            for i, w in enumerate(words):
-                may = m.scripts.get(script(w))
-                if may is not None and may.any():
-                    out[i, ~may] = -np.inf
+        may = self.may[np.searchsorted(STARTS, points[starts + 1].astype(np.int64), "right") - 1]
+        learnt = may.any(1)
+        out[learnt[:, None] & ~may] = -np.inf
         out -= out.max(1, keepdims=True)
-        return np.maximum(out - np.log(np.exp(out).sum(1, keepdims=True)), FLOOR)
+        out = np.maximum(out - np.log(np.exp(out).sum(1, keepdims=True)), FLOOR)
+        out[~learnt] = FLOOR
+        return out
 
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.words]
@@ -259,7 +261,8 @@ def label(scorer: Scorer, texts: list[str | None]) -> list[tuple[str, float, lis
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """Language of every row of docs (doc_id, text): doc_id, lang_pred, score, spans, and the columns named in keep.
 
-    score: mean probability of lang_pred over the letters, 0 where another language was labelled. spans: stretches of
+    score: mean probability of lang_pred over the letters, 0 where another language was labelled and exp(FLOOR) in a
+    script that no language was learnt with. spans: stretches of
     words with one label, as words:language, comma-joined. Null text, or none with letters: und, 0 and no
     spans; and so without a language learnt. Repeated rows and null ids: a row each. No rows: none.
     """

@@ -238,6 +238,26 @@ def test_language_on_held_out_documents(spark):
     assert got["score"].between(0, 1).all()
 
 
+def test_texts_of_an_unlearnt_script_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    other = ["ёжик шёл домой по лесной дороге", "日本語の文章です", "η γάτα κάθεται στο χαλί", "ठीक है धन्यवाद"]
+    for labelled in (docs, docs.filter("lang in ('en', 'fr')"), docs.filter("lang = 'en'")):
+        scorer = langid.Scorer(langid.learn(labelled))
+        for text, (_, score, _) in zip(other, langid.label(scorer, other), strict=True):
+            assert score < langid.ACCEPT / 2, text
+    sure = [r["text"] for r in docs.filter("lang = 'en' and length(text) > 300").select("text").limit(20).collect()]
+    assert all(x[0] == "en" and x[1] >= langid.ACCEPT for x in langid.label(scorer, sure))
+
+
+def test_unseen_grams_are_neutral(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(60)] + [(100 + i, "le chat", "fr") for i in range(3)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.langs == ["en", "fr"]
+    assert np.allclose(np.exp(langid.Scorer(model).stem(["xyzzyx", "ßßßßßß"])), 0.5, atol=1e-4)
+    _, score, _ = langid.label(langid.Scorer(model), ["xyzzyx zyxxyz " * 9])[0]
+    assert score < 0.51
+
+
 def test_spans_of_mixed_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     scorer = langid.Scorer(langid.learn(docs))
