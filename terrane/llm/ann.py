@@ -7,9 +7,9 @@ it would have to move to reach a node's side, and visits leaves until they hold
 have in common with it, LEAST rows at least. The candidates in the visited leaves are then ranked by their exact
 inner products.
 
-Leaves with many rows are dealt in blocks. A bounded part of the sample, KNOWN rows, tells each query a score that K rows
-reach; leaf candidates below it are left in the task that found them. Those K rows are candidates too, so up to
-KNOWN rows the search is exact. Trees and sample are
+Leaves with many rows are dealt in blocks. Of a bounded part of the sample, KNOWN rows, those in a query's visited leaves
+tell it a score that K of its candidates reach; leaf candidates below it are left in the task that found them. So they
+shorten the lists and add or lose nothing: all candidates come from visited leaves. Trees and sample are
 broadcast; SAMPLE bounds them.
 """
 
@@ -80,8 +80,8 @@ def leaves(tree: Tree, x: np.ndarray) -> np.ndarray:
     return tree.leaf[at]
 
 
-def walk(forest: list[Tree], margins: list[np.ndarray], rows: int, enough: int) -> list[tuple[int, int]]:
-    """Leaves (tree, leaf) in the order of the shared queue, until they hold `enough` of the sample's rows."""
+def walk(forest: list[Tree], margins: list[np.ndarray], rows: int, enough: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Leaves (tree, leaf) in the order of the shared queue, until they hold `enough` of the sample's rows; which of these they hold."""
     queue = [(0.0, t, 0) for t in range(len(forest))]
     seen, held, out = np.zeros(rows, bool), 0, []
     while queue and held < enough:
@@ -97,7 +97,7 @@ def walk(forest: list[Tree], margins: list[np.ndarray], rows: int, enough: int)
         near, other = (tree.above[node], tree.below[node]) if m >= 0 else (tree.below[node], tree.above[node])
         heapq.heappush(queue, (far, t, int(near)))
         heapq.heappush(queue, (far + m * m, t, int(other)))
-    return out
+    return out, seen
 
 
 def one_length(x: np.ndarray, unit: float, longest: float) -> np.ndarray:
@@ -138,7 +138,11 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, share: float = SH
     known = np.array([r["v"] for r in picked])
     known_ids = np.array([r["vec_id"] for r in picked])
     rng = np.random.default_rng(SEED)
-    forest = [grow(one_length(known, unit, longest), LEAF, rng) for _ in range(trees)]
+    even = one_length(known, unit, longest)
+    forest = [grow(even, LEAF, rng) for _ in range(trees)]
+    # The rows of a leaf as every row is placed, in case rounding at a cut differs from what it was in growing.
+    forest = [t._replace(rows=[np.flatnonzero(own == i) for i in range(len(t.rows))]) for t in forest for own in [leaves(t, even)]]
+    some = np.sort(np.unique(known_ids[:KNOWN], return_index=True)[1])  # a row an id: repeated rows are one candidate
     shared = spark.sparkContext.broadcast((forest, unit, longest))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,53 +156,45 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, share: float = SH
     sizes = {(r["tree"], r["leaf"]): r["n"] for r in placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}  # leaves of a bounded sample
     parts = {key: -(-n // BLOCK) for key, n in sizes.items()}
     enough = int(np.ceil(len(known) * min(1.0, max(share, least / total))))
-    told = spark.sparkContext.broadcast((parts, known[:KNOWN], known_ids[:KNOWN], enough, len(known)))
+    told = spark.sparkContext.broadcast((parts, known[some], known_ids[some], some, enough, len(known)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest_, unit_, longest_ = shared.value
-        parts_, some, some_ids, enough_, rows = told.value
+        parts_, some_, some_ids, at, enough_, rows = told.value
         for b in in_slices(batches, 128):
             q, ids = matrix(b.column(1)), b.column(0).to_numpy()
             flat = np.column_stack([q / unit_, np.zeros(len(q))])
             margins = [flat @ t.directions.T - t.cuts for t in forest_]
-            scores = q @ some.T
+            scores = q @ some_.T
             scores[ids[:, None] == some_ids[None, :]] = -np.inf
-            order = np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k]
-            order = np.take_along_axis(order, np.argsort(-np.take_along_axis(scores, order, 1), axis=1), 1)
-            edge = np.take_along_axis(scores, order[:, -1:], 1)[:, 0] if order.shape[1] == k else np.full(len(q), -np.inf)
             to, tree, leaf, part = [], [], [], []
             for i in range(len(q)):
-                for t, f in walk(forest_, [m[i] for m in margins], rows, enough_):
+                visited, seen = walk(forest_, [m[i] for m in margins], rows, enough_)
+                scores[i, ~seen[at]] = -np.inf
+                for t, f in visited:
                     for p in range(parts_.get((t, f), 0)):
                         to.append(i)
                         tree.append(t)
                         leaf.append(f)
                         part.append(p)
-            sure = [[(int(some_ids[j]), float(np.dot(q[i], some[j]))) for j in order[i] if scores[i, j] > -np.inf] for i in range(len(q))]
-            first = np.zeros(len(to), bool)
-            first[np.unique(np.array(to, np.int64), return_index=True)[1] if to else []] = True
-            hits = [[{"vec_id": v, "score": s} for v, s in sure[i]] if f else None for i, f in zip(to, first, strict=True)]
+            edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
+            slack = 1e-9 * np.abs(edge) + 1e-12 * np.sqrt((q**2).sum(1) * (some_**2).sum(1).max())  # products rounded in another order
+            edge = np.where(np.isfinite(edge), edge - slack, -np.inf)
             pick = pa.array(to, pa.int64())
-            kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pick), b.column(1).take(pick), pa.array(edge - 1e-9 * np.abs(edge)).take(pick), *(pa.array(x, pa.int32()) for x in (tree, leaf, part)), pa.array(hits, kind)],
-                ["query_id", "q", "edge", "tree", "leaf", "part", "sure"],
+                [b.column(0).take(pick), b.column(1).take(pick), pa.array(edge).take(pick), *(pa.array(x, pa.int32()) for x in (tree, leaf, part))],
+                ["query_id", "q", "edge", "tree", "leaf", "part"],
             )
 
     queries = whole.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    sent = queries.mapInArrow(route, "query_id bigint, q array<double>, edge double, tree int, leaf int, part int, sure array<struct<vec_id: bigint, score: double>>")
+    sent = queries.mapInArrow(route, "query_id bigint, q array<double>, edge double, tree int, leaf int, part int")
     data = placed.withColumn("part", F.lit(0))
     if split := [(t, f, n) for (t, f), n in parts.items() if n > 1]:  # leaves of a bounded sample
         large = F.broadcast(spark.createDataFrame(split, "tree int, leaf int, parts int"))
         data = placed.join(large, ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
     def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list = [[], [], []]
-        for row in left.select(["query_id", "sure"]).filter(left["sure"].is_valid()).to_pylist():
-            for s in row["sure"]:
-                for to, value in zip(found, (row["query_id"], s["vec_id"], s["score"]), strict=True):
-                    to.append(value)
-        found = [[np.array(x)] for x in found]
+        found: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
             x, ids, own = matrix(right["v"].combine_chunks()), right["vec_id"].to_numpy(), left["query_id"].to_numpy()
             q, edge = matrix(left["q"].combine_chunks()), left["edge"].to_numpy()

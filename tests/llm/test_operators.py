@@ -396,6 +396,27 @@ def test_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_candidates_come_from_visited_leaves(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 12))
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.search(rows, every=50, share=0.1, least=1, sample_rows=1500).toPandas()
+    unit = np.abs(x).max()
+    longest = np.sqrt(((x / unit) ** 2).sum(1)).max()
+    even, seed = ann.one_length(x, unit, longest), np.random.default_rng(ann.SEED)
+    forest, recall = [ann.grow(even, ann.LEAF, seed) for _ in range(ann.TREES)], []
+    for q in range(0, 1500, 50):
+        flat = np.append(x[q] / unit, 0.0)
+        _, seen = ann.walk(forest, [t.directions @ flat - t.cuts for t in forest], 1500, 150)
+        assert 150 <= seen.sum() < 300
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.argsort(-np.where(seen, s, -np.inf))[:20]
+        assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == best.tolist()
+        recall.append(len(set(best) & set(np.argsort(-s)[:20])) / 20)
+    assert np.mean(recall) < 1
+
+
 # Sharding.
 def test_cut_is_minimax():
     r = random.Random(4)
