@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import durable, table
-from .vectors import BLOCK, best, in_slices, matrix, one_width, valid
+from .vectors import BLOCK, best, by_width, in_slices, matrix, valid
 
 TREES, LEAF, SAMPLE, KNOWN, SEED = 8, 64, 16_384, 8_192, 9
 #: Share of the rows that a query looks at, and the least number. In high dimensions without clusters much is needed.
@@ -122,11 +122,16 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, share: float = SH
 
     Queries: rows whose vec_id is divisible by `every`; candidates: every row but those with the query's id. score: the inner
     product in double precision. Ties go to the smaller vec_id; of rows with one id and one score one is named. Vectors
-    null, empty, zero, of another length than most, or with null or non-finite components take no part. Fewer
+    null, empty, zero, or with null or non-finite components take no part. Vectors of each length are searched by themselves. Fewer
     candidates than k: all of them. No rows, or no queries: no rows. Other columns are ignored.
     """
-    spark = vectors.sparkSession
-    whole = one_width(valid(vectors).filter(F.exists("v", lambda x: x != 0)))
+    whole = valid(vectors).filter(F.exists("v", lambda x: x != 0))
+    return by_width(whole, lambda part: nearest(part, k, every, share, least, trees, sample_rows))
+
+
+def nearest(whole: DataFrame, k: int, every: int, share: float, least: int, trees: int, sample_rows: int) -> DataFrame:
+    """The search among vectors (vec_id, v) of one length."""
+    spark = whole.sparkSession
     whole = durable(whole)
     unit = whole.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
     out = "query_id bigint, vec_id bigint, score double"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import durable, table
-from .vectors import BLOCK, best, in_slices, matrix, one_width, sample, valid
+from .vectors import BLOCK, best, by_width, in_slices, matrix, sample, valid
 
 PIVOTS, SEED = 128, 8
 K, SCALE, EVERY = 10, 1024, 100
@@ -60,11 +60,16 @@ def search(vectors: DataFrame, k: int = K, scale: float = SCALE, every: int = EV
 
     Components x count as floor(scale * x). Queries: rows whose vec_id is divisible by `every`; candidates: every row but
     those with the query's id. Columns: query_id, rank, vec_id, score. Ties go to the smaller vec_id; rows with one id
-    each take part. Vectors null, empty, of another length than most, or with null or non-finite components take no part.
+    each take part. Vectors null, empty, or with null or non-finite components take no part. Vectors of each length are searched by themselves.
     Fewer candidates than k: all of them. No rows, or no queries: no rows. Other columns are ignored.
     """
     whole = valid(vectors).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
-    whole = durable(one_width(whole))
+    return by_width(whole, lambda part: nearest(part, k, every, pivots, block))
+
+
+def nearest(whole: DataFrame, k: int, every: int, pivots: int, block: int) -> DataFrame:
+    """The search among vectors (vec_id, v) of one length."""
+    whole = durable(whole)
     centers = sample(whole, pivots, SEED)
     spark = whole.sparkSession
     if not len(centers):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def one_width(vectors: DataFrame) -> DataFrame:
-    """The rows whose vectors are as long as most are (the longer of equals): inner products need one length."""
-    top = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
-    return vectors.filter(F.size("v") == (top["d"] if top else 0))
+def by_width(vectors: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The search among the vectors of each length: inner products need one length."""
+    widths = [r["d"] for r in vectors.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]  # one row a length
+    return reduce(DataFrame.unionByName, [search(vectors.filter(F.size("v") == d)) for d in widths or [0]])
 
 
 def sample(vectors: DataFrame, rows: int, seed: int) -> np.ndarray:

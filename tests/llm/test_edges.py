@@ -90,3 +90,12 @@ def test_odd_vectors(spark, search):
     assert got[0] == [100, 7, 8, 9] and got[100] == [0, 7, 8, 9]
     assert search(spark.createDataFrame([], VECTORS)).count() == 0
     assert search(spark.createDataFrame([(1, [1.0, 2.0], 1)], VECTORS)).count() == 0
+
+
+@pytest.mark.parametrize("search", [knn.search, ann.search])
+def test_each_length_is_searched(spark, search):
+    rows = [(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, [1.0, 1.0], 1), (20, [1.0, 0.0, 0.0], 1), (21, [2.0, 0.0, 1.0], 1), (40, [7.0], 1)]
+    got = {}
+    for r in search(spark.createDataFrame(rows, VECTORS), every=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [2, 1], 20: [21]}
