@@ -2,19 +2,22 @@
 
 1. Each document's set of distinct shingles has REGISTERS of a HyperMinHash sketch: for each bucket, with a hash
    function of its own so that short documents fill all of them, the smallest hash as its number of leading zeros
-   and MANTISSA bits behind. Equal sets are one node from here on. Bands of ROWS registers give keys; there are so
-   many bands that a pair at the threshold shares none once in 1 / MISS cases.
+   and MANTISSA bits behind. Equal sets are one node from here on, numbered anew: an id may have several sets. Bands
+   of ROWS registers give keys; there are so many bands that a pair at the threshold shares none once in 2 / MISS cases.
 2. A key that several nodes share has a center: of its nodes the one whose keys are shared most, which in a group of
    edited copies is the original. Nodes whose collision-corrected estimate of similarity with the center is not far
    below the threshold are tied to it. The others of a key are compared, by registers, with all of its nodes.
-   What is tied together is a cluster; every pair of nodes that may be linked is in one cluster.
-3. Each node is checked against its cluster's hub on full sets. Nodes that are linked with it need no comparison
+   What is tied together is a cluster; every pair of nodes that may be linked is in one cluster. An estimate is
+   too far below once in 2 / MISS cases for a pair at the threshold.
+3. Each node is checked against its cluster's hub on full sets: a cluster is dealt to tasks, each of which reads the hub
+   first and the others one after the other. Nodes that are linked with it need no comparison
    among each other; the rest are compared with all nodes of the cluster: estimate first, then full sets.
 4. Components of the confirmed links, by alternating large-star and small-star steps.
 
-Comparisons run in blocks of BLOCK nodes: a task has the rest of one block against all nodes of another, and hands
-on one link for each two parts that it joins, not all pairs. Nothing grows with the square of a group but
-the comparisons of nodes that are close to a hub yet not linked with it. No state of all documents is on the driver.
+Comparisons run in blocks of BLOCK nodes and BLOCK_SHINGLES shingles: a task has the rest of one block against all
+nodes of another, and hands on one link for each two parts that it joins, not all pairs. Nothing grows with the
+square of a group but the comparisons of nodes that are close to a hub yet not linked with it. No state of all
+documents is on the driver.
 """
 
 from __future__ import annotations
@@ -30,20 +33,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import durable, slices, table
+from .shared import LONG_WORD, durable, slices, table
 
 ROWS, MANTISSA, MISS = 4, 10, 1e-8
-#: Standard errors by which an estimate may be below the threshold.
-MARGIN = 5.0
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Bits of the filter that texts pass before they are shuffled: at most so many are broadcast, 8 MB.
 FILTER_BITS = 1 << 26
 WORDS = 250_000
 
 
 def bands(percent: int) -> int:
-    """How many bands miss a pair at the threshold with probability MISS at most."""
-    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+    """How many bands miss a pair at the threshold with probability MISS / 2 at most."""
+    return math.ceil(math.log(MISS / 2) / math.log(1 - (percent / 100) ** ROWS))
 
 
 @lru_cache(maxsize=None)
@@ -59,8 +60,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def set_name(hashes: bytes) -> bytes:
+    return hashlib.blake2b(hashes, digest_size=16).digest()
+
+
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
 class Shingler:
-    """Sets of 64-bit hashes of shingles; word hashes are kept for words seen before."""
+    """Sets of 64-bit hashes of shingles; hashes are kept for words seen before that are not long."""
 
     def __init__(self, size: int):
         self.size, self.words = size, {}
@@ -69,9 +78,10 @@ class Shingler:
         known = self.words
         if len(known) > WORDS:
             known.clear()
+        long = {}
         for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            (known if len(w) <= LONG_WORD else long)[w] = word_hash(w)
+        return np.fromiter((long[w] if w in long else known[w] for w in words) if long else map(known.__getitem__, words), np.uint64, len(words))
 
     def sets(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; a text of fewer words than a shingle has is one shingle, none is an empty set."""
@@ -135,9 +145,15 @@ def estimate(equal: np.ndarray, n: int, a: np.ndarray, b: np.ndarray) -> np.ndar
     return (equal / n - e) / (1 - e)
 
 
+@lru_cache(maxsize=None)
 def cutoff(percent: int, n: int) -> float:
-    t = percent / 100
-    return t - MARGIN * math.sqrt(t * (1 - t) / n)
+    """The least estimate, of n registers, at which a pair may be linked: lower once in 2 / MISS cases at the threshold, by the binomial distribution."""
+    t, below = percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * t**k * (1 - t) ** (n - k)
+        if below > MISS / 2:
+            return (k - 1) / n
+    return 1.0
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -147,7 +163,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for b in slices(batches, 256):
+        for b in slices(batches):
             sets = [shingler.sets(t) for t in b.column(1).to_pylist()]
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
@@ -156,7 +172,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if len(full):
                 starts = np.cumsum([0, *sizes[full]])[:-1]
                 for i, own in zip(full, sketch(np.concatenate([sets[i] for i in full]), starts, n), strict=True):
-                    regs[i], ids[i] = own.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                    regs[i], ids[i] = own.tobytes(), set_name(sets[i].tobytes())
             columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_id", "registers"])
 
@@ -175,20 +191,23 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
         e = durable(small.select("x.a", "x.b").filter("a != b").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == told:
             break
         told = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def blocks(rows: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
+def blocks(rows: DataFrame, group: str, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Deals rows (group, node, rest, ...) to tasks (group, i, j): all the rest of block i, and all nodes of block j.
 
+    A block has about `block` nodes at most, and about so many shingles if rows have their number as n.
     is_rest: the row stands for the rest of block i; is_all: for the nodes of block j. Groups without rest are left out.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("size"), F.sum(F.col("rest").cast("long")).alias("rests")).filter("rests > 0 and size > 1")
-    sizes = sizes.select(F.col(group).alias("of_group"), F.ceil(F.col("size") / block).cast("int").alias("nj"), F.ceil(F.col("rests") / block).cast("int").alias("ni"))
+    rest, n = F.col("rest").cast("long"), F.col("n") if "n" in rows.columns else F.lit(0)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size"), F.sum(rest).alias("rests"), F.sum(n).alias("width"), F.sum(n * rest).alias("rest_width")).filter("rests > 0 and size > 1")
+    number = lambda count, width: F.ceil(F.greatest(F.col(count) / block, F.col(width) / shingles)).cast("int")
+    sizes = sizes.select(F.col(group).alias("of_group"), number("size", "width").alias("nj"), number("rests", "rest_width").alias("ni"))
     dealt = rows.join(sizes, rows[group] == sizes["of_group"]).drop("of_group")
     dealt = dealt.withColumn("own_j", F.pmod(F.xxhash64("node"), "nj")).withColumn("own_i", F.pmod(F.xxhash64("node", F.lit(1)), "ni"))
     i = F.sequence(F.lit(0), F.col("ni") - 1)
@@ -313,44 +332,72 @@ def clusters(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """The sets of nodes (node): node, n, hashes. Rows of the node's id are read; there is a row for each.
+    """The sets of nodes (doc_id, set_id, ...): set_id, hashes.
 
     Most texts are no node's that has a likeness. A filter of FILTER_BITS bits, broadcast, keeps them out of the shuffle; the
-    join behind it is exact, however full the filter is.
+    joins behind it are exact, however full the filter is. Both are inner joins: a semi-join would be moved ahead of the filter.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    ids = nodes.select(F.col("node").alias("doc_id"))
-    maps = ids.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
+    ids = nodes.select(F.col("doc_id").alias("of_id")).distinct()
+    bits = ids.withColumnRenamed("of_id", "doc_id").select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"))
+    maps = bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
     marked = docs.select("doc_id", "text").withColumns({"bucket": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "bucket")
     inside = F.expr("shiftright(cast(conv(hex(substring(map, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1 = 1")
-    texts = marked.filter(inside).select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    texts = marked.filter(inside).select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("of_id")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for b in slices(batches, 256):
-            sets = [shingler.sets(t) for t in b.column(1).to_pylist()]
-            columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "hashes"])
+        for b in slices(batches):
+            sets = [s.tobytes() for s in map(shingler.sets, b.column(0).to_pylist()) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["set_id", "hashes"])
 
-    return texts.mapInArrow(run, f"node {kind}, n bigint, hashes binary").filter("n > 0")
+    return texts.mapInArrow(run, "set_id binary, hashes binary")
 
 
-def linked_with_hub(percent: int) -> Column:
-    """Whether the sets in columns hashes and hub_hashes are linked."""
+def with_hubs(tasks: DataFrame, percent: int) -> DataFrame:
+    """Rows (cluster, part, is_hub, node, hashes), in each part the hub first: node, hub, linked for the others."""
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            place = np.searchsorted(t, s)
-            place[place == len(t)] = 0
-            common = int((t[place] == s).sum())
-            out.append(100 * common >= percent * (len(s) + len(t) - common))
-        return pd.Series(out, dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own, name = -1, np.zeros(0, np.uint64), None
+        for b in slices(batches):
+            out: list[tuple[int, int, bool]] = []
+            for cluster, part, is_hub, node, x in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                s = np.frombuffer(x, np.uint64)
+                if is_hub:
+                    hub, own, name = node, s, (cluster, part)
+                    continue
+                assert name == (cluster, part), "a part without its hub"
+                place = np.searchsorted(own, s)
+                place[place == len(own)] = 0
+                common = int((own[place] == s).sum())
+                out.append((node, hub, 100 * common >= percent * (len(s) + len(own) - common)))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["node", "hub", "linked"])
+
+    return tasks.select("cluster", "part", "is_hub", "node", "hashes").mapInArrow(run, "node bigint, hub bigint, linked boolean")
+
+
+def confirmed(cluster: DataFrame, ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), on full sets, that join what is linked within the clusters (node, cluster, n, registers)."""
+    # The hub of a cluster: the node that most nodes of the cluster tie to.
+    degree = ties.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    slim = cluster.select("node", "cluster", "n")
+    about = slim.join(degree, "node").groupBy("cluster").agg(
+        F.max(F.struct("degree", "node"))["node"].alias("hub"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    )
+    mine = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "parts").cast("int")))
+    dealt = slim.join(about, "cluster").select("node", "cluster", (F.col("node") == F.col("hub")).alias("is_hub"), F.explode(mine).alias("part"))
+    dealt = dealt.join(sets, "node").repartition("cluster", "part").sortWithinPartitions("cluster", "part", F.desc("is_hub"))
+    judged = durable(with_hubs(dealt, percent))
+    direct = judged.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    rest = judged.filter("not linked").select("node", F.lit(True).alias("rest"))
+    slim = slim.join(rest, "node", "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
+    dealt = blocks(slim, "cluster").join(cluster.select("node", "registers"), "node").join(sets, "node")
 
-    return linked("hashes", "hub_hashes")
+    def of_task(pdf: pd.DataFrame) -> pd.DataFrame:
+        return compare(pdf, percent, exact=True)
+
+    return direct.unionByName(dealt.groupBy("cluster", "i", "j").applyInPandas(of_task, "a bigint, b bigint"))
 
 
 def dedup(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
@@ -360,46 +407,33 @@ def dedup(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     A component is named by its smallest doc_id, whose row is kept (all of them, if it is repeated).
 
     Null and empty texts, and texts without words: empty set, linked with nothing. Rows that share a doc_id are one
-    document and linked with each other. Null doc_id: takes no part; component_id null, kept. No rows: none. Other
-    columns are ignored. Ties between centers go to the larger id.
+    document and linked with each other, each by its own text with others. Null doc_id: takes no part; component_id null,
+    kept. No rows: none. Other columns are ignored. Ties between centers go to the larger node.
     """
     rows = durable(signatures(docs, size, percent))
     full = rows.filter("n > 0 and doc_id is not null")
-    own = full.groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    sketches = full.select("doc_id", "set_id", "n", "registers")
-    nodes = sketches.join(own, (sketches["set_id"] == own["set_id"]) & (sketches["doc_id"] == own["node"])).drop(own["set_id"]).drop("doc_id").dropDuplicates(["set_id"])
-    nodes = durable(nodes)
-    ties = clusters(nodes, percent)
+    own = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))  # a set has one n and registers
+    nodes = durable(own.withColumn("node", F.monotonically_increasing_id()))
+    ties = clusters(nodes.select("node", "n", "registers"), percent)
     cluster = components(ties).select("node", F.col("root").alias("cluster"))
-    cluster = durable(cluster.join(nodes.select("node", "registers", "n", "set_id"), "node"))
-    hashes = durable(sets_of(docs, cluster.select("node").distinct(), size).withColumn("set_id", F.expr("unhex(md5(hashes))")).dropDuplicates(["node", "set_id"]).drop("set_id", "n"))
-    # The hub of a cluster: the node whose registers most nodes of the cluster tie to.
-    degree = ties.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    hubs = cluster.select("node", "cluster").distinct().join(degree, "node").groupBy("cluster").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
-    hub_sets = hubs.join(hashes.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes")), "hub").dropDuplicates(["cluster"])
-    placed = cluster.join(hashes, "node").join(hub_sets, "cluster")
-    placed = durable(placed.withColumn("with_hub", linked_with_hub(percent)).select("node", "cluster", "hub", "with_hub", "n", "registers", "hashes"))
-    direct = placed.filter("with_hub and node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    slim = placed.select("node", "cluster", (~F.col("with_hub")).alias("rest")).distinct()
-    dealt = blocks(slim, "cluster").join(placed.select("node", "n", "registers", "hashes"), "node")
-
-    def of_task(pdf: pd.DataFrame) -> pd.DataFrame:
-        return compare(pdf, percent, exact=True)
-
-    kind = nodes.schema["node"].dataType.simpleString()
-    others = dealt.groupBy("cluster", "i", "j").applyInPandas(of_task, f"a {kind}, b {kind}")
+    cluster = durable(cluster.join(nodes, "node"))
+    sets = sets_of(docs, cluster, size).dropDuplicates(["set_id"])
+    sets = durable(cluster.select("node", "set_id").join(sets, "set_id").select("node", "hashes"))
+    links = confirmed(cluster, ties, sets, percent)
     # Rows of one id with different sets are one document.
-    same = full.join(own, "set_id").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    repeated = full.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x != y").select("doc_id")
-    same = same.join(repeated.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-    roots = durable(components(direct.unionByName(others).unionByName(same)))
-    by_set = own.join(roots, "node").select("set_id", "root")
-    lone = own.select("set_id", "node")
-    named = lone.join(by_set, "set_id", "left").select(F.col("set_id").alias("s"), F.coalesce("root", "node").alias("root"))
+    repeated = full.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x != y").select(F.col("doc_id").alias("id"), "x")
+    same = full.join(repeated, full["doc_id"] == repeated["id"]).select("set_id", "x").distinct().filter("set_id != x")
+    by_set = nodes.select("set_id", "node")
+    same = same.join(by_set.withColumnRenamed("node", "a"), "set_id").join(by_set.select(F.col("set_id").alias("x"), F.col("node").alias("b")), "x").select("a", "b")
+    roots = durable(components(links.unionByName(same)))
+    linked = nodes.select("node", "set_id", "doc_id").join(roots, "node")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = linked.join(least, "root").select(F.col("set_id").alias("s"), "least")
+    named = nodes.select("set_id", "doc_id").join(least, F.col("set_id") == F.col("s"), "left").select(F.col("set_id").alias("s"), F.coalesce("least", "doc_id").alias("least"))
     named = durable(named)
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     out = out.join(named, out["set_id"] == named["s"], "left")
-    component = F.coalesce("root", "doc_id")
+    component = F.coalesce("least", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

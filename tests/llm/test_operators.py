@@ -338,6 +338,62 @@ def test_near_duplicates(spark):
         assert got == brute_near(texts, size, percent)
 
 
+def brute_near_rows(rows, size, percent):
+    """Of (id, text) rows, ids repeated or null: (id, text) to (n, smallest id reachable); rows of one id are linked."""
+    by_row = dict(enumerate(rows))
+    alone = {i: brute_near({i: t}, size, percent)[i][0] for i, (_, t) in by_row.items()}
+    live = {i: t for i, (d, t) in by_row.items() if d is not None}
+    group = {i: x[1] for i, x in brute_near(live, size, percent).items()}
+    changed = True
+    while changed:
+        changed = False
+        for i in live:
+            for j in live:
+                if by_row[i][0] == by_row[j][0] and alone[i] and alone[j] and group[i] != group[j]:
+                    low, high = sorted((group[i], group[j]))
+                    group = {k: low if g == high else g for k, g in group.items()}
+                    changed = True
+    least = {g: min(by_row[i][0] for i in live if group[i] == g) for g in set(group.values())}
+    return {(d, t): (alone[i], None if d is None else least[group[i]]) for i, (d, t) in by_row.items()}
+
+
+def test_near_duplicates_of_repeated_rows_and_ids(spark):
+    r = random.Random(7)
+    base = [[f"w{r.randint(0, 300)}" for _ in range(40)] for _ in range(3)]
+
+    def edited(k):
+        w = list(base[k])
+        for _ in range(r.choice([0, 1, 1, 2, 4])):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 999)}"
+        return " ".join(w)
+
+    rows = [(1, " ".join(base[0])), (1, " ".join(base[1]))] + [(10 + i, edited(i % 2)) for i in range(40)] + [(30 + i, edited(2)) for i in range(3)]
+    rows += [(None, edited(0)), (None, " ".join(base[0])), (5, None), (5, ""), (6, "a b"), (6, "A b"), (7, "a b")]
+    rows += rows  # each once more
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_near_rows(rows[: len(rows) // 2], 3, 85)
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.dedup(docs).collect()), key=str)
+    assert got == sorted(((d, *want[d, t]) for d, t in rows), key=str)
+    named = docs.withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    assert {x["component_id"] for x in neardup.dedup(named).filter("doc_id in ('x1', 'x7', 'x6')").collect()} == {"x1", "x6"}
+
+
+def test_estimates_miss_no_pair_at_the_threshold():
+    from math import comb
+
+    for percent in (80, 85):
+        n = neardup.bands(percent) * neardup.ROWS
+        t, least = percent / 100, neardup.cutoff(percent, n)
+        lost = sum(comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(round(least * n)))
+        assert lost + (1 - t**neardup.ROWS) ** neardup.bands(percent) <= neardup.MISS
+
+
+def test_hubs_are_compared_across_parts_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 200)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    test_near_duplicates(spark)
+
+
 def test_blocks_lose_no_pair(spark):
     rows = spark.createDataFrame([(1, i, i % 3 == 0) for i in range(50)], "g int, node bigint, rest boolean")
     pairs = set()
