@@ -1,8 +1,9 @@
 """Language identification of mixed-language texts.
 
 Learning: grams of one to three letters and whole words, counted by language over a sample of labelled rows
-of at most TRAIN_DOCS documents in a seeded order. The counts are added up by Spark; the GRAMS most frequent
-reach the driver.
+of at most TRAIN_DOCS documents: the first in a seeded order that goes round the languages, so that a rare one is
+sampled whole before a common one takes more than its turn. The counts are added up by Spark; all scripts of each language
+and its most frequent grams reach the driver, GRAMS in all, dealt evenly to the languages. No language is dropped.
 
 Prediction: the script of a word's first letter leaves as candidates the languages learnt with that script. Grams
 that no language has weigh the same for all. A word of a script that no language was learnt with speaks for none of
@@ -20,20 +21,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, table
+from .shared import LONG_WORD, slices, table
 
 TRAIN_DOCS = 6000
 GRAMS = 200_000
 SEED = 5
 FLOOR, SWITCH = -4.0, 8.0
+PRIOR = 2000.0
 #: A document of which less than this share of letters is surely in its language is rejected in the pipeline.
 ACCEPT = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Most words with known scores in a Python worker.
-WORDS = 600_000
+#: Most words with known scores in a Python worker; those of more than LONG_WORD characters are known for a slice only.
+WORDS = 400_000
 # First code points of ranges of scripts.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"),
@@ -77,17 +79,43 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def in_turn(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """How many of `most` each takes if they are dealt in turn to those that have some left; one each at least."""
+    out, left, open_ = {}, most, sorted(sizes, key=lambda k: (sizes[k], k))
+    for i, k in enumerate(open_):
+        out[k] = max(1, min(sizes[k], left // (len(open_) - i)))
+        left -= out[k]
+    return out
+
+
+def hash_bound(share: int, size: int) -> int:
+    """A 64-bit hash that more than `share` of `size` hashes stay below but for a chance of 1e-30 or so; all, if they are few."""
+    part = (share + 12 * share**0.5 + 100) / size
+    return (1 << 63) - 1 if part >= 1 else int(-(1 << 63) + part * (1 << 64))
+
+
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS) -> Model:
     """A model from rows of docs (doc_id, text, lang) that are labelled and not held out.
 
-    Bounds: the train_docs first in a seeded order of ids (ids that occur repeatedly are taken together), and the
-    most_grams most frequent grams. Without such rows the model knows no language.
+    Bounds: train_docs rows, dealt to the languages in turn, by a seeded order within each (repeated rows count
+    once); and most_grams grams, dealt likewise, the most frequent within each. A language with few rows
+    has all of them, and every language and script of the sample is learnt. Without such rows the model knows no language.
+
+    A gram's probability in a language leans towards its mean over the languages, as PRIOR grams would; so a language of
+    which little is known is not likelier than others for what is rare in them.
     """
-    order = F.xxhash64(F.col("doc_id"), F.lit(SEED))
-    rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    last = rows.select(order.alias("o")).orderBy("o").limit(train_docs).agg(F.max("o")).first()[0]
-    if last is None:
+    order = F.xxhash64("doc_id", "text", F.lit(SEED))
+    rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", order.alias("o"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not sizes:
         return Model([], np.zeros(0, np.uint64), {}, np.zeros((5, 0), np.float32), {})
+    shares = in_turn(sizes, train_docs)
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
+    # A hash is uniform, so a bound on it keeps little more than the share; the rest is cut exactly, in tasks of a bounded number of rows.
+    near = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, hash_bound(shares[k], n)))), F.col("lang"))
+    last = rows.filter(F.col("o") <= near).select("lang", "o").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).filter(F.col("nth") <= share)
+    ends = {r["lang"]: r["o"] for r in last.groupBy("lang").agg(F.max("o").alias("o")).collect()}
+    end = F.element_at(F.create_map(*(F.lit(x) for k in sizes for x in (k, ends[k]))), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(n: Counter) -> pa.RecordBatch:
@@ -108,10 +136,12 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS
                 seen.clear()
         yield rows_of(seen)
 
-    part = rows.filter(order <= last).select("lang", F.col("text"))
+    part = rows.filter(F.col("o") <= end).dropDuplicates(["lang", "o"]).select("lang", "text")
     counts = part.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "lang", "gram").limit(most_grams).collect()
-    langs = sorted({r.lang for r in top})
+    # Scripts first, which are few; then grams by frequency, each language's by itself.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.expr("gram like '#_%'").desc(), F.col("n").desc(), "gram"))
+    top = counts.withColumn("nth", nth).filter(F.col("nth") <= max(len(NAMES), most_grams // len(sizes))).collect()
+    langs = sorted(sizes)
     at = {x: i for i, x in enumerate(langs)}
     scripts: dict[str, np.ndarray] = {}
     tables: dict[str, np.ndarray] = {}
@@ -127,9 +157,10 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS
     weights = np.zeros((len(n) + 5, len(langs)))
     for k in range(1, 5):  # letters, pairs, triples and words have distributions of their own
         own = n[kind == k]
-        total = own.sum(0) + 0.5 * (len(own) + 1)
-        weights[:-5][kind == k] = np.log((own + 0.5) / total)
-        weights[len(n) + k] = np.log(0.5 / total).mean()  # no evidence for any language
+        total = own.sum(0)
+        mean = (own / np.maximum(total, 1)).sum(1, keepdims=True) / max(1, (total > 0).sum())
+        weights[:-5][kind == k] = np.log((own + PRIOR * mean) / (total + PRIOR))
+        weights[len(n) + k] = 0.0  # no evidence for any language
     return Model(langs, np.array([code(g) for g in short], np.uint64), {g[1:]: len(short) + i for i, g in enumerate(long)}, weights.astype(np.float32), scripts)
 
 
@@ -143,6 +174,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.words: dict[str, int] = {"": 0}
+        self.passing: list[str] = []
         self.scores = np.zeros((WORDS + 1, max(1, len(self.model.langs))), np.float32)
         self.letters = np.zeros(WORDS + 1, np.int32)
 
@@ -173,7 +205,8 @@ class Scorer:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.words]
+        new = sorted((c for c in chunks if c not in self.words), key=lambda c: len(c) > LONG_WORD)
+        self.passing = [c for c in new if len(c) > LONG_WORD]  # the last rows; see drop
         parts = [LETTERS.findall(c.lower()) for c in new]
         stems = list({w for p in parts for w in p})
         row = {w: i for i, w in enumerate(stems)}
@@ -188,8 +221,16 @@ class Scorer:
         np.add.at(self.scores, owner, scored[[row[w] for w in flat]])
         np.add.at(self.letters, owner, [len(w) for w in flat])
 
+    def drop(self) -> None:
+        """Forgets the long words of the last slice, whose rows are the last ones."""
+        for c in self.passing:
+            at = self.words.pop(c)
+            self.scores[at] = self.letters[at] = 0
+        self.passing = []
+
     def chunks(self, words: list[list[str]]) -> list[np.ndarray]:
         """Rows of the tables for the words of each text. Clears the tables before they are full."""
+        self.drop()
         if len(self.words) + len(every := set().union(*words)) > WORDS:
             self.forget()
             if len(every) > WORDS:  # one slice with very many words: tables of its size, for this time
@@ -267,21 +308,22 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     spans; and so without a language learnt. Repeated rows and null ids: a row each. No rows: none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS rows at most
-    scorers: dict[int, Scorer] = {}
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = ["doc_id", "text", *(c for c in keep if c not in ("doc_id", "text"))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorers.setdefault(0, Scorer(shared.value))
-        for b in slices(batches):
-            found = label(scorer, b.column(1).to_pylist())
-            said = [",".join(f"{n}:{k}" for n, k in x[2]) for x in found]
-            new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(said, pa.string())]
-            kept = [b.column(names.index(c)) for c in keep if c != "doc_id"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *new, *kept], ["doc_id", "lang_pred", "score", "spans", *(c for c in keep if c != "doc_id")])
-
-    out = [f"doc_id {fields['doc_id']}", "lang_pred string", "score double", "spans string", *(f"{c} {fields[c]}" for c in keep if c != "doc_id")]
-    return docs.select(*names).mapInArrow(run, ", ".join(out))
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.string())])
+
+    @F.arrow_udf("lang_pred string, score double, spans string")
+    def said(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
+        for whole in texts:
+            parts = []
+            for b in slices([pa.RecordBatch.from_arrays([whole], ["text"])]):
+                found = label(scorer, b.column(0).to_pylist())
+                columns = [[x[0] for x in found], [x[1] for x in found], [",".join(f"{n}:{k}" for n, k in x[2]) for x in found]]
+                parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    # Only texts go to Python; the rest of a row stays where it is. Called nondeterministic, it is evaluated once, filters or not.
+    keep = tuple(c for c in keep if c != "doc_id")
+    return docs.select("doc_id", *keep, said.asNondeterministic()("text").alias("said")).select("doc_id", "said.*", *keep)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

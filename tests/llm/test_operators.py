@@ -258,6 +258,40 @@ def test_unseen_grams_are_neutral(spark):
     assert score < 0.51
 
 
+def test_rare_languages_and_scripts_are_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = docs.filter("lang = 'en'").select("doc_id", "text", "lang").collect()
+    finnish = "kissa istuu matolla ja katsoo ulos ikkunasta koska siellä on hyvin kaunis ilma tänään talossa".split()
+    greek = "η γάτα κάθεται στο χαλί και κοιτάζει έξω από το παράθυρο".split()
+    r = random.Random(4)
+    rows = [tuple(x) for x in own] + [(10_000 + i, " ".join(r.choices(finnish, k=30)), "fi") for i in range(9)] + [(20_000 + i, " ".join(r.choices(greek, k=9)), "el") for i in range(4)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_docs=100, most_grams=3000)
+    assert model.langs == ["el", "en", "fi"] and model.scripts["greek"].tolist() == [True, False, False]
+    got = langid.label(langid.Scorer(model), ["kissa katsoo ulos ikkunasta", "η γάτα κοιτάζει έξω", *(x["text"] for x in own[:60])])
+    assert [x[0] for x in got[:2]] == ["fi", "el"] and all(x[1] > langid.ACCEPT for x in got[:2])
+    assert sum(x[0] == "en" for x in got[2:]) >= 59
+
+
+def test_shares_in_turn():
+    assert langid.in_turn({"a": 1000, "b": 3, "c": 50}, 100) == {"b": 3, "c": 48, "a": 49}
+    assert langid.in_turn({"a": 5, "b": 3}, 100) == {"b": 3, "a": 5}
+    assert langid.in_turn({"a": 5, "b": 3, "c": 9}, 1) == {"a": 1, "b": 1, "c": 1}
+
+
+def test_viterbi_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n, k = int(rng.integers(1, 7)), int(rng.integers(1, 4))
+        scores, price = rng.normal(0, 3, (n, k)), float(rng.choice([0.5, 2.0, 8.0]))
+
+        def worth(path):
+            return sum(scores[i, x] for i, x in enumerate(path)) - price * sum(a != b for a, b in zip(path, path[1:]))  # noqa: B023, B905
+
+        assert worth(langid.viterbi(scores, price)) == pytest.approx(max(map(worth, itertools.product(range(k), repeat=n))))
+
+
 def test_spans_of_mixed_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     scorer = langid.Scorer(langid.learn(docs))
