@@ -3,8 +3,8 @@
 Trees are fitted on a bounded sample: random directions, cut at the median of the sample's rows, down to LEAF of them.
 A component is added to each vector that brings all to one length, so that the largest inner product is the smallest
 angle. Every row goes to its leaf in each tree. A query walks all trees through one priority queue, ordered by how far
-it would have to move to reach a node's side, and visits leaves until they hold SHARE of the sample's rows that they
-have in common with it, LEAST rows at least. The candidates in the visited leaves are then ranked by their exact
+it would have to move to reach a node's side, and visits leaves until they hold SHARE of the sample's
+rows, whatever the number of rows. The candidates in the visited leaves are then ranked by their exact
 inner products.
 
 Leaves with many rows are dealt in blocks. Of a bounded part of the sample, KNOWN rows, those in a query's visited leaves
@@ -28,8 +28,8 @@ from .shared import durable, table
 from .vectors import BLOCK, best, by_width, in_slices, matrix, valid
 
 TREES, LEAF, SAMPLE, KNOWN, SEED = 8, 64, 16_384, 8_192, 9
-#: Share of the rows that a query looks at, and the least number. In high dimensions without clusters much is needed.
-SHARE, LEAST = 0.6, 4_000
+#: Share of the rows that a query looks at. In high dimensions without clusters much is needed.
+SHARE = 0.6
 K, EVERY = 20, 20
 
 
@@ -107,38 +107,38 @@ def one_length(x: np.ndarray, unit: float, longest: float) -> np.ndarray:
 
 
 def top(queries: np.ndarray, own: np.ndarray, least: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of query number and id with a product of at least `least`, the k best of each query and rows that tie with them."""
+    """Pairs of query number and row number with a product of at least `least`, the k best of each query and rows that tie with them."""
     scores = queries @ x.T
     scores[own[:, None] == ids[None, :]] = -np.inf
     if scores.shape[1] > k:
         least = np.maximum(least, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] - 1e-9 * np.abs(least))
     q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
     exact = np.array([float(np.dot(queries[i], x[j])) for i, j in zip(q, c, strict=True)])
-    return q, ids[c], exact
+    return q, c, exact
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, share: float = SHARE, least: int = LEAST, trees: int = TREES, sample_rows: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, share: float = SHARE, trees: int = TREES, sample_rows: int = SAMPLE) -> DataFrame:
     """The k nearest found for each query of vectors (vec_id, embedding): query_id, rank, vec_id, score.
 
     Queries: rows whose vec_id is divisible by `every`; candidates: every row but those with the query's id. score: the inner
-    product in double precision. Ties go to the smaller vec_id; of rows with one id and one score one is named. Vectors
+    product in double precision. Ties go to the smaller vec_id. Rows with one id each take part, as candidates and as queries. Vectors
     null, empty, zero, or with null or non-finite components take no part. Vectors of each length are searched by themselves. Fewer
     candidates than k: all of them. No rows, or no queries: no rows. Other columns are ignored.
     """
     whole = valid(vectors).filter(F.exists("v", lambda x: x != 0))
-    return by_width(whole, lambda part: nearest(part, k, every, share, least, trees, sample_rows))
+    return by_width(whole, lambda part: nearest(part, k, every, share, trees, sample_rows))
 
 
-def nearest(whole: DataFrame, k: int, every: int, share: float, least: int, trees: int, sample_rows: int) -> DataFrame:
+def nearest(whole: DataFrame, k: int, every: int, share: float, trees: int, sample_rows: int) -> DataFrame:
     """The search among vectors (vec_id, v) of one length."""
     spark = whole.sparkSession
-    whole = durable(whole)
+    whole = durable(whole.withColumn("row", F.monotonically_increasing_id()).select("vec_id", "v", "row"))
     unit = whole.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
-    out = "query_id bigint, vec_id bigint, score double"
+    out = "query_id bigint, q_row bigint, vec_id bigint, row bigint, score double"
     if unit is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / unit) * (x / unit)))
-    total, longest = whole.agg(F.count("*"), F.max(norm)).first()
+    longest = whole.agg(F.max(norm)).first()[0]
     picked = whole.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample_rows).collect()  # SAMPLE rows at most
     known = np.array([r["v"] for r in picked])
     known_ids = np.array([r["vec_id"] for r in picked])
@@ -147,7 +147,7 @@ def nearest(whole: DataFrame, k: int, every: int, share: float, least: int, tree
     forest = [grow(even, LEAF, rng) for _ in range(trees)]
     # The rows of a leaf as every row is placed, in case rounding at a cut differs from what it was in growing.
     forest = [t._replace(rows=[np.flatnonzero(own == i) for i in range(len(t.rows))]) for t in forest for own in [leaves(t, even)]]
-    some = np.sort(np.unique(known_ids[:KNOWN], return_index=True)[1])  # a row an id: repeated rows are one candidate
+    some = np.arange(min(KNOWN, len(known)))
     shared = spark.sparkContext.broadcast((forest, unit, longest))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +155,12 @@ def nearest(whole: DataFrame, k: int, every: int, share: float, least: int, tree
         for b in in_slices(batches, 1024):
             y = one_length(matrix(b.column(1)), unit_, longest_)
             for t, tree in enumerate(forest_):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(y), t, np.int32)), pa.array(leaves(tree, y).astype(np.int32))], ["vec_id", "v", "tree", "leaf"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(y), t, np.int32)), pa.array(leaves(tree, y).astype(np.int32))], ["vec_id", "v", "row", "tree", "leaf"])
 
-    placed = whole.mapInArrow(place, "vec_id bigint, v array<double>, tree int, leaf int")
+    placed = whole.mapInArrow(place, "vec_id bigint, v array<double>, row bigint, tree int, leaf int")
     sizes = {(r["tree"], r["leaf"]): r["n"] for r in placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}  # leaves of a bounded sample
     parts = {key: -(-n // BLOCK) for key, n in sizes.items()}
-    enough = int(np.ceil(len(known) * min(1.0, max(share, least / total))))
+    enough = int(np.ceil(len(known) * min(1.0, share)))
     told = spark.sparkContext.broadcast((parts, known[some], known_ids[some], some, enough, len(known)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,31 +187,31 @@ def nearest(whole: DataFrame, k: int, every: int, share: float, least: int, tree
             edge = np.where(np.isfinite(edge), edge - slack, -np.inf)
             pick = pa.array(to, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pick), b.column(1).take(pick), pa.array(edge).take(pick), *(pa.array(x, pa.int32()) for x in (tree, leaf, part))],
-                ["query_id", "q", "edge", "tree", "leaf", "part"],
+                [*(c.take(pick) for c in b.columns), pa.array(edge).take(pick), *(pa.array(x, pa.int32()) for x in (tree, leaf, part))],
+                ["query_id", "q", "q_row", "edge", "tree", "leaf", "part"],
             )
 
-    queries = whole.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    sent = queries.mapInArrow(route, "query_id bigint, q array<double>, edge double, tree int, leaf int, part int")
+    queries = whole.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("row").alias("q_row"))
+    sent = queries.mapInArrow(route, "query_id bigint, q array<double>, q_row bigint, edge double, tree int, leaf int, part int")
     data = placed.withColumn("part", F.lit(0))
     if split := [(t, f, n) for (t, f), n in parts.items() if n > 1]:  # leaves of a bounded sample
         large = F.broadcast(spark.createDataFrame(split, "tree int, leaf int, parts int"))
-        data = placed.join(large, ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        data = placed.join(large, ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
     def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        found: list = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0)]]
         if left.num_rows and right.num_rows:
-            x, ids, own = matrix(right["v"].combine_chunks()), right["vec_id"].to_numpy(), left["query_id"].to_numpy()
-            q, edge = matrix(left["q"].combine_chunks()), left["edge"].to_numpy()
+            x, ids, rows = matrix(right["v"].combine_chunks()), right["vec_id"].to_numpy(), right["row"].to_numpy()
+            q, edge, own, q_row = matrix(left["q"].combine_chunks()), left["edge"].to_numpy(), left["query_id"].to_numpy(), left["q_row"].to_numpy()
             for at in range(0, len(q), 512):
-                i, v, s = top(q[at : at + 512], own[at : at + 512], edge[at : at + 512], x, ids, k)
-                for to, value in zip(found, (own[at : at + 512][i], v, s), strict=True):
+                i, j, s = top(q[at : at + 512], own[at : at + 512], edge[at : at + 512], x, ids, k)
+                for to, value in zip(found, (own[at : at + 512][i], q_row[at : at + 512][i], ids[j], rows[j], s), strict=True):
                     to.append(value)
-        query, vec, score = (np.concatenate(x) for x in found)
-        return pa.table({"query_id": pa.array(query.astype(np.int64)), "vec_id": pa.array(vec.astype(np.int64)), "score": pa.array(score.astype(np.float64))})
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.float64)
+        return pa.table({n: pa.array(np.concatenate(c).astype(t)) for n, c, t in zip(("query_id", "q_row", "vec_id", "row", "score"), found, kinds, strict=True)})
 
     keys = ["tree", "leaf", "part"]
-    found = sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(solve, out).dropDuplicates(["query_id", "vec_id", "score"])
+    found = sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(solve, out).dropDuplicates(["q_row", "row"])
     return best(found, F.col("score"), k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -34,7 +34,10 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.zeros((len(q), len(x)), np.int64)
     if np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**53:
         return (q @ x.T).astype(np.int64)
-    whole = np.array([[sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for s in x] for r in q], object)
+    whole = np.zeros((len(q), len(x)), object)
+    ints = [np.array([[int(a) for a in r] for r in m], object) for m in (q, x)]
+    for d in range(q.shape[1]):  # integers of any length, a component of all pairs at a time
+        whole += ints[0][:, d, None] * ints[1][None, :, d]
     return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
 
 
@@ -59,8 +62,8 @@ def search(vectors: DataFrame, k: int = K, scale: float = SCALE, every: int = EV
     """The k rows with the highest integer inner product for each query of vectors (vec_id, embedding).
 
     Components x count as floor(scale * x). Queries: rows whose vec_id is divisible by `every`; candidates: every row but
-    those with the query's id. Columns: query_id, rank, vec_id, score. Ties go to the smaller vec_id; rows with one id
-    each take part. Vectors null, empty, or with null or non-finite components take no part. Vectors of each length are searched by themselves.
+    those with the query's id. Columns: query_id, rank, vec_id, score. Ties go to the smaller vec_id. Rows with one id
+    each take part, as candidates and as queries: a query's id that is repeated has a list for each of its rows. Vectors null, empty, or with null or non-finite components take no part. Vectors of each length are searched by themselves.
     Fewer candidates than k: all of them. No rows, or no queries: no rows. Other columns are ignored.
     """
     whole = valid(vectors).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
@@ -69,7 +72,7 @@ def search(vectors: DataFrame, k: int = K, scale: float = SCALE, every: int = EV
 
 def nearest(whole: DataFrame, k: int, every: int, pivots: int, block: int) -> DataFrame:
     """The search among vectors (vec_id, v) of one length."""
-    whole = durable(whole)
+    whole = durable(whole.withColumn("row", F.monotonically_increasing_id()))
     centers = sample(whole, pivots, SEED)
     spark = whole.sparkSession
     if not len(centers):
@@ -84,11 +87,11 @@ def nearest(whole: DataFrame, k: int, every: int, pivots: int, block: int) -> Da
             d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ p.T + p2, 0)
             near = d.argmin(1)
             away = np.linalg.norm(x - p[near], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(away)], ["vec_id", "v", "cell", "away"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(near.astype(np.int32)), pa.array(away)], ["vec_id", "v", "row", "cell", "away"])
 
-    cells = durable(whole.mapInArrow(cell, "vec_id bigint, v array<double>, cell int, away double"))
+    cells = durable(whole.select("vec_id", "v", "row").mapInArrow(cell, "vec_id bigint, v array<double>, row bigint, cell int, away double"))
     counts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
-    spread = F.pmod(F.xxhash64("vec_id"), F.lit(64))
+    spread = F.pmod(F.xxhash64("row"), F.lit(64))
     near = cells.select("cell", "away", spread.alias("s")).withColumn("nth", F.row_number().over(Window.partitionBy("cell", "s").orderBy("away"))).filter(F.col("nth") <= k + 1)
     least = near.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("away")), 1, k + 1).alias("least"))  # 64 * (k + 1) distances a cell at most
     summary = {r["cell"]: r for r in counts.join(least, "cell").collect()}  # PIVOTS rows at most
@@ -111,26 +114,26 @@ def nearest(whole: DataFrame, k: int, every: int, pivots: int, block: int) -> Da
             row, col = np.nonzero(reach)
             row, col = np.repeat(row, blocks[col]), np.repeat(col, blocks[col])
             part = np.concatenate([np.arange(n) for n in blocks[np.nonzero(reach)[1]]]) if len(row) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(name[col].astype(np.int32)), pa.array(part.astype(np.int32))], ["query_id", "q", "cell", "part"])
+            pick = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pick) for i in range(3)), pa.array(name[col].astype(np.int32)), pa.array(part.astype(np.int32))], ["query_id", "q", "q_row", "cell", "part"])
 
-    queries = cells.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    sent = queries.mapInArrow(route, "query_id bigint, q array<double>, cell int, part int")
+    queries = cells.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("row").alias("q_row"))
+    sent = queries.mapInArrow(route, "query_id bigint, q array<double>, q_row bigint, cell int, part int")
     of_cell = F.element_at(F.create_map(*(F.lit(int(x)) for c, n in zip(names, n_blocks, strict=True) for x in (c, n))), F.col("cell"))
-    data = cells.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", F.lit(1)), of_cell).cast("int").alias("part"))
+    data = cells.select("vec_id", "v", "cell", F.pmod(F.xxhash64("row", F.lit(1)), of_cell).cast("int").alias("part"))
 
     def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list = [[np.zeros(0, np.int64)] for _ in range(3)]
+        found: list = [[np.zeros(0, np.int64)] for _ in range(4)]
         if left.num_rows and right.num_rows:
             x, ids = matrix(right["v"].combine_chunks()), right["vec_id"].to_numpy()
-            q, own = matrix(left["q"].combine_chunks()), left["query_id"].to_numpy()
+            q, own, q_row = matrix(left["q"].combine_chunks()), left["query_id"].to_numpy(), left["q_row"].to_numpy()
             for at in range(0, len(q), 256):
                 i, v, s = topk(q[at : at + 256], own[at : at + 256], x, ids, k)
-                for to, value in zip(found, (own[at : at + 256][i], v, s), strict=True):
+                for to, value in zip(found, (own[at : at + 256][i], q_row[at : at + 256][i], v, s), strict=True):
                     to.append(value)
-        query, vec, score = (pa.array(np.concatenate(c).astype(np.int64)) for c in found)
-        return pa.table({"query_id": query, "vec_id": vec, "score": score})
+        return pa.table({name: pa.array(np.concatenate(c).astype(np.int64)) for name, c in zip(("query_id", "q_row", "vec_id", "score"), found, strict=True)})
 
-    found = sent.groupBy("cell", "part").cogroup(data.groupBy("cell", "part")).applyInArrow(solve, "query_id bigint, vec_id bigint, score bigint")
+    found = sent.groupBy("cell", "part").cogroup(data.groupBy("cell", "part")).applyInArrow(solve, "query_id bigint, q_row bigint, vec_id bigint, score bigint")
     return best(found, F.col("score"), k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -46,6 +46,6 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
 
 
 def best(found: DataFrame, score: Column, k: int) -> DataFrame:
-    """The k best rows of each query_id, with rank from 1; ties to the smaller vec_id."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(score.desc(), "vec_id"))
+    """The k best rows of each query row q_row, with rank from 1; ties to the smaller vec_id."""
+    rank = F.row_number().over(Window.partitionBy("q_row").orderBy(score.desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

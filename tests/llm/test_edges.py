@@ -1,5 +1,6 @@
 """Every operator and stage over nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,21 @@ def test_each_length_is_searched(spark, search):
     for r in search(spark.createDataFrame(rows, VECTORS), every=20).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {0: [2, 1], 20: [21]}
+
+
+@pytest.mark.parametrize(("search", "every", "k"), [(knn.search, 100, 10), (lambda t: ann.search(t, share=1.0), 20, 20)])
+def test_repeated_vectors(spark, search, every, k):
+    """Every row repeated, a query's id with another vector too: each query row has its own whole list."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(130, 4)))]
+    rows += [*rows, (100, [1.0, 2.0, 3.0, 4.0]), (20, [0.5, 0.0, 0.0, -1.0])]
+    x = np.array([v for _, v in rows])
+    whole = np.floor(1024 * x) if every == 100 else x
+    want = []
+    for i, (q, _) in enumerate(rows):
+        if q % every == 0:
+            s = {j: float(whole[j] @ whole[i]) for j in range(len(rows)) if rows[j][0] != q}
+            order = sorted(s, key=lambda j: (-round(s[j], 9), rows[j][0]))[:k]  # noqa: B023
+            want += [(q, n + 1, rows[j][0], round(s[j], 6)) for n, j in enumerate(order)]
+    got = search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(float(r["score"]), 6)) for r in got) == sorted(want)

@@ -475,7 +475,7 @@ def test_recall(spark):
     x = rng.normal(size=(6000, 24))
     x[:2000] = x[0] + 0.01 * rng.normal(size=(2000, 24))
     rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    got = ann.search(rows, every=200, least=1000, sample_rows=3000).toPandas()
+    got = ann.search(rows, every=200, sample_rows=3000).toPandas()
     recall = []
     for q, part in got.groupby("query_id"):
         s = x @ x[q]
@@ -490,7 +490,7 @@ def test_candidates_come_from_visited_leaves(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 12))
     rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    got = ann.search(rows, every=50, share=0.1, least=1, sample_rows=1500).toPandas()
+    got = ann.search(rows, every=50, share=0.1, sample_rows=1500).toPandas()
     unit = np.abs(x).max()
     longest = np.sqrt(((x / unit) ** 2).sum(1)).max()
     even, seed = ann.one_length(x, unit, longest), np.random.default_rng(ann.SEED)
