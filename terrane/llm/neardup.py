@@ -33,12 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LONG_WORD, durable, slices, table
+from .shared import LONG_WORD, durable, screened, slices, table
 
 ROWS, MANTISSA, MISS = 4, 10, 1e-8
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
-#: Bits of the filter that texts pass before they are shuffled: at most so many are broadcast, 8 MB.
-FILTER_BITS = 1 << 26
 WORDS = 250_000
 
 
@@ -334,16 +332,10 @@ def clusters(nodes: DataFrame, percent: int) -> DataFrame:
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """The sets of nodes (doc_id, set_id, ...): set_id, hashes.
 
-    Most texts are no node's that has a likeness. A filter of FILTER_BITS bits, broadcast, keeps them out of the shuffle; the
-    joins behind it are exact, however full the filter is. Both are inner joins: a semi-join would be moved ahead of the filter.
+    Most texts are no node's that has a likeness; they are screened off ahead of the shuffle.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    ids = nodes.select(F.col("doc_id").alias("of_id")).distinct()
-    bits = ids.withColumnRenamed("of_id", "doc_id").select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"))
-    maps = bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
-    marked = docs.select("doc_id", "text").withColumns({"bucket": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "bucket")
-    inside = F.expr("shiftright(cast(conv(hex(substring(map, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1 = 1")
-    texts = marked.filter(inside).select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("of_id")).select("text")
+    ids = nodes.select("doc_id").distinct()
+    texts = screened(docs.select("doc_id", "text"), "doc_id", ids).join(ids.withColumnRenamed("doc_id", "of_id").hint("shuffle_hash"), F.col("doc_id") == F.col("of_id")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)

@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import durable, spans_text, table
+from .shared import durable, screened, spans_text, table
 
 
 class Rule(NamedTuple):
@@ -53,9 +53,13 @@ PEM = (
 ADDED_RULES = (
     Rule("pem", 2, PEM, 1),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
+    Rule("slack", 1, r"xox[abeoprs]-[A-Za-z0-9-]{10,}", 15),
+    Rule("google", 1, r"AIza[A-Za-z0-9_-]{35}", 39),
+    Rule("stripe", 1, r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 24),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30),
 )
 RULES = BASE_RULES + ADDED_RULES
-SPANS = "array<struct<at: bigint, rank: int, kind: string, upto: bigint>>"
+SPANS = "array<struct<at: bigint, kind: string, upto: bigint>>"
 LEDGER = f"blob_id string, rule string, spans {SPANS}"
 
 
@@ -63,36 +67,44 @@ def lengths(parts: Column) -> Column:
     return F.transform(parts, lambda x: F.length(x).cast("long"))
 
 
-def hits(rule: Rule, rank: int) -> Column:
-    """A struct (kind, rank, hits) where the rule matches; hits: length of the gap before, of the match, of its group."""
+def hits(rule: Rule) -> Column:
+    """A struct (rule, kind, hits) where the rule matches; hits: length of the gap before, of the match, of its group."""
     p = F.lit(rule.pattern)
     gaps, found = lengths(F.split("text", rule.pattern, -1)), lengths(F.regexp_extract_all("text", p, F.lit(0)))
     told = lengths(F.regexp_extract_all("text", p, F.lit(rule.group))) if rule.group else found
     every = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("own"), told.alias("told"))
-    named = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rank).alias("rank"), F.lit(rule.least).cast("long").alias("least"), every.alias("hits"))
+    named = F.struct(F.lit(rule.key).alias("rule"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).cast("long").alias("least"), every.alias("hits"))
     return F.when(F.array_contains("todo", rule.key) & F.col("text").rlike(rule.pattern), named)
 
 
 def find(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """blobs (blob_id, todo, text), todo naming the rules to run: (blob_id, kind, rank, at, upto), a row a span."""
-    named = F.filter(F.array(*(hits(r, i) for i, r in enumerate(rules))), lambda x: x.isNotNull())
+    """blobs (blob_id, todo, text), todo naming the rules to run: (blob_id, rule, kind, at, upto), a row a span."""
+    named = F.filter(F.array(*(hits(r) for r in rules)), lambda x: x.isNotNull())
     by_rule = blobs.select("blob_id", F.explode(named).alias("r"))
-    each = by_rule.select("blob_id", "r.kind", "r.rank", "r.least", F.posexplode("r.hits").alias("nth", "h"))
-    upto = F.sum(F.col("h.gap") + F.col("h.own")).over(Window.partitionBy("blob_id", "kind").orderBy("nth"))
-    placed = each.select("blob_id", "kind", "rank", upto.alias("upto"), "h.own", "h.told", "least")
-    return placed.filter("told >= least").select("blob_id", "kind", "rank", (F.col("upto") - F.col("own")).alias("at"), "upto")
+    each = by_rule.select("blob_id", "r.rule", "r.kind", "r.least", F.posexplode("r.hits").alias("nth", "h"))
+    so_far = Window.partitionBy("blob_id", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.select("blob_id", "rule", "kind", F.sum(F.col("h.gap") + F.col("h.own")).over(so_far).alias("upto"), "h.own", "h.told", "least")
+    return placed.filter("told >= least").select("blob_id", "rule", "kind", (F.col("upto") - F.col("own")).alias("at"), "upto")
+
+
+def ranked(spans: Column, rules: tuple[Rule, ...]) -> Column:
+    """Spans of a ledger, by start, then by the rules' order today: array of (at, rank, kind, upto)."""
+    kinds = dict.fromkeys(r.kind for r in rules)  # versions of a kind share its place
+    rank = F.create_map(*(F.lit(x) for i, k in enumerate(kinds) for x in (k, i)))
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["at"].alias("at"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["upto"].alias("upto"))))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of docs (doc_id, text), and the ledger's new rows (blob_id, rule, spans).
 
-    Findings: doc_id, blob_id, spans (by start, then rule), and the columns named in keep. New ledger rows: one
-    for each blob and rule that was not in the ledger, spans null if nothing was found; append them to it.
+    Findings: doc_id, blob_id, spans (at, rank, kind, upto; by start, then rule), and the columns named in keep. New ledger
+    rows: one for each blob and rule that was not in the ledger, spans (at, kind, upto) null if nothing was found; append
+    them to it. A ledger knows rules by kind and version only, so rules may be added, raised and put in another order.
 
     Null text: as empty. Repeated rows and null ids: a row each. No rows: none, and no new ledger rows. Columns
-    not named are ignored. A ledger that names a blob and rule twice counts once.
+    not named are ignored. A ledger that names a blob and rule twice counts once. Texts whose blobs are all in the ledger
+    are hashed where they are, and neither moved nor scanned.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     # A hash of the id, so that null ids are as others. Rows that share it within a blob have one text.
     rows = docs.select(F.xxhash64("doc_id").alias("path"), text).withColumn("blob_id", F.sha2("text", 256))
@@ -106,23 +118,36 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         blobs = blobs.select("blob_id", "path", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
     blobs = durable(blobs.filter(F.size("todo") > 0))
     one = blobs.select(F.col("blob_id").alias("b"), F.col("path").alias("p"), "todo").hint("shuffle_hash")
-    chosen = rows.join(one, (rows["blob_id"] == one["b"]) & (rows["path"] == one["p"])).select("blob_id", "path", "todo", "text")
+    unseen = rows if ledger is None else screened(rows, "blob_id", blobs.select("blob_id"))
+    chosen = unseen.join(one, (unseen["blob_id"] == one["b"]) & (unseen["path"] == one["p"])).select("blob_id", "path", "todo", "text")
     chosen = chosen.dropDuplicates(["blob_id", "path"])  # one path a blob: one row of it, dealt as the join is
-    span = F.struct("at", "rank", "kind", "upto")
-    fresh = durable(find(chosen.select("blob_id", "todo", "text"), rules).groupBy("blob_id", "kind").agg(F.collect_list(span).alias("spans")))
-    rule_of = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.key)))
+    span = F.struct("at", "kind", "upto")
+    keyed = durable(find(chosen.select("blob_id", "todo", "text"), rules).groupBy("blob_id", "rule").agg(F.array_sort(F.collect_list(span)).alias("spans")))
     todo = blobs.select("blob_id", F.explode("todo").alias("rule"))
-    keyed = fresh.select("blob_id", rule_of[F.col("kind")].alias("rule"), "spans")
     new = todo.join(keyed, ["blob_id", "rule"], "left").select("blob_id", "rule", F.col("spans").cast(SPANS).alias("spans"))
     known = keyed if ledger is None else keyed.unionByName(ledger.filter(F.col("rule").isin([r.key for r in rules]) & F.col("spans").isNotNull()).select("blob_id", "rule", F.col("spans").cast(SPANS).alias("spans")).dropDuplicates(["blob_id", "rule"]))
     # Cut off, so that a blob of very many rows meets its findings in a join that can be split.
-    by_blob = durable(known.groupBy(F.col("blob_id").alias("found_id")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
+    by_blob = durable(known.groupBy(F.col("blob_id").alias("found_id")).agg(ranked(F.flatten(F.collect_list("spans")), rules).alias("spans")))
     paths = docs.select("doc_id", F.sha2(text, 256).alias("blob_id"), *(c for c in keep if c not in ("doc_id", "blob_id")))
-    empty = F.array().cast(SPANS)
+    empty = F.array().cast(by_blob.schema["spans"].dataType)
     found = paths.join(by_blob, paths["blob_id"] == by_blob["found_id"], "left").select("doc_id", "blob_id", F.coalesce("spans", empty).alias("spans"), *(c for c in keep if c != "doc_id"))
     return found, new
 
 
+def scan_with_ledger(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The findings of scan(), with the ledger in a folder as Parquet: read if it is there, and appended to.
+
+    Run it again over a grown corpus, or with a rule's version raised, and only what is new is scanned. One writer at a
+    time; rows that were appended twice count once.
+    """
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    found, new = scan(docs, spark.read.schema(LEDGER).parquet(folder) if known else None, rules, keep)
+    new.write.mode("append").parquet(folder)
+    return found
+
+
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """text with each stretch that spans cover replaced by mark; null where text is null."""
     start = F.struct(F.lit(1).cast("long").alias("next"), F.array().cast("array<string>").alias("out"))

@@ -61,6 +61,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             at, done = stop, int(ends[min(stop, batch.num_rows) - 1])
 
 
+#: Bits of the filter that screened() broadcasts at most: 8 MB.
+FILTER_BITS = 1 << 26
+
+
+def screened(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be among those of wanted (one column of that name): all that are, and few others while wanted is small.
+
+    A bit for each hash of a key, broadcast, so that nothing of the other rows is shuffled. Join the rows with wanted, as an
+    inner join, for the exact answer; a semi-join would be moved ahead of this filter. Null keys are left out.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = wanted.filter(F.col(key).isNotNull()).select(F.bitmap_bucket_number(bit).alias("bucket_"), F.bitmap_bit_position(bit).alias("at_"))
+    maps = bits.groupBy("bucket_").agg(F.bitmap_construct_agg("at_").alias("map_"))
+    marked = rows.filter(F.col(key).isNotNull()).withColumns({"bucket_": F.bitmap_bucket_number(bit), "at_": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "bucket_")
+    inside = F.expr("shiftright(cast(conv(hex(substring(map_, cast(at_ div 8 as int) + 1, 1)), 16, 10) as int), cast(at_ % 8 as int)) & 1 = 1")
+    return marked.filter(inside).select(*rows.columns)
+
+
 def spans_text(spans: str) -> F.Column:
     """SQL expression of an array of struct(at, rank, kind, upto), as kind:start:end by start, then rank."""
     return F.expr(f"array_join(transform(array_sort({spans}), s -> concat(s.kind, ':', s.at, ':', s.upto)), ',')")
