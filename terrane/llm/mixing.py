@@ -7,7 +7,8 @@ the level at which it is full, need no more than there is.
 
 A source's documents are taken a whole number of times, and once more for those that come first in a
 seeded order until the rest of the target is met. The order is by MD5 of seed and id; its first digits
-cut a source into bins, so a source with a third of all rows is ordered by many tasks. Native throughout.
+cut a source into bins, so a source with a third of all rows is ordered by many tasks. Sources themselves are ranked
+and summed up in ranges, so there may be as many as there are rows. Native throughout.
 """
 
 from __future__ import annotations
@@ -23,25 +24,35 @@ SEED = "mix-1"
 BIN_DIGITS = 3
 
 
+def ahead(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each name of sums, the total of that column over all rows before, in that order, which has no ties.
+
+    Ranges are summed up each by a task, and then the ranges' totals, one row for each task.
+    """
+    parts = durable(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    earlier = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("part").agg(*(F.sum(c).alias(f"{n}_all") for n, c in sums.items()))
+    totals = totals.select("part", *(F.coalesce(F.sum(f"{n}_all").over(earlier), F.lit(0)).alias(f"{n}_all") for n in sums))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{n}_own") for n, c in sums.items()))
+    return parts.join(F.broadcast(totals), "part").select(*rows.columns, *((F.col(f"{n}_all") + F.col(f"{n}_own")).alias(n) for n in sums))
+
+
 def fill(sources: DataFrame, cap: int = CAP) -> DataFrame:
-    """sources (source, weight long, size long), with target double, as well as whole long and rest long.
+    """sources (source, nth long, weight long, size long), with target double, as well as whole long and rest long.
 
-    whole: how often all of the source is taken; rest: the words taken beyond that.
-    One row for each source; sums are exact (decimals).
+    whole: how often all of the source is taken; rest: the words taken beyond that. nth tells sources apart.
+    Sums are exact (decimals, and integers of the driver, which gets two rows of totals).
     """
-    wide = sources.select("*", (F.col("size") * cap).cast("decimal(38,0)").alias("most"), F.col("weight").cast("decimal(20,0)").alias("w"))
-    every = Window.partitionBy()
-    by_ratio = Window.partitionBy().orderBy((F.col("most").cast("double") / F.col("weight")), "nth")
-    wide = wide.withColumn("total", F.sum("size").over(every)).withColumn("w_all", F.sum("weight").over(every))
-    wide = wide.withColumn("most_before", F.coalesce(F.sum("most").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wide = wide.withColumn("w_left", F.col("w_all") - F.coalesce(F.sum("weight").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    full = F.col("most_before") * F.col("w") + F.col("most") * F.col("w_left") <= F.col("total") * F.col("w")
-    wide = wide.withColumn("clamped", full)
-    open_words = F.col("total") - F.sum(F.when(F.col("clamped"), F.col("size") * cap).otherwise(0)).over(every)
-    open_weight = F.sum(F.when(F.col("clamped"), 0).otherwise(F.col("weight"))).over(every)
-    wide = wide.withColumn("open_words", open_words).withColumn("open_weight", open_weight)
-    share = (F.col("weight") * F.col("open_words")).cast("double") / F.col("open_weight").cast("double")
-    target = F.when(F.col("clamped"), (F.col("size") * cap).cast("double")).otherwise(F.least(share, (F.col("size") * cap).cast("double")))
+    total, weights_ = (x or 0 for x in sources.agg(F.sum("size"), F.sum("weight")).first())
+    most, w = (F.col("size") * cap).cast("decimal(38,0)"), F.col("weight").cast("decimal(20,0)")
+    ratio = (F.col("size") * cap).cast("double") / F.col("weight")
+    wide = ahead(sources, [ratio.asc(), F.col("nth").asc()], {"most_before": most, "w_before": w})
+    full = F.col("most_before") * w + most * (F.lit(weights_) - F.col("w_before")) <= F.lit(total).cast("decimal(38,0)") * w
+    wide = durable(wide.withColumn("clamped", full))
+    shut_words, shut_weight = (int(x or 0) for x in wide.filter("clamped").agg(F.sum(most), F.sum(w)).first())
+    share = (F.col("weight") * F.lit(total - shut_words)).cast("double") / F.lit(float(weights_ - shut_weight))
+    target = F.when(F.col("clamped"), most.cast("double")).otherwise(F.least(share, most.cast("double")))
     wide = wide.withColumn("target", target).withColumn("words", F.floor(F.col("target") + 0.5).cast("long"))
     whole = F.when(F.col("size") > 0, F.least(F.floor(F.col("words") / F.col("size")), F.lit(cap))).otherwise(0).cast("long")
     return wide.withColumn("whole", whole).withColumn("rest", F.least(F.col("words") - F.col("whole") * F.col("size"), F.col("size"))).select(
@@ -51,8 +62,8 @@ def fill(sources: DataFrame, cap: int = CAP) -> DataFrame:
 
 def weights(names: DataFrame) -> DataFrame:
     """names (source, size): weights 1, 2, 3, repeating, by code point of the name, null last."""
-    nth = F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last())) - 1
-    return names.select("source", "size", nth.alias("nth")).withColumn("weight", (F.col("nth") % 3 + 1).cast("long"))
+    numbered = ahead(names, [F.col("source").asc_nulls_last()], {"nth": F.lit(1).cast("long")})
+    return numbered.select("source", "size", "nth", (F.col("nth") % 3 + 1).cast("long").alias("weight"))
 
 
 def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED, keep: tuple[str, ...] = (), split_last: bool = True) -> DataFrame:
