@@ -81,7 +81,7 @@ def shard(docs: DataFrame, shards: int = 40, atoms: int = ATOMS) -> DataFrame:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(atoms)).cast("int").alias("atom"),
-        F.xxhash64(F.col("doc_id")).alias("spread"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id")).alias("spread"),
     )
     rows = durable(rows)
     sums = sorted(map(tuple, rows.groupBy("atom").agg(F.sum("size"), F.count("*")).collect()))  # at most `atoms` rows
