@@ -2,7 +2,7 @@
 
 Each pattern is matched in linear time whatever the text: repeats are possessive, starts are anchored by what
 precedes them, and e-mail addresses are found from their @. Cards must pass Luhn's check, IBANs mod 97,
-and those are cut at their country's length. A span's score is its kind's prior, raised if one of the kind's context words stands within NEAR characters.
+and those are cut at their country's length. A span's score is its kind's prior, raised if one of the kind's context words stands whole within NEAR characters.
 Base kinds (email, ip, card, phone) are kept at any score; iban and ssn need THRESHOLD.
 
 The work is row by row in Arrow slices: no shuffle, and memory bounded by a slice.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +25,10 @@ BASE = 4
 LOCAL_PART = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "ssn": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "address", "host", "server"),
-    "card": ("card", "visa", "mastercard", "credit", "debit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "email": ("mail", "mails", "email", "emails", "contact", "write"),
+    "ip": ("ip", "ips", "address", "addresses", "host", "hosts", "server", "servers"),
+    "card": ("card", "cards", "visa", "mastercard", "credit", "debit", "payment", "payments"),
+    "phone": ("phone", "phones", "telephone", "tel", "call", "calls", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
 }
@@ -54,7 +54,7 @@ IBAN_LENGTHS = {
 }
 SSN = re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", re.A)
 NOT_DIGIT = re.compile(r"[^0-9]+")
-NEARBY = {k: re.compile(r"(?:^|[^A-Za-z])(?:" + "|".join(words) + r")", re.I | re.A) for k, words in CONTEXT.items()}
+NEARBY = {k: re.compile(r"[^A-Za-z](?:" + "|".join(words) + r")[^A-Za-z]", re.I | re.A) for k, words in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -123,9 +123,11 @@ def proposals(text: str) -> Iterator[tuple[int, int, str]]:
 
 def find(text: str | None) -> list[tuple[int, int, str, float]]:
     """Spans (start, end, kind, score) by start, then kind in the order of KINDS."""
-    found = []
+    found, edged = [], None
     for start, end, kind in proposals(text or ""):
-        near = NEARBY[kind].search(text[max(0, start - NEAR) : start]) or NEARBY[kind].search(text[end : end + NEAR])
+        if edged is None:
+            edged = f" {text} "  # a position of text is one more here; each stretch has a character beyond its ends, so that words are whole
+        near = NEARBY[kind].search(edged[max(0, start - NEAR) : start + 2]) or NEARBY[kind].search(edged[end : end + NEAR + 2])
         score = min(1.0, PRIOR[kind] + RAISE * bool(near))
         if kind in KINDS[:BASE] or score >= THRESHOLD:
             found.append((start, end, kind, score))
@@ -148,26 +150,38 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts: no spans. Repeated rows and null ids: a row each. No rows: no rows. Other columns are
     ignored. Positions are code points, ends exclusive.
     """
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
+
+    def found(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([[dict(zip(("start", "end", "kind", "score"), s, strict=True)) for s in find(t)] for t in texts], kind)]
+
+    return by_text(docs, found, {"found": SPANS})
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """Counts by kind, digest and text of the spans, and the top score, of every row of docs, in the pass that finds them. See scan()."""
+
+    def told(texts: list[str | None]) -> list[pa.Array]:
+        rows = [digest(find(t)) for t in texts]
+        return [pa.array([r[c] for r in rows], kind) for c, kind in OUT.items()]
+
+    return by_text(docs, told, {c: SQL[kind] for c, kind in OUT.items()})
+
+
+def by_text(docs: DataFrame, made: Callable[[list[str | None]], list[pa.Array]], columns: dict[str, str]) -> DataFrame:
+    """doc_id, and the columns that are made of slices of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
         for b in slices(batches):
-            found = [[dict(zip(("start", "end", "kind", "score"), s, strict=True)) for s in find(t)] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *made(b.column(1).to_pylist())], ["doc_id", *columns])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found {SPANS}")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = [digest([(s["start"], s["end"], s["kind"], s["score"]) for s in x]) for x in b.column(1).to_pylist()]
-            columns = [pa.array([r[c] for r in rows], kind) for c, kind in OUT.items()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *OUT])
-
     order = [f"n_{k}" for k in KINDS[:BASE]] + ["base_sha256", "spans"] + [f"n_{k}" for k in KINDS[BASE:]] + ["top_score"]
-    found = scan(table(spark, sf_dir, "documents"))
-    return found.mapInArrow(digests, "doc_id bigint, " + ", ".join(f"{c} {SQL[kind]}" for c, kind in OUT.items())).select("doc_id", *order)
+    return digests(table(spark, sf_dir, "documents")).select("doc_id", *order)
 
 
 OUT = {f"n_{k}": pa.int64() for k in KINDS} | {"base_sha256": pa.string(), "spans": pa.string(), "top_score": pa.float64()}
@@ -189,8 +203,8 @@ def _oracle() -> str:
     value = "CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END"
     mod = f"list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: {value})), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
     prior = " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in PRIOR.items())
-    context = " ".join(f"WHEN '{k}' THEN '(?i)(^|[^A-Za-z])({'|'.join(w)})'" for k, w in CONTEXT.items())
-    near = f"regexp_matches(substr(text, greatest(pos - {NEAR}, 0) + 1, least(pos, {NEAR})), CASE kind {context} END) OR regexp_matches(substr(text, pos + n + 1, {NEAR}), CASE kind {context} END)"
+    context = " ".join(f"WHEN '{k}' THEN '(?i)[^A-Za-z]({'|'.join(w)})[^A-Za-z]'" for k, w in CONTEXT.items())
+    near = f"regexp_matches(substr(' ' || text || ' ', greatest(pos - {NEAR}, 0) + 1, pos + 2 - greatest(pos - {NEAR}, 0)), CASE kind {context} END) OR regexp_matches(substr(' ' || text || ' ', pos + n + 1, {NEAR} + 2), CASE kind {context} END)"
     count = lambda k: f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}"
     zeros = lambda k: f"coalesce(n_{k}, 0) AS n_{k}"
     return f"""
