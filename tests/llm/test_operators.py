@@ -66,6 +66,10 @@ def test_pii_scores():
     assert pii.find("GB83WEST12345698765432") == []
     assert pii.find("number 123-45-6789") == [] and pii.find("my ssn is 123-45-6789")[0][2] == "ssn"
     assert pii.find("call +1 (545) 555-9193")[0][3] > pii.find("xxxx +1 (545) 555-9193")[0][3]
+    for text in ("he told tellers ipsum 1.2.3.4", "x" * 38 + "ip 1.2.3.4", "shipping 1.2.3.4", "1.2.3.4 ipsum", "1.2.3.4" + " " * 37 + "hostile"):
+        assert pii.find(text)[0][3] == pii.PRIOR["ip"], text
+    for text in ("ip 1.2.3.4", "IP:1.2.3.4", "x host" + " " * 35 + "1.2.3.4", "1.2.3.4 host", "1.2.3.4" + " " * 36 + "host", "1.2.3.4" + " " * 36 + "host x"):
+        assert pii.find(text)[0][3] > 0.9, text
 
 
 def test_ibans_before_words_and_numbers():
@@ -118,6 +122,37 @@ def test_secrets_and_ledger(spark):
     later, rescanned = secrets.scan(docs, ledger, newer)
     assert {r["rule"] for r in rescanned.select("rule").distinct().collect()} == {"hex@2"}
     assert {r["doc_id"]: len(r["spans"]) for r in later.collect()} == {k: len(v) for k, v in said.items()}
+    # A rule put in front: what the ledger knows takes its place behind it.
+    front = (secrets.Rule("word", 1, "[a-z]{3,}", 3), *secrets.RULES)
+    moved, _ = secrets.scan(docs, ledger, front)
+    for r in moved.collect():
+        assert all(s["rank"] == [x.kind for x in front].index(s["kind"]) for s in r["spans"])
+        assert [f"{s['kind']}:{s['at']}:{s['upto']}" for s in r["spans"] if s["kind"] != "word"] == said[r["doc_id"]]
+    both = (*secrets.RULES, secrets.RULES[2]._replace(version=2, pattern="[0-9a-f]{20,}", least=20))
+    twice, _ = secrets.scan(docs, ledger, both)
+    hexes = {i: [x for x in brute_secrets(t or "") if x.startswith("hex")] for i, t in enumerate(TRICKY)}
+    for r in twice.collect():
+        own = [f"{s['kind']}:{s['at']}:{s['upto']}" for s in r["spans"] if s["kind"] == "hex"]
+        longer = [x for x in hexes[r["doc_id"]] if int(x.split(":")[2]) - int(x.split(":")[1]) >= 20]
+        assert sorted(own) == sorted(hexes[r["doc_id"]] + longer)
+
+
+def test_a_ledger_in_a_folder(spark, tmp_path):
+    one = [(i, f"{t} end") for i, t in enumerate(TRICKY)]
+    two = one[2:] + [(50, "token=ABCDEFGHIJKLMNOPQRST"), (51, one[0][1])]
+    for rows in (one, two, two, []):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        found = secrets.scan_with_ledger(docs, f"file://{tmp_path}/ledger").collect()
+        assert {r["doc_id"]: [f"{s['kind']}:{s['at']}:{s['upto']}" for s in r["spans"]] for r in found} == {i: brute_secrets(t) for i, t in rows}
+    rows = spark.read.parquet(f"file://{tmp_path}/ledger")
+    assert rows.count() == rows.select("blob_id", "rule").distinct().count() == len(secrets.RULES) * len({t for _, t in one + two})
+
+
+def test_added_rules(spark):
+    part = "aB3" * 12
+    texts = [f"x xoxb-{part} y", f"AIza{part[:35]} y", f"sk_live_{part}", f"eyJ{part}.eyJ{part}.{part}", f"ghp_{part}", "xoxb-1 AIza eyJ.eyJ.x sk_live_"]
+    found, _ = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in found.collect()} == {0: ["slack"], 1: ["google"], 2: ["stripe"], 3: ["jwt"], 4: ["github"], 5: []}
 
 
 def test_repeated_rows_and_null_ids_are_scanned_once(spark):
@@ -197,6 +232,14 @@ def test_water_filling_against_iteration(spark):
         assert all(got[f"s{i}"] == pytest.approx(t) for i, t in target.items())
 
 
+def test_ranges_are_summed_up(spark):
+    r = random.Random(9)
+    rows = [(f"s{i:04d}" if i else None, r.randint(0, 9)) for i in range(500)]
+    r.shuffle(rows)
+    got = mixing.weights(spark.createDataFrame(rows, "source string, size bigint").repartition(7)).collect()
+    assert {x["source"]: (x["nth"], x["weight"]) for x in got} == {s: (i, i % 3 + 1) for i, (s, _) in enumerate(sorted(rows, key=lambda x: (x[0] is None, x[0])))}
+
+
 # Packing: the pieces put together again are the documents.
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
@@ -545,7 +588,7 @@ def test_pipeline(spark):
 
     def clean(text):
         out, upto = [], 0
-        for s in brute_secrets(text) + [f"pem:{m.start()}:{m.end()}" for r in secrets.ADDED_RULES for m in re.finditer(r.pattern, text)]:
+        for s in brute_secrets(text) + [f"pem:{m.start()}:{m.end()}" for r in secrets.ADDED_RULES for m in re.finditer(r.pattern, text, re.A)]:
             out.append(tuple(map(int, s.split(":")[1:])))
         pieces = []
         for a, b in sorted(out):
