@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import slices, table
+from .shared import LONG_WORD, slices, table
 from .tokencount import tokenizer_path
 
 MODEL = "word_bpe_49k.json"
@@ -30,8 +30,8 @@ END = 2
 LENGTH = 4096
 WINDOW = 256
 QUADRATIC = 1 / 4096
-#: Most words with known ids in a Python worker, in each of two generations.
-WORDS = 500_000
+#: Most words with known ids in a Python worker, in each of two generations; none of more than LONG_WORD characters.
+WORDS = 300_000
 PUNCTUATION = ".,;:!?|"
 #: Words of letters that are encoded in one call.
 JOINED = 1000
@@ -105,12 +105,10 @@ class Encoder:
                     continue
                 known[w] = ids
             out[w] = ids
-        fresh = self.ids_of(list(plain), list(rest))
-        known.update(fresh)
-        out.update(fresh)
+        out.update(fresh := self.ids_of(list(plain), list(rest)))
         for w in split:
-            out[w] = out[w[:-1]] + out[w[-1]]
-            known[w] = out[w]
+            out[w] = fresh[w] = out[w[:-1]] + out[w[-1]]
+        known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG_WORD)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -6,10 +6,12 @@ positions where a longer token could still begin, which token ended there and ho
 a state; the transition to the next carries the change of the count. Transitions are compiled when a
 text first needs them and kept in a bounded table.
 
-A space that follows another character brings the machine back to its start, for no token crosses that
-boundary. So a chunk of a text has a short state map: what stands before its first boundary, the count
-between, what stands after the last. Maps compose associatively; a text of several chunks is the tree of
-compositions over them. Counts of words between boundaries are kept in a bounded table of their own.
+A space that follows another character, and a line break, bring the machine back to its start, for no token crosses
+that boundary. Texts are cut there into chunks, and chunks longer than PIECE into pieces. A chunk has a state map: from
+the state in which the machine enters to the one in which it leaves, with the tokens counted between. Maps compose
+associatively. That of a chunk behind a boundary is the same for all entering states, so a scan over the
+chunks of many texts is a running sum of their counts; the pieces of a long chunk have maps that are filled in for
+the states that occur, and are composed in a tree. Maps of chunks are kept in a bounded table.
 
 Runs of spaces, whose tokens tie in score, are left to plain BPE; so are the pairs of tokens above.
 """
@@ -19,23 +21,47 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from collections.abc import Iterator
-from functools import lru_cache
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import slices, table
+from .shared import LONG_WORD, slices, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK = 1 << 20
-#: Most entries of the tables of words, transitions and pairs in a Python worker.
-WORDS, ARCS, PAIRS = 250_000, 400_000, 400_000
+#: Characters of a piece of a chunk; and about so many of a text are cut into chunks at a time.
+PIECE, STRETCH = 1024, 1 << 20
+#: Most entries of the tables of chunks (in each of two generations), transitions and pairs in a Python worker.
+CHUNKS, ARCS, PAIRS = 200_000, 400_000, 400_000
 #: How a transition is packed: so many bits for the change of the count, which is in -HALF..HALF.
 BITS, HALF, MASK = 6, 32, 63
-UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Chunks of a text that begins with a space: behind a line break, behind a run of spaces, behind one space.
+CUT = re.compile(r"\n[^ \n]*|  +[^ \n]*| [^ \n]*")
+BOUNDARY = re.compile("[^ ](?= )")
+
+
+class StateMap:
+    """What a stretch of text does to the machine: leaving state and count for each entering state, found when first asked for."""
+
+    def __init__(self, run: Callable[[int], tuple[int, int]]):
+        self.run, self.known = run, {}
+
+    def __getitem__(self, state: int) -> tuple[int, int]:
+        if (to := self.known.get(state)) is None:
+            to = self.known[state] = self.run(state)
+        return to
+
+    def then(self, other: StateMap) -> StateMap:
+        def run(state: int) -> tuple[int, int]:
+            middle, n = self[state]
+            end, m = other[middle]
+            return end, n + m
+
+        return StateMap(run)
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,7 +92,7 @@ class Transducer:
         self.scores = {p: proto.pieces[i].score for p, i in self.ids.items()}
         self.starts = {p[:n] for p in self.ids for n in range(len(p))}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, int] = {}
+        self.chunks: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.reset()
 
@@ -130,90 +156,79 @@ class Transducer:
             self.states.append(name)
         return self.names[name] << BITS | emitted + HALF
 
-    def run(self, text: str) -> int:
-        """Tokens of a text without runs of spaces, from the start state. The table is emptied before a text, never in it."""
-        if len(self.arcs) >= ARCS:
-            self.reset()
-        state = total = 0
-        arcs = self.arcs
+    def walk(self, state: int, text: str) -> tuple[int, int]:
+        """The state behind a text without runs of spaces, and the tokens counted."""
+        total, arcs = 0, self.arcs
         for c in map(ord, text):
             if (to := arcs.get(state << 21 | c)) is None:
                 to = arcs[state << 21 | c] = self.arc(state, chr(c))
             state = to >> BITS
             total += (to & MASK) - HALF
-        return total
+        return state, total
+
+    def run(self, chunk: str) -> int:
+        """Tokens of a chunk, from the start state. The table of transitions is emptied before a chunk, never in it."""
+        if len(self.arcs) >= ARCS:
+            self.reset()
+        if len(chunk) <= PIECE:
+            return self.walk(0, chunk)[1]
+        cut = [chunk[i : i + PIECE] for i in range(0, len(chunk), PIECE)]
+        own = {p: StateMap(partial(self.walk, text=p)) for p in cut}
+        maps = [own[p] for p in cut]
+        while len(maps) > 1:
+            maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0][0][1]
+
+    def first(self, chunk: str) -> int:
+        """Tokens of a chunk as chunks_of() gives it."""
+        if chunk[:1] == "\n":
+            return 1 + self.run(chunk[1:])
+        if chunk[:2] == "  ":
+            return self.plainly(chunk.replace(" ", SPACE))
+        return self.run(SPACE + chunk)
 
     def learn(self, chunks: set[str]) -> dict[str, int]:
-        """Counts of chunks: what stood between two spaces, or behind a line break if that comes first."""
-        known, old, out = self.words, self.older, {}
-        if len(known) >= WORDS:
+        """Counts of chunks; those of long ones are not kept."""
+        known, old, out = self.chunks, self.older, {}
+        if len(known) >= CHUNKS:
             self.older = old = known
-            self.words = known = {}
-        for w in chunks:
-            if (n := known.get(w)) is None:
-                if (n := old.get(w)) is None:
-                    n = 1 + self.run(w[1:]) if w[:1] == "\n" else self.run(SPACE + w)
-                known[w] = n
-            out[w] = n
+            self.chunks = known = {}
+        for c in chunks:
+            if (n := known.get(c)) is None:
+                if (n := old.get(c)) is None:
+                    n = self.first(c)
+                if len(c) <= LONG_WORD:
+                    known[c] = n
+            out[c] = n
         return out
 
-    def spaced(self, texts: list[str]) -> list[int]:
-        """Tokens of texts whose spaces all count: each begins with a space or is empty."""
-        plain = [t[1:].replace("\n", " \n").split(" ") if "  " not in t else [] for t in texts]
-        counts = self.learn(set().union(*plain)) if plain else {}
-        found = [sum(map(counts.__getitem__, p)) for p in plain]
-        return [n if t and "  " not in t else self.runs(t) for n, t in zip(found, texts, strict=True)]
-
-    def runs(self, text: str) -> int:
-        units = UNITS.findall(text.replace(" ", SPACE))
-        return sum(self.unit(u) if u.startswith(SPACE * 2) else self.run(u) for u in units)
-
-    def unit(self, text: str) -> int:
+    def plainly(self, text: str) -> int:
         """Plain BPE; unknown characters count as their bytes."""
         return sum(1 if p in self.scores else len(p.encode("utf-8", "surrogatepass")) for p in self.bpe(text))
 
-    def chunk(self, text: str) -> StateMap:
-        """The state map of a chunk."""
-        cuts = [m.start() + 1 for m in (BOUNDARY.search(text), LAST_BOUNDARY.search(text)) if m]
-        if not cuts:
-            return StateMap(text, None, "")
-        a, b = cuts[0], cuts[-1]
-        return StateMap(text[:a], self.spaced([text[a:b]])[0], text[b:])
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        if b.body is None:
-            return StateMap(a.head + b.head, None, "") if a.body is None else StateMap(a.head, a.body, a.tail + b.head)
-        if a.body is None:
-            return StateMap(a.head + b.head, b.body, b.tail)
-        return StateMap(a.head, a.body + self.open(a.tail + b.head) + b.body, b.tail)
-
-    def open(self, text: str) -> int:
-        return self.spaced([text])[0] if text.startswith(" ") else self.runs(text)
-
-    def long(self, text: str) -> int:
-        """Tokens of a long text: state maps of its chunks, composed in a tree."""
-        maps = [self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        whole = maps[0]
-        return self.open(whole.head) + (whole.body or 0) + (self.open(whole.tail) if whole.tail else 0)
-
     def count(self, texts: list[str]) -> list[int]:
-        marked = [f" {t.replace(SPACE, ' ')}" if t else "" for t in texts]
-        short = iter(self.spaced([t for t in marked if len(t) <= CHUNK]))
-        return [next(short) if len(t) <= CHUNK else self.long(t) for t in marked]
-
-
-class StateMap(NamedTuple):
-    """What a chunk does to any state: text before its first boundary, count up to the last (None: no boundary), text after."""
-
-    head: str
-    body: int | None
-    tail: str
-
-
-BOUNDARY = re.compile("[^ ](?= )")
-LAST_BOUNDARY = re.compile("[^ ](?= +[^ ]*$)")
+        """Tokens of each text: a scan over the counts of the chunks of all of them."""
+        cuts = [(i, chunks_of(part)) for i, t in enumerate(texts) if t for part in stretches(f" {t.replace(SPACE, ' ')}")]
+        counts = self.learn(set().union(*(c for _, c in cuts)))
+        ahead = np.cumsum(np.fromiter(chain([0], map(counts.__getitem__, chain.from_iterable(c for _, c in cuts))), np.int64))
+        ends = np.cumsum([0, *(len(c) for _, c in cuts)])
+        return np.bincount([i for i, _ in cuts], ahead[ends[1:]] - ahead[ends[:-1]], len(texts)).astype(np.int64).tolist() if cuts else [0] * len(texts)
+
+
+def chunks_of(text: str) -> list[str]:
+    """Chunks of a text that begins with a space: each without the one space before it, behind a line break, or behind a run of spaces."""
+    if "  " not in text:
+        return text[1:].replace("\n", " \n").split(" ")
+    return [c if c[0] == "\n" or c[:2] == "  " else c[1:] for c in CUT.findall(text)]
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A long text in parts, each up to a boundary, so that not all its chunks are in memory at a time."""
+    at = 0
+    while len(text) - at > STRETCH and (m := BOUNDARY.search(text, at + STRETCH)):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
 
 
 @lru_cache(maxsize=1)

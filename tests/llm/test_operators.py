@@ -369,11 +369,28 @@ def test_counts_are_the_library_s():
     texts = ["".join(r.choice(alphabets[k % 3]) for _ in range(r.randint(0, 60))) for k in range(4000)] + documents()["text"].tolist()
     want = [len(x) for x in library.encode(texts)]
     assert machine.count(texts) == want
-    old, tokencount.CHUNK = tokencount.CHUNK, 23
+    texts += [" ".join(texts) + "x" * 5_000 + " ".join(texts) * 9, "ab" * 60_000 + " " + "qwertyé" * 20_000, "a  b" * 9_000 + " " * 3_000 + "c\n" * 5_000]
+    assert len(texts[-3]) > 2_000_000
+    for t in texts[-3:]:
+        assert machine.count([t]) == [len(library.encode(t))]
+    old = tokencount.PIECE, tokencount.STRETCH
+    tokencount.PIECE, tokencount.STRETCH = 3, 17
     try:
+        machine.chunks, machine.older = {}, {}
         assert machine.count(texts[:2000]) == want[:2000]
     finally:
-        tokencount.CHUNK = old
+        tokencount.PIECE, tokencount.STRETCH = old
+
+
+def test_state_maps_compose():
+    machine = tokencount.Transducer(tokencount.tokenizer_path(tokencount.MODEL))
+    r = random.Random(6)
+    for _ in range(200):
+        word = tokencount.SPACE + "".join(r.choice("etaoinshrdlué") for _ in range(r.randint(1, 60)))
+        a, b = sorted(r.choices(range(len(word) + 1), k=2))
+        one, two, three = (tokencount.StateMap(lambda s, t=t: machine.walk(s, t)) for t in (word[:a], word[a:b], word[b:]))
+        whole = machine.walk(0, word)
+        assert one.then(two).then(three)[0] == one.then(two.then(three))[0] == whole
 
 
 # Near-duplicates.
