@@ -15,6 +15,7 @@ no switch can pay: within any stretch no other language gains more than SWITCH o
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import LONG_WORD, slices, table
+from .shared import LONG_WORD, slices, small_batches, table
 
 TRAIN_DOCS = 6000
 GRAMS = 200_000
@@ -35,7 +36,7 @@ PRIOR = 2000.0
 ACCEPT = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Most words with known scores in a Python worker; those of more than LONG_WORD characters are known for a slice only.
-WORDS = 400_000
+WORDS = 600_000
 # First code points of ranges of scripts.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"),
@@ -104,6 +105,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS
     A gram's probability in a language leans towards its mean over the languages, as PRIOR grams would; so a language of
     which little is known is not likelier than others for what is rare in them.
     """
+    small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id", "text", F.lit(SEED))
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", order.alias("o"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
@@ -241,18 +243,24 @@ class Scorer:
 
 def viterbi(scores: np.ndarray, price: float = SWITCH) -> np.ndarray:
     """The best label of each row, a change costing price; the first of equals."""
-    n, k = scores.shape
-    best, back = scores[0].astype(np.float64), np.zeros((n, k), np.int64)
-    own = np.arange(k)
-    for i in range(1, n):
-        top = int(best.argmax())
-        switch = best[top] - price > best
-        back[i] = np.where(switch, top, own)
-        best = np.where(switch, best[top] - price, best) + scores[i]
-    out = np.zeros(n, np.int64)
-    out[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
+    k = scores.shape[1]
+    best = scores[0].tolist()
+    ahead = array("d", best)  # what the labels have before each row but the first, and at the end
+    for row in scores[1:].tolist():  # plain floats: there are few labels and many rows
+        floor = max(best) - price
+        best = [(b if b >= floor else floor) + s for b, s in zip(best, row, strict=True)]
+        ahead.extend(best)
+    had = np.frombuffer(ahead).reshape(-1, k)
+    top = had.argmax(1)
+    switched = had < (had.max(1) - price)[:, None]
+    changes = np.flatnonzero(switched[:-1].any(1))[::-1].tolist()
+    out = np.empty(len(scores), np.int64)
+    now, upto = int(top[-1]), len(scores)
+    for i in changes:  # between them a label stays what it was
+        if switched[i, now]:
+            out[i + 1 : upto] = now
+            now, upto = int(top[i]), i + 1
+    out[:upto] = now
     return out
 
 
@@ -307,6 +315,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     words with one label, as words:language, comma-joined. Null text, or none with letters: und, 0 and no
     spans; and so without a language learnt. Repeated rows and null ids: a row each. No rows: none.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS rows at most
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.string())])
 

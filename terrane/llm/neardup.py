@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LONG_WORD, durable, screened, slices, table
+from .shared import LONG_WORD, durable, screened, slices, small_batches, table
 
 ROWS, MANTISSA, MISS = 4, 10, 1e-8
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
@@ -402,6 +402,7 @@ def dedup(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     document and linked with each other, each by its own text with others. Null doc_id: takes no part; component_id null,
     kept. No rows: none. Other columns are ignored. Ties between centers go to the larger node.
     """
+    small_batches(docs.sparkSession)
     rows = durable(signatures(docs, size, percent))
     full = rows.filter("n > 0 and doc_id is not null")
     own = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))  # a set has one n and registers

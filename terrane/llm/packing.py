@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import LONG_WORD, slices, table
+from .shared import LONG_WORD, slices, small_batches, table
 from .tokencount import tokenizer_path
 
 MODEL = "word_bpe_49k.json"
@@ -201,6 +201,7 @@ def pack(docs: DataFrame, model: str | None = None, end: int = END, length: int
     itself. No rows: none. Other columns are ignored. Equal lengths are placed in the order in which they
     came. model: path of the tokenizer's file, which each executor must have.
     """
+    small_batches(docs.sparkSession)
     path = model or tokenizer_path(MODEL)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import slices, table
+from .shared import slices, small_batches, table
 
 # The kinds in the order of the contract, then those that this method adds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -171,6 +171,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def by_text(docs: DataFrame, made: Callable[[list[str | None]], list[pa.Array]], columns: dict[str, str]) -> DataFrame:
     """doc_id, and the columns that are made of slices of texts."""
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), *made(b.column(1).to_pylist())], ["doc_id", *columns])

@@ -21,6 +21,21 @@ LONG_WORD = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch between Spark and Python, instead of the 64 MB of the setting; both sides hold some at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES: rows of texts are thousands of times longer than the rows for which its default is made.
+
+    A smaller bound that the session has already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

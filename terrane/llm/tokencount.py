@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import LONG_WORD, slices, table
+from .shared import LONG_WORD, slices, small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -243,6 +243,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = 4096) -
     Null text: as empty, no bytes and no tokens. Repeated rows and null ids: a row each. No rows: none. Other
     columns are ignored. model: path of the model's file, which each executor must have.
     """
+    small_batches(docs.sparkSession)
     path = model or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
