@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.kernels import MATERN, Theta
+from terrane.models import predict as predictions
 from terrane.models import sampler, starting
 from terrane.models.linalg import Graph
 from terrane.operators import moments, neighbors, vecchia
@@ -27,7 +28,11 @@ DRAWS = tables.DRAWS
 
 @dataclass
 class Fit:
-    """Draws or estimates (chain, iter, param, i, j, value); for params by place, i is the loc_id's rank in `places`."""
+    """Draws or estimates (chain, iter, param, i, j, value).
+
+    W and Y are by place: i is the place's rank counted from 1, that is ord + 1 in `places` (loc_id, ord), and j the outcome. Y
+    has a row for each missing outcome of a place; see imputed().
+    """
 
     draws: DataFrame
     edges: DataFrame
@@ -62,6 +67,20 @@ def long(chain: int, draws: dict[str, np.ndarray]) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame(columns=["chain", "iter", "param", "i", "j", "value"])
 
 
+def ordered(locations: DataFrame, n: int, order: str) -> DataFrame:
+    """loc_id and ord: by id, or max-min; of more places than one task takes, max-min by levels of cells."""
+    if order != "maxmin":
+        return neighbors.ranked(locations).select("loc_id", "ord")
+    return neighbors.max_min(locations) if n <= CHAIN_ROWS else neighbors.level_order(locations)
+
+
+def cells(chain: int, values: np.ndarray, missing: np.ndarray) -> pd.DataFrame:
+    """Draws (iter, cell, 1) of the cells (place, outcome) that are missing."""
+    at, outcome = np.nonzero(missing)
+    n = len(values)
+    return pd.DataFrame({"chain": chain, "iter": np.repeat(np.arange(1, n + 1), len(at)), "param": "Y", "i": np.tile(at + 1, n), "j": np.tile(outcome + 1, n), "value": values.reshape(-1)})
+
+
 def fit(
     locations: DataFrame, observations: DataFrame, design: DataFrame, *, m: int = 15, model: str = "response", method: str = "mcmc", iters: int = 1000, chains: int = 1,
     start: str | dict = "auto", family: int = MATERN, nu: float | None = 0.5, order: str = "maxmin", seed: int = 1, update_theta: tuple[bool, bool, bool] | None = None,
@@ -84,7 +103,9 @@ def fit(
         locations = locations.join(observations.select("loc_id").distinct(), "loc_id", "left_semi")
     locations = locations.persist()
     n = locations.count()
-    ranks = (neighbors.max_min(locations) if order == "maxmin" else neighbors.ranked(locations).select("loc_id", "ord")).persist()
+    if n > CHAIN_ROWS and (latent or method != "vi"):
+        raise ValueError(f"{n} places; a chain's task takes {CHAIN_ROWS}. Use the variational response fit, or fit by region")
+    ranks = ordered(locations, n, order).persist()
     by_ord = locations.join(ranks, "loc_id").select(F.col("ord").alias("loc_id"), "x", "y")
     named = neighbors.ordered_knn(by_ord, m)
     node, parent = ranks.select(F.col("ord").alias("node"), F.col("loc_id").alias("n")), ranks.select(F.col("ord").alias("parent"), F.col("loc_id").alias("p"))
@@ -92,8 +113,6 @@ def fit(
     info = {"model": model, "method": method, "m": m, "family": family, "dropped": given - n}
     if method == "vi" and not latent:
         return Fit(_response_vi(locations, observations, design, edges, start, nu, family, tol or 1e-5, seed, ranks), edges, ranks, info)
-    if n > CHAIN_ROWS:
-        raise ValueError(f"{n} places; a chain's task takes {CHAIN_ROWS}. Use the variational response fit, or fit by region")
     free = update_theta if update_theta is not None else (False, False, False) if latent else (True, False, True)
     if latent:
         free = (free[0], free[1], False)  # the nugget is the noise
@@ -107,9 +126,11 @@ def fit(
         state = make_state(y, x, graph, start, options, nu, rng)
         got = sampler.run_latent_vi(state, rng, tol or 1e-2, draws=predictive) if method == "vi" else sampler.run_chain(state, iters, rng)
         if method == "vi":
-            got["Ddiag"] = got["Ddiag"][:, None]
+            got["Ddiag"], got["Theta"] = got["Ddiag"][:, None], np.array(state.thetas).T
             got["rel_change"] = got["rel_change"].reshape(len(got["rel_change"]), -1, 1) if len(got["rel_change"]) else np.zeros((0, 5, 1))
-        return long(int(key[0]), got)
+        drawn = got.pop("Y", None)
+        out = long(int(key[0]), got)
+        return out if drawn is None or not drawn.size else pd.concat([out, cells(int(key[0]), drawn, ~state.there)])
 
     return Fit(dealt.groupBy("chain").applyInPandas(run, DRAWS), edges, ranks, info)
 
@@ -155,9 +176,53 @@ def _response_vi(locs: DataFrame, obs: DataFrame, design: DataFrame, edges: Data
     if not {"sigma", "thetas"} <= own.keys():
         own = auto_start(locs, obs, design, edges, ranks, nu=nu, seed=seed) | own
     got = sampler.response_vi(*vi_moments(locs, obs, design, edges, [Theta(*t) for t in own["thetas"]], family), np.array(own["sigma"], float), tol)
+    got["Theta"] = np.array([Theta(*t) for t in own["thetas"]]).T
     return locs.sparkSession.createDataFrame(long(1, got), DRAWS)
 
 
+def imputed(fit_: Fit) -> DataFrame:
+    """Draws of the missing outcomes: chain, iter, loc_id, outcome, value."""
+    y = fit_.draws.filter("param = 'Y'")
+    return y.join(fit_.places, y["i"] == fit_.places["ord"] + 1).select("chain", "iter", "loc_id", F.col("j").alias("outcome"), "value")
+
+
+def predict(
+    fit_: Fit, locations: DataFrame, observations: DataFrame, design: DataFrame, new: DataFrame, design_new: DataFrame, *, burn: int = 0, every: int = 1, partly: DataFrame | None = None, seed: int = 1, noise: bool = True,
+) -> DataFrame:
+    """Posterior predictions at new places from what fit() returned: loc_id, draw, outcome, value.
+
+    Draws are those behind `burn`, each `every`-th, of all chains, numbered from 1 by chain and iteration; a variational fit is one
+    draw, its estimate. Their parameters, (p + q + 5) q numbers a draw, reach the driver; what is by place stays where it
+    is. Outcomes that were missing are taken from each draw. partly: outcomes known at new places (response model).
+    """
+    latent = fit_.info["model"] == "latent"
+    chosen = fit_.draws.filter((F.col("iter") == 0) | ((F.col("iter") > burn) & ((F.col("iter") - burn - 1) % every == 0)))
+    small = chosen.filter(F.col("param").isin("Beta", "Sigma", "Theta", "Ddiag")).toPandas()
+    if small.empty:
+        raise ValueError("no draws are left")
+
+    def table(part: pd.DataFrame, param: str) -> np.ndarray:
+        return part[part["param"] == param].pivot(index="i", columns="j", values="value").to_numpy()
+
+    draws, numbers = [], []
+    for d, ((chain, it), part) in enumerate(small.groupby(["chain", "iter"], sort=True), 1):
+        noise_ = table(part, "Ddiag").ravel() if latent else None
+        draws.append(predictions.Draw(table(part, "Beta"), table(part, "Sigma"), tuple(Theta(*map(float, t)) for t in table(part, "Theta").T), noise_))
+        numbers.append((int(chain), int(it), d))
+    numbered = F.broadcast(fit_.draws.sparkSession.createDataFrame(numbers, "chain int, iter int, draw int"))
+    m, family = fit_.info["m"], fit_.info["family"]
+    if latent:
+        w = chosen.filter("param = 'W'").join(numbered, ["chain", "iter"])
+        w = w.join(fit_.places, w["i"] == fit_.places["ord"] + 1).select("loc_id", "draw", F.col("j").alias("outcome"), F.col("value").alias("w"))
+        return predictions.latent(locations, w, new, design_new, draws, m, family, seed, noise)
+    # Places that the fit left out, being incomplete, take no part.
+    train = locations.join(fit_.places.select("loc_id"), "loc_id", "left_semi")
+    obs = observations.join(fit_.places.select("loc_id"), "loc_id", "left_semi")
+    gaps = obs.filter(F.col("y").isNull() | F.isnan("y")).isEmpty()
+    drawn = None if gaps else imputed(fit_).join(numbered, ["chain", "iter"]).select("loc_id", "draw", "outcome", "value")
+    return predictions.response(train, obs, design, new, design_new, draws, m, family, seed, partly, noise, drawn)
+
+
 def auto_start(locs: DataFrame, obs: DataFrame, design: DataFrame, edges: DataFrame, ranks: DataFrame, *, latent: bool = False, nu: float | None = 0.5, seed: int = 1) -> dict:
     """Starting values by a univariate fit of each outcome, outcomes side by side: beta, sigma, thetas, noise."""
     if (n := locs.count()) > CHAIN_ROWS:

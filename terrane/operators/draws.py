@@ -28,18 +28,19 @@ def tail(draws: DataFrame, k: int) -> DataFrame:
 
 
 def running_mean(draws: DataFrame, burn: int | None = None) -> DataFrame:
-    """Running means by entry: chain, param, i, j, iter, mean. burn: weight 1 up to it, then k ** -0.65; without it plain means."""
+    """Running means by entry: chain, param, i, j, iter, mean. burn: weight 1 up to it, and k ** -0.65 for the k-th behind it; without it plain means."""
     w = Window.partitionBy("chain", "param", "i", "j").orderBy("iter")
     if burn is None:
         return draws.select("chain", "param", "i", "j", "iter", F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("mean"))
     # Behind the burn-in m_t = (1 - a_t) m_(t-1) + a_t x_t, so m_t / P_t is a running sum, P_t being the product of the 1 - a.
     steps = draws.select("chain", "param", "i", "j", "iter", "value", F.row_number().over(w).alias("t"))
-    a = F.when(F.col("t") > burn, F.pow((F.col("t") - burn + 1).cast("double"), F.lit(-0.65)))
+    # The first behind the burn-in has weight 1 too: from there on the recursion runs.
+    a = F.when(F.col("t") > burn + 1, F.pow((F.col("t") - burn).cast("double"), F.lit(-0.65)))
     before = w.rowsBetween(Window.unboundedPreceding, 0)
     steps = steps.withColumn("a", a).withColumn("p", F.exp(F.coalesce(F.sum(F.ln(1 - F.col("a"))).over(before), F.lit(0.0))))
-    first = F.coalesce(F.max(F.when(F.col("t") == burn, F.col("value"))).over(Window.partitionBy("chain", "param", "i", "j")), F.lit(0.0))
+    first = F.coalesce(F.max(F.when(F.col("t") == burn + 1, F.col("value"))).over(Window.partitionBy("chain", "param", "i", "j")), F.lit(0.0))
     later = F.col("p") * (first + F.coalesce(F.sum(F.col("a") * F.col("value") / F.col("p")).over(before), F.lit(0.0)))
-    return steps.select("chain", "param", "i", "j", "iter", F.when(F.col("t") <= burn, F.col("value")).otherwise(later).alias("mean"))
+    return steps.select("chain", "param", "i", "j", "iter", F.when(F.col("t") <= burn + 1, F.col("value")).otherwise(later).alias("mean"))
 
 
 def entry_covariance(draws: DataFrame) -> DataFrame:

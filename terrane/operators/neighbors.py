@@ -44,7 +44,7 @@ def knn(points: DataFrame, new: DataFrame, m: int, small: int = SMALL) -> DataFr
     """For each row of new (loc_id, x, y) its m nearest points."""
     a = new.select(F.col("loc_id").alias("node"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = points.select(F.col("loc_id").alias("parent"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    if points.count() > small:
+    if points.count() > small or points.count() * new.count() > small * small:
         return _by_cells(a.withColumn("level", F.lit(0)), b.withColumn("levels", F.array(F.lit(0))), m, ordered=False)
     return nearest(a.crossJoin(F.broadcast(b)).select("node", "parent", squared_distance("a", "b").alias("d2")), m)
 
@@ -213,6 +213,28 @@ def max_min(points: DataFrame) -> DataFrame:
     return points.select("loc_id", "x", "y", F.lit(1).alias("task")).groupBy("task").applyInPandas(run, "loc_id bigint, ord bigint")
 
 
+def level_order(points: DataFrame, last: int = 20) -> DataFrame:
+    """loc_id and ord from 0, nearly in max-min order, whatever the number of points.
+
+    Level l cuts the points' box into 4 ** l cells. A point belongs to the first level at which it is the nearest of its cell
+    to the cell's centre, and levels follow one another; so each prefix is spread over the whole. Within a level the order
+    is that of a hash. Of ties the smaller id is taken. One aggregate over all levels, and a sort.
+    """
+    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    if not box[4]:
+        return points.select("loc_id", F.lit(0).cast("bigint").alias("ord")).limit(0)
+    wide, tall = (max(box[1] - box[0], 1e-300), max(box[3] - box[2], 1e-300))
+    levels = min(last, 2 + math.ceil(math.log(max(box[4], 2), 4)))
+    each = points.select("loc_id", ((F.col("x") - box[0]) / wide).alias("u"), ((F.col("y") - box[2]) / tall).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    side = F.pow(F.lit(2.0), F.col("level"))
+    cell = [F.least(F.floor(F.col(c) * side), side - 1).alias(f"c{c}") for c in "uv"]
+    off = lambda c: F.pow(F.col(c) * side - F.least(F.floor(F.col(c) * side), side - 1) - 0.5, F.lit(2.0))
+    won = each.groupBy("level", *cell).agg(F.min(F.struct((off("u") + off("v")).alias("d2"), "loc_id"))["loc_id"].alias("loc_id"))
+    own = points.select("loc_id").join(won.groupBy("loc_id").agg(F.min("level").alias("level")), "loc_id", "left")
+    key = F.struct(F.coalesce("level", F.lit(levels + 1)).alias("level"), F.xxhash64("loc_id").alias("mark"), "loc_id")
+    return ranked(own.select("loc_id", key.alias("key")), "key").select("loc_id", "ord")
+
+
 def vecchia_dag(points: DataFrame, m: int, order: str = "maxmin") -> DataFrame:
     """The graph of a sparse approximation: edges (node, parent, k, d) by loc_id, parents being earlier in the order.
 

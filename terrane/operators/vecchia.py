@@ -8,6 +8,7 @@ systems of one size at once. Products are joins of entries with a vector and sum
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.kernels import MATERN, Theta, covariance, distances
+from terrane.operators import neighbors
 
 
 def families(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,8 +46,12 @@ def solve(places: np.ndarray, parents: np.ndarray, theta: Theta, family: int, nu
     return h, total - (h * to).sum(1)
 
 
-def factors(points: DataFrame, edges: DataFrame, thetas: Sequence[Theta], family: int = MATERN) -> DataFrame:
-    """Factors of every node for each outcome's theta, outcomes numbered from 1: outcome, node, sqrt_r, parents, h."""
+def factors(points: DataFrame, edges: DataFrame, thetas: Sequence[Theta], family: int = MATERN, nugget: float | Sequence[float] = 0.0) -> DataFrame:
+    """Factors of every node for each outcome's theta, outcomes numbered from 1: outcome, node, sqrt_r, parents, h.
+
+    nugget: variance that each place has for itself, beyond that of theta; one for all outcomes, or one for each.
+    """
+    nuggets = [float(nugget)] * len(thetas) if np.isscalar(nugget) else list(map(float, nugget))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -55,7 +61,7 @@ def factors(points: DataFrame, edges: DataFrame, thetas: Sequence[Theta], family
                 at = part[["x", "y"]].to_numpy(float)
                 theirs = np.stack([np.stack(part["px"]), np.stack(part["py"])], axis=-1) if k else np.zeros((len(part), 0, 2))
                 for j, theta in enumerate(thetas, 1):
-                    h, r2 = solve(at, theirs, theta, family)
+                    h, r2 = solve(at, theirs, theta, family, nuggets[j - 1])
                     if not (r2 > 0).all():
                         raise ValueError("a conditional variance is not positive: places too close for this theta")
                     yield pd.DataFrame({"outcome": np.full(len(part), j), "node": part["node"].to_numpy(), "sqrt_r": np.sqrt(r2), "parents": list(part["parents"]), "h": list(h)})
@@ -166,3 +172,22 @@ def inverse_times(factors_: DataFrame, a: DataFrame, transposed: bool = False) -
 
     rows = factors_.join(a.select("outcome", F.col("loc_id").alias("node"), "a"), ["outcome", "node"])
     return rows.groupBy("outcome").applyInPandas(run, "outcome int, loc_id bigint, v double")
+
+
+class Approximation(NamedTuple):
+    """What one call builds of a set of places: edges, factors, H by entries, its precision H'H, log determinants, Markov blankets."""
+
+    edges: DataFrame
+    factors: DataFrame
+    h: DataFrame
+    precision: DataFrame
+    log_determinant: DataFrame
+    blankets: DataFrame
+
+
+def build(points: DataFrame, thetas: Sequence[Theta], m: int = 15, family: int = MATERN, order: str = "maxmin", nugget: float | Sequence[float] = 0.0) -> Approximation:
+    """The sparse approximation of places (loc_id, x, y) for each outcome's theta. Tables are plans until they are used."""
+    edges = neighbors.vecchia_dag(points, m, order).persist()
+    own = factors(points, edges, thetas, family, nugget)
+    h = entries(own)
+    return Approximation(edges, own, h, precision(h), log_determinant(own), neighbors.blanket(edges))

@@ -63,6 +63,16 @@ def predict_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.response(train, obs, x, new, x, [DRAW], 2, noise=False).select("loc_id", "draw", "outcome", rounded("value", "value"))
 
 
+@query("predict_from_fit", f"{NEW} SELECT loc_id, draw, outcome, {r('mean', 'value')} FROM k CROSS JOIN (SELECT unnest([1, 2]) AS draw)")
+def predict_from_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the draws of a fit, here two iterations of one draw, of which the first two are left out."""
+    train, new, obs = _split(spark, sf_dir)
+    x = fx.covariates(spark, sf_dir)
+    rows = api.long(1, {"Beta": np.stack([0 * DRAW.beta] * 2 + [DRAW.beta] * 2), "Sigma": np.stack([DRAW.sigma] * 4), "Theta": np.stack([np.array(DRAW.thetas).T] * 4)})
+    fitted = api.Fit(spark.createDataFrame(rows, api.DRAWS), None, neighbors.ranked(train).select("loc_id", "ord"), {"model": "response", "m": 2, "family": 1})
+    return api.predict(fitted, train, obs, x, new, x, burn=2, noise=False).select("loc_id", "draw", "outcome", rounded("value", "value"))
+
+
 @query(
     "predict_partial",
     f"{NEW}, o2 AS (SELECT loc_id, y, mean, r2 FROM k WHERE outcome = 2) SELECT k.loc_id, 1 AS draw, outcome, {r('CASE WHEN outcome = 2 THEN k.y ELSE k.mean + sqrt(k.r2) * 0.5 / sqrt(o2.r2) * (o2.y - o2.mean) END', 'value')} FROM k JOIN o2 USING (loc_id)",

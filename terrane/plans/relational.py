@@ -546,7 +546,7 @@ def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "running_mean_decaying",
-    f"WITH RECURSIVE {CHAIN}, a AS (SELECT chain, iter, value, CASE WHEN iter <= 3 THEN 1.0 ELSE pow(iter - 3 + 1, -0.65) END AS a FROM chain), m(chain, iter, mean) AS (SELECT chain, iter, value FROM a WHERE iter = 1 UNION ALL SELECT a.chain, a.iter, mean + a.a * (a.value - mean) FROM m JOIN a ON a.chain = m.chain AND a.iter = m.iter + 1) SELECT chain, iter, {r('mean', 'mean')} FROM m",
+    f"WITH RECURSIVE {CHAIN}, a AS (SELECT chain, iter, value, CASE WHEN iter <= 4 THEN 1.0 ELSE pow(iter - 3, -0.65) END AS a FROM chain), m(chain, iter, mean) AS (SELECT chain, iter, value FROM a WHERE iter = 1 UNION ALL SELECT a.chain, a.iter, mean + a.a * (a.value - mean) FROM m JOIN a ON a.chain = m.chain AND a.iter = m.iter + 1) SELECT chain, iter, {r('mean', 'mean')} FROM m",
 )
 def running_mean_decaying(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws.running_mean(fx.chains(spark, sf_dir), burn=3).select("chain", "iter", rounded("mean", "mean"))

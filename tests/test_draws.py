@@ -29,13 +29,13 @@ def test_effective_size_by_plain_sums():
     assert draws.effective_size(np.ones(10)) == 10 and draws.effective_size(x[:3]) == 3
 
 
-@pytest.mark.parametrize("burn", [None, 1, 5, 40])
+@pytest.mark.parametrize("burn", [None, 0, 1, 5, 40])
 def test_running_means(spark, burn):
     x = np.random.default_rng(2).standard_normal(60)
     got = draws.running_mean(frame(spark, x), burn).orderBy("iter").toPandas()["mean"].to_numpy()
     want, m = [], 0.0
     for t, v in enumerate(x, 1):
-        a = 1 / t if burn is None else 1.0 if t <= burn else (t - burn + 1) ** -0.65
+        a = 1 / t if burn is None else 1.0 if t <= burn else (t - burn) ** -0.65
         m += a * (v - m)
         want.append(m)
     assert np.allclose(got, want)

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions.kernels import Theta, covariance, distances
-from terrane.models import api, sampler
+from terrane.models import api, predict, sampler
 from terrane.models.linalg import Graph
+from terrane.operators import neighbors, vecchia
 from terrane.operators.neighbors import max_min_order
 
 
@@ -152,3 +153,82 @@ def test_location_without_outcomes_needs_the_block_sampler():
     state_of(xy, y, thetas, 5, 0.2)
 
 
+
+
+def small_tables(spark, n=60, missing=()):
+    rng = np.random.default_rng(5)
+    xy, y = rng.uniform(size=(n, 2)), rng.normal(size=(n, 2))
+    locs = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "loc_id bigint, x double, y double")
+    obs = spark.createDataFrame([(i, j + 1, None if (i, j + 1) in missing else float(y[i, j])) for i in range(n) for j in range(2)], "loc_id bigint, outcome int, y double")
+    design = spark.createDataFrame([(i, [1.0, float(xy[i, 0])]) for i in range(n)], "loc_id bigint, x array<double>")
+    return locs, obs, design
+
+
+START = {"beta": np.zeros((2, 2)), "sigma": np.eye(2), "thetas": [(6.0, 1.0, 0.5, 0.1)] * 2, "noise": np.full(2, 0.1)}
+
+
+def test_imputed_cells_are_named_and_predicted_from(spark):
+    gone = {(3, 1), (7, 2), (11, 1), (11, 2)} - {(11, 2)}
+    locs, obs, design = small_tables(spark, missing=gone)
+    fit = api.fit(locs, obs, design, m=5, iters=6, chains=2, start=START)
+    fit.draws = fit.draws.persist()
+    got = api.imputed(fit).toPandas()
+    assert set(zip(got["loc_id"], got["outcome"])) == gone and len(got) == 3 * 6 * 2
+    new = spark.createDataFrame([(1000, 0.5, 0.5), (1001, 0.1, 0.9)], "loc_id bigint, x double, y double")
+    x_new = spark.createDataFrame([(1000, [1.0, 0.5]), (1001, [1.0, 0.1])], "loc_id bigint, x array<double>")
+    out = api.predict(fit, locs, obs, design, new, x_new, burn=2, every=2, noise=False).toPandas()
+    assert len(out) == 2 * 4 * 2 and np.isfinite(out["value"]).all()
+    # One draw by hand: its own imputed values stand for what is missing.
+    params = fit.draws.filter("chain = 1 and iter = 3").toPandas()
+    beta, theta = (params[params["param"] == k].pivot(index="i", columns="j", values="value").to_numpy() for k in ("Beta", "Theta"))
+    full = {(r["loc_id"], r["outcome"]): r["y"] for r in obs.collect()} | {(r.loc_id, r.outcome): r.value for r in got[(got["chain"] == 1) & (got["iter"] == 3)].itertuples()}
+    draw = predict.Draw(beta, np.eye(2), tuple(Theta(*t) for t in theta.T))
+    whole = spark.createDataFrame([(i, j, float(v)) for (i, j), v in full.items()], "loc_id bigint, outcome int, y double")
+    want = predict.response(locs, whole, design, new, x_new, [draw], 5, noise=False).toPandas().set_index(["loc_id", "outcome"])["value"]
+    assert all(want[r.loc_id, r.outcome] == pytest.approx(r.value) for r in out[out["draw"] == 1].itertuples())
+    with pytest.raises(ValueError, match="missing"):
+        predict.response(locs, obs, design, new, x_new, [draw], 5)
+
+
+def test_latent_fits_are_predicted_from(spark):
+    locs, obs, design = small_tables(spark)
+    for method, draws in (("mcmc", 4), ("vi", 1)):
+        fit = api.fit(locs, obs, design, m=5, iters=4, model="latent", method=method, start=START)
+        fit.draws = fit.draws.persist()
+        out = api.predict(fit, locs, obs, design, locs.limit(7), design).toPandas()
+        assert len(out) == 7 * draws * 2 and np.isfinite(out["value"]).all()
+
+
+def test_noise_of_predictions_has_its_spread(spark):
+    locs, obs, design = small_tables(spark)
+    new = spark.createDataFrame([(1000, 5.0, 5.0)], "loc_id bigint, x double, y double")  # far from all: the process's own spread
+    x_new = spark.createDataFrame([(1000, [0.0, 0.0])], "loc_id bigint, x array<double>")
+    sigma = np.array([[1.0, 0.6], [0.6, 2.0]])
+    draws = [predict.Draw(np.zeros((2, 2)), sigma, (Theta(9.0), Theta(9.0)))] * 4000
+    out = predict.response(locs, obs, design, new, x_new, draws, 5).toPandas().pivot(index="draw", columns="outcome", values="value").to_numpy()
+    assert np.allclose(np.cov(out.T), sigma, atol=0.12)
+    known = spark.createDataFrame([(1000, 1, 1.5)], "loc_id bigint, outcome int, y double")
+    part = predict.response(locs, obs, design, new, x_new, draws, 5, partly=known).toPandas().pivot(index="draw", columns="outcome", values="value").to_numpy()
+    assert (part[:, 0] == 1.5).all() and part[:, 1].mean() == pytest.approx(0.9, abs=0.1) and part[:, 1].var() == pytest.approx(2 - 0.36, abs=0.15)
+
+
+def test_order_by_levels_spreads_each_prefix(spark):
+    rng = np.random.default_rng(3)
+    xy = rng.uniform(size=(900, 2))
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "loc_id bigint, x double, y double")
+    got = neighbors.level_order(points).toPandas().sort_values("ord")
+    assert got["ord"].tolist() == list(range(900)) and sorted(got["loc_id"]) == list(range(900))
+    exact, near = neighbors.max_min_order(xy), got["loc_id"].to_numpy()
+    for n in (20, 80, 300):
+        reach = [np.sqrt(((xy[:, None] - xy[o[:n]][None]) ** 2).sum(2)).min(1).max() for o in (exact, near)]
+        assert reach[1] < 3 * reach[0]
+    assert neighbors.level_order(points.limit(0)).count() == 0
+
+
+def test_build_and_nuggets(spark):
+    locs, _, _ = small_tables(spark)
+    built = vecchia.build(locs, [Theta(6.0), Theta(9.0)], m=4, nugget=[0.0, 0.5])
+    dets = {r["outcome"]: r[1] for r in built.log_determinant.orderBy("outcome").collect()}
+    assert len(dets) == 2 and built.blankets.count() == 60 and built.precision.count() > 60 and built.edges.count() == built.h.filter("outcome = 1").count() - 60
+    with_nugget = built.factors.filter("outcome = 2").agg({"sqrt_r": "max"}).first()[0]
+    assert with_nugget == pytest.approx(np.sqrt(1.5), abs=0.05)
