@@ -29,7 +29,7 @@ from .vectors import BLOCK, best, by_width, in_slices, matrix, valid
 
 TREES, LEAF, SAMPLE, KNOWN, SEED = 8, 64, 16_384, 8_192, 9
 #: Share of the rows that a query looks at. In high dimensions without clusters much is needed.
-SHARE = 0.6
+SHARE = 0.8
 K, EVERY = 20, 20
 
 
