@@ -9,7 +9,8 @@ inner products.
 
 Leaves with many rows are dealt in blocks. Of a bounded part of the sample, KNOWN rows, those in a query's visited leaves
 tell it a score that K of its candidates reach; leaf candidates below it are left in the task that found them. So they
-shorten the lists and add or lose nothing: all candidates come from visited leaves. Trees and sample are
+shorten the lists and add or lose nothing: all candidates come from visited leaves. A row is in a leaf of each tree, and
+carries their numbers; a query carries which leaves it visits, so each pair is named once. Trees and sample are
 broadcast; SAMPLE bounds them.
 """
 
@@ -149,15 +150,18 @@ def nearest(whole: DataFrame, k: int, every: int, share: float, trees: int, samp
     forest = [t._replace(rows=[np.flatnonzero(own == i) for i in range(len(t.rows))]) for t in forest for own in [leaves(t, even)]]
     some = np.arange(min(KNOWN, len(known)))
     shared = spark.sparkContext.broadcast((forest, unit, longest))
+    most = max(len(t.rows) for t in forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest_, unit_, longest_ = shared.value
         for b in in_slices(batches, 1024):
             y = one_length(matrix(b.column(1)), unit_, longest_)
-            for t, tree in enumerate(forest_):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(y), t, np.int32)), pa.array(leaves(tree, y).astype(np.int32))], ["vec_id", "v", "row", "tree", "leaf"])
+            own = np.column_stack([leaves(tree, y) for tree in forest_]).astype("<i4")
+            every = pa.array([x.tobytes() for x in own], pa.binary())
+            for t in range(len(forest_)):
+                yield pa.RecordBatch.from_arrays([*b.columns, every, pa.array(np.full(len(y), t, np.int32)), pa.array(own[:, t].astype(np.int32))], ["vec_id", "v", "row", "leaves", "tree", "leaf"])
 
-    placed = whole.mapInArrow(place, "vec_id bigint, v array<double>, row bigint, tree int, leaf int")
+    placed = whole.mapInArrow(place, "vec_id bigint, v array<double>, row bigint, leaves binary, tree int, leaf int")
     sizes = {(r["tree"], r["leaf"]): r["n"] for r in placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}  # leaves of a bounded sample
     parts = {key: -(-n // BLOCK) for key, n in sizes.items()}
     enough = int(np.ceil(len(known) * min(1.0, share)))
@@ -173,10 +177,12 @@ def nearest(whole: DataFrame, k: int, every: int, share: float, trees: int, samp
             scores = q @ some_.T
             scores[ids[:, None] == some_ids[None, :]] = -np.inf
             to, tree, leaf, part = [], [], [], []
+            maps = np.zeros((len(q), len(forest_), most), bool)
             for i in range(len(q)):
                 visited, seen = walk(forest_, [m[i] for m in margins], rows, enough_)
                 scores[i, ~seen[at]] = -np.inf
                 for t, f in visited:
+                    maps[i, t, f] = True
                     for p in range(parts_.get((t, f), 0)):
                         to.append(i)
                         tree.append(t)
@@ -187,12 +193,12 @@ def nearest(whole: DataFrame, k: int, every: int, share: float, trees: int, samp
             edge = np.where(np.isfinite(edge), edge - slack, -np.inf)
             pick = pa.array(to, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(c.take(pick) for c in b.columns), pa.array(edge).take(pick), *(pa.array(x, pa.int32()) for x in (tree, leaf, part))],
-                ["query_id", "q", "q_row", "edge", "tree", "leaf", "part"],
+                [*(c.take(pick) for c in b.columns), pa.array([np.packbits(x).tobytes() for x in maps], pa.binary()).take(pick), pa.array(edge).take(pick), *(pa.array(x, pa.int32()) for x in (tree, leaf, part))],
+                ["query_id", "q", "q_row", "visited", "edge", "tree", "leaf", "part"],
             )
 
     queries = whole.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("row").alias("q_row"))
-    sent = queries.mapInArrow(route, "query_id bigint, q array<double>, q_row bigint, edge double, tree int, leaf int, part int")
+    sent = queries.mapInArrow(route, "query_id bigint, q array<double>, q_row bigint, visited binary, edge double, tree int, leaf int, part int")
     data = placed.withColumn("part", F.lit(0))
     if split := [(t, f, n) for (t, f), n in parts.items() if n > 1]:  # leaves of a bounded sample
         large = F.broadcast(spark.createDataFrame(split, "tree int, leaf int, parts int"))
@@ -203,15 +209,22 @@ def nearest(whole: DataFrame, k: int, every: int, share: float, trees: int, samp
         if left.num_rows and right.num_rows:
             x, ids, rows = matrix(right["v"].combine_chunks()), right["vec_id"].to_numpy(), right["row"].to_numpy()
             q, edge, own, q_row = matrix(left["q"].combine_chunks()), left["edge"].to_numpy(), left["query_id"].to_numpy(), left["q_row"].to_numpy()
+            first, told_ = key[0].as_py(), left["visited"].combine_chunks()
+            in_leaves = np.frombuffer(b"".join(right["leaves"].to_pylist()), "<i4").reshape(len(x), trees)
             for at in range(0, len(q), 512):
                 i, j, s = top(q[at : at + 512], own[at : at + 512], edge[at : at + 512], x, ids, k)
+                # A row is named in the first tree in which the query visits its leaf, and in no other.
+                visited = np.frombuffer(b"".join(told_.slice(at, 512).to_pylist()), np.uint8).reshape(len(q[at : at + 512]), -1)
+                visited = np.unpackbits(visited, axis=1)[:, : trees * most].reshape(-1, trees, most)
+                fresh = ~visited[i[:, None], np.arange(first)[None, :], in_leaves[j, :first]].any(1)
+                i, j, s = i[fresh], j[fresh], s[fresh]
                 for to, value in zip(found, (own[at : at + 512][i], q_row[at : at + 512][i], ids[j], rows[j], s), strict=True):
                     to.append(value)
         kinds = (np.int64, np.int64, np.int64, np.int64, np.float64)
         return pa.table({n: pa.array(np.concatenate(c).astype(t)) for n, c, t in zip(("query_id", "q_row", "vec_id", "row", "score"), found, kinds, strict=True)})
 
     keys = ["tree", "leaf", "part"]
-    found = sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(solve, out).dropDuplicates(["q_row", "row"])
+    found = sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(solve, out)
     return best(found, F.col("score"), k).select("query_id", "rank", "vec_id", "score")
 
 
