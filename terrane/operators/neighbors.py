@@ -24,6 +24,11 @@ def squared_distance(a: str, b: str) -> Column:
     return dx * dx + dy * dy
 
 
+def coincident(points: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of rows of two sets at one place: a, b."""
+    return points.select(F.col("loc_id").alias("a"), "x", "y").join(others.select(F.col("loc_id").alias("b"), "x", "y"), ["x", "y"]).select("a", "b")
+
+
 def nearest(pairs: DataFrame, m: int) -> DataFrame:
     """Of pairs (node, parent, d2): the m nearest parents of each node, ties to the smaller id; k counts from 1."""
     k = F.row_number().over(Window.partitionBy("node").orderBy("d2", "parent"))

@@ -131,17 +131,7 @@ def cov_zero_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix between two sets of points, here of all with all, as rows; the second set's size is checked."""
     p = fx.points(spark, sf_dir)
-    return cross_correlation(p, p, K.Theta(9.0, 1.0, 1.5, 0.1)).select("a", "b", rounded("c", "c"))
-
-
-def cross_correlation(a: DataFrame, b: DataFrame, theta: K.Theta, family: int = K.MATERN) -> DataFrame:
-    """Covariances of all pairs of two sets of points: a, b, c. The second set is refused beyond SMALL rows."""
-    if (n := b.count()) > neighbors.SMALL:
-        raise ValueError(f"{n} points on the second side; split it")
-    left = a.select(F.col("loc_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    right = b.select(F.col("loc_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = F.sqrt(neighbors.squared_distance("a", "b"))
-    return left.crossJoin(F.broadcast(right)).select("a", "b", K.covariance_column(d, theta, family).alias("c"))
+    return crosscov.cross_correlation(p, p, K.Theta(9.0, 1.0, 1.5, 0.1)).select("a", "b", rounded("c", "c"))
 
 
 # Ingestion, checks and filters.
@@ -150,9 +140,21 @@ def ingest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.outcomes(spark, sf_dir).select("loc_id", "outcome", rounded("y", "y"))
 
 
-@query("validate_tables", f"WITH {IRR} SELECT (SELECT count(*) - count(DISTINCT (x, y)) FROM irr) AS same_place, (SELECT count(*) - count(DISTINCT loc_id) FROM irr) AS same_id, CAST(0 AS BIGINT) AS bad_place, CAST(0 AS BIGINT) AS bad_outcome, CAST(0 AS BIGINT) AS bad_covariate, CAST(0 AS BIGINT) AS lost")
+@query(
+    "validate_tables",
+    f"WITH {IRR}, l AS (SELECT loc_id, CASE WHEN loc_id % 9 = 1 THEN NULL ELSE x END AS x, y FROM irr UNION ALL SELECT loc_id, x, y FROM irr WHERE loc_id % 7 = 0 AND loc_id % 9 <> 1) "
+    "SELECT (SELECT sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM l GROUP BY x, y)) AS same_place, (SELECT count(*) - count(DISTINCT loc_id) FROM l) AS same_id, count(*) FILTER (WHERE loc_id % 9 = 1) AS bad_place, "
+    "3 * count(*) FILTER (WHERE loc_id % 11 = 2) AS bad_outcome, count(*) FILTER (WHERE loc_id % 13 = 5) AS bad_covariate, 3 * count(*) FILTER (WHERE loc_id % 17 = 3) AS lost FROM irr",
+)
 def validate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.faults(fx.points(spark, sf_dir), fx.outcomes(spark, sf_dir), fx.covariates(spark, sf_dir))
+    """Counts of faults in tables that have all of them: repeated places, gaps, infinite values, outcomes of places that are not there."""
+    p = fx.points(spark, sf_dir)
+    gaps = p.withColumn("x", F.when(F.col("loc_id") % 9 != 1, F.col("x")))
+    locs = gaps.unionByName(p.filter("loc_id % 7 = 0 AND loc_id % 9 != 1"))
+    obs = fx.outcomes(spark, sf_dir).withColumn("y", F.when(F.col("loc_id") % 11 == 2, F.lit(float("inf"))).otherwise(F.col("y")))
+    obs = obs.unionByName(obs.filter("loc_id % 17 = 3").withColumn("loc_id", -F.col("loc_id")).withColumn("y", F.lit(0.0)))
+    x = fx.covariates(spark, sf_dir).withColumn("x", F.when(F.col("loc_id") % 13 == 5, F.array(F.lit(1.0), F.lit(None).cast("double"))).otherwise(F.col("x")))
+    return tables.faults(locs, obs, x)
 
 
 @query("complete_cases", f"WITH {MISS} SELECT loc_id, outcome, {r('y', 'y')} FROM miss WHERE loc_id IN (SELECT loc_id FROM miss GROUP BY loc_id HAVING count(y) = 3)")
@@ -189,9 +191,11 @@ def tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws.tail(fx.chains(spark, sf_dir), 3).select("chain", "iter", rounded("value", "value"))
 
 
-@query("intercept", "SELECT CAST(1 AS INTEGER) AS intercept")
+@query("intercept", f"WITH {IRR}, x AS (SELECT unnest([1, 2, 3]) AS j, unnest([c1, CASE WHEN loc_id = 0 THEN 2.0 ELSE 1.0 END, 1.0]) AS v FROM irr) SELECT CAST(min(j) AS INTEGER) AS intercept FROM (SELECT j FROM x GROUP BY j HAVING min(v) = 1 AND max(v) = 1)")
 def intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments.intercept(fx.covariates(spark, sf_dir))
+    """Of a covariate, one that is 1 but at one place, and one that is 1 at all."""
+    near = F.when(F.col("loc_id") == 0, 2.0).otherwise(1.0)
+    return moments.intercept(fx.covariates(spark, sf_dir).select("loc_id", F.array(F.col("x")[1], near, F.lit(1.0)).alias("x")))
 
 
 @query("reorder", f"WITH {IRR} SELECT loc_id, CAST(row_number() OVER (ORDER BY loc_id) - 1 AS BIGINT) AS ord FROM irr")
@@ -269,15 +273,17 @@ def blanket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("node", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query("coloring_conflicts", "SELECT CAST(0 AS BIGINT) AS conflicts, true AS lowest")
-def coloring_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy colours: pairs of one blanket with one colour (none), and whether every smaller colour is taken by an earlier member."""
-    b = neighbors.blanket(neighbors.ordered_knn(fx.points(spark, sf_dir), 3)).persist()
-    c = neighbors.coloring(b).persist()
-    pairs = b.select("node", F.explode("members").alias("member")).join(c, "node").join(c.select(F.col("node").alias("member"), F.col("color").alias("other")), "member")
-    smaller = pairs.filter("member < node").groupBy("node", "color").agg(F.size(F.array_distinct(F.filter(F.collect_list("other"), lambda x: x >= 0))).alias("seen"))
-    conflicts = pairs.agg(F.count(F.when(F.col("color") == F.col("other"), 1)).alias("conflicts"))
-    return conflicts.crossJoin(smaller.agg(F.bool_and(F.col("seen") >= F.col("color")).alias("lowest")))
+@query(
+    "coloring",
+    f"WITH RECURSIVE {BLANKET}, ids AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT node FROM bl)), "
+    "nb AS MATERIALIZED (SELECT a.nth, any_value(a.n) AS n, list(b.nth) FILTER (WHERE b.nth < a.nth) AS earlier FROM ids a JOIN bl ON bl.node = a.node JOIN ids b ON b.node = bl.member GROUP BY a.nth), "
+    "c(nth, cols) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT nb.nth, list_append(cols, list_min(list_filter(range(0, len(coalesce(earlier, [])) + 1), "
+    "lambda k: NOT list_contains(list_transform(coalesce(earlier, []), lambda e: cols[e]), k)))) FROM c JOIN nb ON nb.nth = c.nth + 1) "
+    "SELECT node, CAST(cols[ids.nth] AS INTEGER) AS color FROM ids, (SELECT cols FROM c ORDER BY nth DESC LIMIT 1)",
+)
+def coloring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy colours, in the order of nodes."""
+    return neighbors.coloring(neighbors.blanket(neighbors.ordered_knn(fx.points(spark, sf_dir), 3)))
 
 
 @query(
@@ -294,7 +300,11 @@ def maxmin_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.max_min(fx.points(spark, sf_dir))
 
 
-@query("vecchia_dag_maxmin")
+@query(
+    "vecchia_dag_maxmin",
+    ORACLES["maxmin_order"].replace(" SELECT ids[pos] AS loc_id, CAST(ord AS BIGINT) AS ord FROM s, p", ", o AS MATERIALIZED (SELECT ids[pos] AS id, ord FROM s, p), q AS MATERIALIZED (SELECT ord AS loc_id, x, y FROM o JOIN irr ON irr.loc_id = id), ")
+    + f"{nn(5, 'q')} SELECT a.id AS node, b.id AS parent, k, {r('d', 'd')} FROM nn JOIN o a ON a.ord = nn.node JOIN o b ON b.ord = nn.parent",
+)
 def vecchia_dag_maxmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.vecchia_dag(fx.points(spark, sf_dir), 5).select("node", "parent", "k", rounded("d", "d"))
 
@@ -307,10 +317,9 @@ def pairs_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("coincident", f"WITH {IRR} SELECT a.loc_id AS a, b.loc_id AS b FROM irr a JOIN irr b ON a.x = b.x AND a.y = b.y")
 def coincident(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.points(spark, sf_dir)
-    return p.select(F.col("loc_id").alias("a"), "x", "y").join(p.select(F.col("loc_id").alias("b"), "x", "y"), ["x", "y"]).select("a", "b")
+    return neighbors.coincident(p, p)
 
 
-# Factors and products with them.
 def _factors(spark: SparkSession, sf_dir: str, m: int = 2) -> DataFrame:
     p = fx.points(spark, sf_dir)
     return vecchia.factors(p, neighbors.ordered_knn(p, m), fx.THETAS)
@@ -464,16 +473,10 @@ HX = "hx AS MATERIALIZED (SELECT h.outcome, h.i AS loc_id, p, sum(h.v * CASE p W
 )
 def gls_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = vecchia.entries(_factors(spark, sf_dir)).persist()
-    hx = whitened_design(h, fx.covariates(spark, sf_dir))
+    hx = moments.whitened_design(h, fx.covariates(spark, sf_dir))
     return moments.normal_equations(hx, vecchia.times(h, _vector(spark, sf_dir))).select("a", "b", "i", "j", rounded("xx", "xx"), rounded("xy", "xy"))
 
 
-def whitened_design(h: DataFrame, design: DataFrame) -> DataFrame:
-    """H_a X for each outcome: outcome, loc_id, p, v."""
-    x = design.select(F.col("loc_id").alias("j"), F.posexplode("x").alias("p", "u"))
-    return h.join(x, "j").groupBy("outcome", F.col("i").alias("loc_id"), (F.col("p") + 1).alias("p")).agg(F.sum(F.col("v") * F.col("u")).alias("v"))
-
-
 # Transforms and densities.
 @query("bounded_transform", f"WITH {IRR} SELECT loc_id, {r('ln((t - 0.3) / (200 - t))', 'line')}, {r('0.3 + 199.7 / (1 + exp(-ln((t - 0.3) / (200 - t))))', 'back')}, {r('ln((200 - t) * (t - 0.3))', 'jacobian')} FROM (SELECT loc_id, 1 + abs(x) * 100 AS t FROM irr)")
 def bounded_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -597,7 +600,7 @@ def sigma_times_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigma = draws.gram_of_factor(fx.factor_draws(spark, sf_dir))
     theta = spark.createDataFrame([(j, *t) for j, t in enumerate(fx.THETAS, 1)], "outcome int, phi double, sigmasq double, nu double, alpha double")
     theta = sigma.select("chain", "iter").distinct().crossJoin(F.broadcast(theta))  # a row for each outcome
-    return crosscov.scaled_draws(sigma, theta, lambda t: crosscov.symmetric(crosscov.at_zero(crosscov.lower(vecchia.factors(p, edges, t))))).select("iter", "i", "j", rounded("value", "value"))
+    return crosscov.scaled_draws(sigma, theta, p, edges).select("iter", "i", "j", rounded("value", "value"))
 
 
 @query(
@@ -607,8 +610,8 @@ def sigma_times_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"e AS (SELECT CAST(least(floor(d / (0.5 / 20)), 19) AS INTEGER) AS bin, coalesce(c, 0) AS c FROM d LEFT JOIN c USING (s1, s2) WHERE d <= 0.5) SELECT bin, {r('(bin + 0.5) * (0.5 / 20)', 'mid')}, count(*) AS pairs, {r('avg(c)', 'value')} FROM e GROUP BY bin",
 )
 def fij_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, l = _lower(spark, sf_dir)
-    return crosscov.binned(p, l, 1, 2, bins=20, most=0.5).select("bin", rounded("mid", "mid"), "pairs", rounded("value", "value"))
+    p = fx.points(spark, sf_dir)
+    return crosscov.binned(p, neighbors.ordered_knn(p, 1), fx.THETAS, 1, 2, bins=20, most=0.5).select("bin", rounded("mid", "mid"), "pairs", rounded("value", "value"))
 
 
 @query(
@@ -622,24 +625,36 @@ def cross_correlation_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosscov.pairwise(p, p, p, [(2, 2)], fx.THETAS).select("x_id", "y_id", "i", "j", rounded("value", "value"))
 
 
+# Outcomes of three draws, whose decays differ, numbered on for SQL: 3 (iter - 1) + outcome.
+THETA_DRAWS = tuple(t._replace(phi=t.phi + it) for it in range(3) for t in fx.THETAS)
+PATH_DRAWS = PATH.replace(vecchia2(fx.THETAS, "p"), vecchia2(THETA_DRAWS, "p"))
+
+
 def _theta_draws(spark: SparkSession) -> DataFrame:
-    """Three draws of one theta."""
-    rows = [(1, it, j, *t) for it in (1, 2, 3) for j, t in enumerate(fx.THETAS, 1)]
+    """Two draws of each theta, the second in a chain of its own."""
+    rows = [(chain, k // 3 + 1, k % 3 + 1, *t) for chain in (1, 2) for k, t in enumerate(THETA_DRAWS)]
     return spark.createDataFrame(rows, "chain int, iter int, outcome int, phi double, sigmasq double, nu double, alpha double")
 
 
-@query("fij_at_zero_draws", f"{PATH}, {SFACT} SELECT CAST(iter AS INTEGER) AS iter, i, j, {r('value', 'value')} FROM f CROSS JOIN range(1, 4) t(iter)")
+@query(
+    "fij_at_zero_draws",
+    f"{PATH_DRAWS}, f AS (SELECT (a.outcome + 2) // 3 AS iter, (a.outcome - 1) % 3 + 1 AS i, (b.outcome - 1) % 3 + 1 AS j, sum(a.v * b.v) / (SELECT count(*) FROM p) AS value FROM l a JOIN l b ON a.s = b.s AND a.t = b.t AND b.outcome <= a.outcome AND (a.outcome + 2) // 3 = (b.outcome + 2) // 3 GROUP BY a.outcome, b.outcome) "
+    f"SELECT CAST(chain AS INTEGER) AS chain, CAST(iter AS INTEGER) AS iter, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r('value', 'value')} FROM f CROSS JOIN range(1, 3) t(chain)",
+)
 def fij_at_zero_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factors at zero by draw; equal thetas are computed once."""
     p = fx.points(spark, sf_dir)
-    edges = neighbors.ordered_knn(p, 1).persist()
-    out = crosscov.by_theta(_theta_draws(spark), lambda t: crosscov.at_zero(crosscov.lower(vecchia.factors(p, edges, t))))
-    return out.select("iter", "i", "j", rounded("value", "value"))
+    return crosscov.zero_draws(p, neighbors.ordered_knn(p, 1), _theta_draws(spark)).select("chain", "iter", "i", "j", rounded("value", "value"))
 
 
-@query("fij_bins_draws", ORACLES["fij_bins"].replace("SELECT bin, round", "SELECT CAST(iter AS INTEGER) AS iter, bin, round").replace("FROM e GROUP BY bin", "FROM e CROSS JOIN range(1, 4) t(iter) GROUP BY bin, iter"))
+@query(
+    "fij_bins_draws",
+    f"{PATH_DRAWS}, c AS (SELECT (a.outcome + 2) // 3 AS iter, a.s AS s1, b.s AS s2, sum(a.v * b.v) AS c FROM l a JOIN l b ON a.t = b.t WHERE a.outcome % 3 = 1 AND b.outcome = a.outcome + 1 GROUP BY a.outcome, a.s, b.s), "
+    "d AS (SELECT iter, a.loc_id AS s1, b.loc_id AS s2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a CROSS JOIN p b CROSS JOIN range(1, 4) t(iter)), "
+    f"e AS (SELECT iter, CAST(least(floor(d / (0.5 / 20)), 19) AS INTEGER) AS bin, coalesce(c, 0) AS c FROM d LEFT JOIN c USING (iter, s1, s2) WHERE d <= 0.5) "
+    f"SELECT CAST(chain AS INTEGER) AS chain, CAST(iter AS INTEGER) AS iter, bin, {r('(bin + 0.5) * (0.5 / 20)', 'mid')}, count(*) AS pairs, {r('avg(c)', 'value')} FROM e CROSS JOIN range(1, 3) u(chain) GROUP BY chain, iter, bin",
+)
 def fij_bins_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.points(spark, sf_dir)
-    edges = neighbors.ordered_knn(p, 1).persist()
-    out = crosscov.by_theta(_theta_draws(spark), lambda t: crosscov.binned(p, crosscov.lower(vecchia.factors(p, edges, t)), 1, 2, bins=20, most=0.5))
-    return out.select("iter", "bin", rounded("mid", "mid"), "pairs", rounded("value", "value"))
+    out = crosscov.binned_draws(p, neighbors.ordered_knn(p, 1), _theta_draws(spark), 1, 2, bins=20, most=0.5)
+    return out.select("chain", "iter", "bin", rounded("mid", "mid"), "pairs", rounded("value", "value"))
