@@ -68,7 +68,10 @@ def long(chain: int, draws: dict[str, np.ndarray]) -> pd.DataFrame:
 
 
 def ordered(locations: DataFrame, n: int, order: str) -> DataFrame:
-    """loc_id and ord: by id, or max-min; of more places than one task takes, max-min by levels of cells."""
+    """loc_id and ord: by id, by rows of a grid, or max-min; of more places than one task takes, max-min by levels of cells."""
+    if order == "grid":
+        rows = neighbors.grid_steps(locations).select("loc_id", F.struct("gy", "gx").alias("key"))
+        return neighbors.ranked(rows, "key").select("loc_id", "ord")
     if order != "maxmin":
         return neighbors.ranked(locations).select("loc_id", "ord")
     return neighbors.max_min(locations) if n <= CHAIN_ROWS else neighbors.level_order(locations)
@@ -84,14 +87,16 @@ def cells(chain: int, values: np.ndarray, missing: np.ndarray) -> pd.DataFrame:
 def fit(
     locations: DataFrame, observations: DataFrame, design: DataFrame, *, m: int = 15, model: str = "response", method: str = "mcmc", iters: int = 1000, chains: int = 1,
     start: str | dict = "auto", family: int = MATERN, nu: float | None = 0.5, order: str = "maxmin", seed: int = 1, update_theta: tuple[bool, bool, bool] | None = None,
-    sampler_name: str = sampler.BLOCK, preconditioner: str = "auto", sample: tuple[bool, bool, bool] = (True, True, True), tol: float | None = None, complete: bool | None = None, predictive: int = 0,
+    sampler_name: str = sampler.BLOCK, preconditioner: str = "auto", sample: tuple[bool, bool, bool] = (True, True, True), tol: float | None = None, complete: bool | None = None, predictive: int = 0, timings: bool = False,
 ) -> Fit:
     """Fits a model of several outcomes at many places.
 
     model: response (outcomes are the process) or latent (process plus noise). method: mcmc or vi. start: auto, or a dict with beta, sigma,
     thetas, noise, w (all or some). update_theta: whether phi, nu and the nugget's share are sampled; by default phi and the share in
     the response model and none in the latent one. complete: only places with all outcomes; by default for vi of the
-    response model, for others missing outcomes are imputed. Tables with faults are refused.
+    response model, for others missing outcomes are imputed. order: maxmin, id, or grid, which refuses places that are not
+    all of a grid. timings: draws get a param Seconds, what each phase of all sweeps took, i being its number in info["phases"]. Tables with
+    faults are refused.
     """
     if model not in ("response", "latent") or method not in ("mcmc", "vi"):
         raise ValueError(f"no fit {model}:{method}")
@@ -107,10 +112,10 @@ def fit(
         raise ValueError(f"{n} places; a chain's task takes {CHAIN_ROWS}. Use the variational response fit, or fit by region")
     ranks = ordered(locations, n, order).persist()
     by_ord = locations.join(ranks, "loc_id").select(F.col("ord").alias("loc_id"), "x", "y")
-    named = neighbors.ordered_knn(by_ord, m)
+    named = neighbors.vecchia_dag(by_ord, m, "grid").drop("dx", "dy") if order == "grid" else neighbors.ordered_knn(by_ord, m)
     node, parent = ranks.select(F.col("ord").alias("node"), F.col("loc_id").alias("n")), ranks.select(F.col("ord").alias("parent"), F.col("loc_id").alias("p"))
     edges = named.join(node, "node").join(parent, "parent").select(F.col("n").alias("node"), F.col("p").alias("parent"), "k", "d").persist()
-    info = {"model": model, "method": method, "m": m, "family": family, "dropped": given - n}
+    info = {"model": model, "method": method, "m": m, "family": family, "dropped": given - n, "phases": sampler.phases(latent, sampler_name)}
     if method == "vi" and not latent:
         return Fit(_response_vi(locations, observations, design, edges, start, nu, family, tol or 1e-5, seed, ranks), edges, ranks, info)
     free = update_theta if update_theta is not None else (False, False, False) if latent else (True, False, True)
@@ -124,7 +129,7 @@ def fit(
         rng = np.random.Generator(np.random.Philox(key=[seed, int(key[0])]))
         _, y, x, graph = unpack(pdf)
         state = make_state(y, x, graph, start, options, nu, rng)
-        got = sampler.run_latent_vi(state, rng, tol or 1e-2, draws=predictive) if method == "vi" else sampler.run_chain(state, iters, rng)
+        got = sampler.run_latent_vi(state, rng, tol or 1e-2, draws=predictive) if method == "vi" else sampler.run_chain(state, iters, rng, timings=timings)
         if method == "vi":
             got["Ddiag"], got["Theta"] = got["Ddiag"][:, None], np.array(state.thetas).T
             got["rel_change"] = got["rel_change"].reshape(len(got["rel_change"]), -1, 1) if len(got["rel_change"]) else np.zeros((0, 5, 1))

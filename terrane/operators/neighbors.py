@@ -158,11 +158,15 @@ def grid_dag(grid: DataFrame, m: int) -> DataFrame:
     return want.join(have, ["px", "py"]).withColumn("k", k).filter(F.col("k") <= m).select("node", "parent", "k", "dx", "dy")
 
 
+def node_patterns(dag: DataFrame) -> DataFrame:
+    """node, pattern: its offsets to its parents, by k."""
+    offset = F.concat_ws(",", F.col("dx").cast("string"), F.col("dy").cast("string"))
+    return dag.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", offset.alias("o")))), lambda x: x["o"]), ";").alias("pattern"))
+
+
 def grid_patterns(dag: DataFrame) -> DataFrame:
     """Nodes with the same offsets to their parents share factors: pattern, nodes, exemplar (the smallest node)."""
-    offset = F.concat_ws(",", F.col("dx").cast("string"), F.col("dy").cast("string"))
-    of_node = dag.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", offset.alias("o")))), lambda x: x["o"]), ";").alias("pattern"))
-    return of_node.groupBy("pattern").agg(F.count("*").alias("nodes"), F.min("node").alias("exemplar"))
+    return node_patterns(dag).groupBy("pattern").agg(F.count("*").alias("nodes"), F.min("node").alias("exemplar"))
 
 
 def blanket(edges: DataFrame) -> DataFrame:
@@ -240,13 +244,31 @@ def level_order(points: DataFrame, last: int = 20) -> DataFrame:
     return ranked(own.select("loc_id", key.alias("key")), "key").select("loc_id", "ord")
 
 
+def grid_steps(points: DataFrame) -> DataFrame:
+    """Points (loc_id, x, y) of a full rectangle of equal steps with their column and row from 0: gx, gy. Others are refused."""
+    if not grid_check(points).first()["gridded"]:
+        raise ValueError("the places are not all of a grid of equal steps")
+    low = points.agg(*(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max), ("n", F.count_distinct))))
+    nth = lambda c: F.when(F.col(f"n_{c}") > 1, F.round((F.col(c) - F.col(f"low_{c}")) * (F.col(f"n_{c}") - 1) / (F.col(f"high_{c}") - F.col(f"low_{c}")))).otherwise(0.0).cast("int")
+    return points.crossJoin(F.broadcast(low)).select("loc_id", "x", "y", nth("x").alias("gx"), nth("y").alias("gy"))  # low is one row
+
+
 def vecchia_dag(points: DataFrame, m: int, order: str = "maxmin") -> DataFrame:
     """The graph of a sparse approximation: edges (node, parent, k, d) by loc_id, parents being earlier in the order.
 
-    order: maxmin, or id for the order of loc_id.
+    order: maxmin, id for the order of loc_id, or grid for rows of a grid: each node has the nearest past cells, counted in steps, as parents,
+    and its offsets dx, dy to them follow d.
     """
     if order == "id":
         return ordered_knn(points, m)
+    if order == "grid":
+        at = grid_steps(points).persist()
+        edges = grid_dag(at, m)
+        for end in ("node", "parent"):
+            edges = edges.join(at.select(F.col("loc_id").alias(end), F.col("x").alias(f"{end}x"), F.col("y").alias(f"{end}y")), end)
+        return edges.select("node", "parent", "k", F.sqrt(squared_distance("node", "parent")).alias("d"), "dx", "dy")
+    if order != "maxmin":
+        raise ValueError(f"no order {order}")
     by = max_min(points).join(points, "loc_id").persist()
     edges = ordered_knn(by.select(F.col("ord").alias("loc_id"), "x", "y"), m)
     named = by.select(F.col("ord").alias("o"), "loc_id")

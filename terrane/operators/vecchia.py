@@ -69,6 +69,22 @@ def factors(points: DataFrame, edges: DataFrame, thetas: Sequence[Theta], family
     return families(points, edges).mapInPandas(run, "outcome int, node bigint, sqrt_r double, parents array<bigint>, h array<double>")
 
 
+def grid_factors(points: DataFrame, dag: DataFrame, thetas: Sequence[Theta], family: int = MATERN, nugget: float | Sequence[float] = 0.0) -> DataFrame:
+    """factors() of a grid: a factor is made for one node of each pattern of offsets dx, dy, and given to all.
+
+    Patterns number about (2 m)^2 at most, whatever the number of nodes: they differ near the borders only.
+    """
+    parents = F.transform(F.array_sort(F.collect_list(F.struct("k", "parent"))), lambda p: p["parent"])
+    of_node = points.select(F.col("loc_id").alias("node")).join(neighbors.node_patterns(dag), "node", "left").join(dag.groupBy("node").agg(parents.alias("parents")), "node", "left")
+    of_node = of_node.select("node", F.coalesce("pattern", F.lit("")).alias("pattern"), F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents")).persist()
+    first = of_node.groupBy("pattern").agg(F.min("node").alias("node")).persist()
+    needed = dag.select("node", "parent", "k").join(F.broadcast(first.select("node")), "node")
+    used = first.select(F.col("node").alias("loc_id")).unionByName(needed.select(F.col("parent").alias("loc_id"))).distinct()
+    made = factors(points.join(F.broadcast(used), "loc_id", "left_semi"), needed, thetas, family, nugget)
+    made = made.join(first, "node").select("outcome", "pattern", "sqrt_r", "h")
+    return of_node.join(F.broadcast(made), "pattern").select("outcome", "node", "sqrt_r", "parents", "h")  # a row for each pattern and outcome
+
+
 def entries(factors_: DataFrame) -> DataFrame:
     """H as entries: outcome, i, j, v."""
     row = F.concat(
@@ -186,8 +202,11 @@ class Approximation(NamedTuple):
 
 
 def build(points: DataFrame, thetas: Sequence[Theta], m: int = 15, family: int = MATERN, order: str = "maxmin", nugget: float | Sequence[float] = 0.0) -> Approximation:
-    """The sparse approximation of places (loc_id, x, y) for each outcome's theta. Tables are plans until they are used."""
+    """The sparse approximation of places (loc_id, x, y) for each outcome's theta. Tables are plans until they are used.
+
+    order: as of neighbors.vecchia_dag(); on a grid nodes share factors.
+    """
     edges = neighbors.vecchia_dag(points, m, order).persist()
-    own = factors(points, edges, thetas, family, nugget)
+    own = (grid_factors if order == "grid" else factors)(points, edges, thetas, family, nugget)
     h = entries(own)
     return Approximation(edges, own, h, precision(h), log_determinant(own), neighbors.blanket(edges))

@@ -401,17 +401,14 @@ def logdens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def grid_shared_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On a grid, nodes whose parents lie alike share a factor: it is made for one of them and joined to the rest."""
-    g = fx.grid(spark, sf_dir)
-    dag = neighbors.grid_dag(g, 2)
-    offset = F.concat_ws(",", F.col("dx").cast("string"), F.col("dy").cast("string"))
-    of_node = dag.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", offset.alias("o")))), lambda x: x["o"]), ";").alias("pattern"))
-    of_node = g.select(F.col("loc_id").alias("node")).join(of_node, "node", "left").select("node", F.coalesce("pattern", F.lit("")).alias("pattern")).persist()
-    first = of_node.groupBy("pattern").agg(F.min("node").alias("node"))
-    p = g.select("loc_id", (F.col("gx") * 0.1).alias("x"), (F.col("gy") * 0.1).alias("y"))
-    needed = first.select("node").join(dag, "node")
-    near = p.join(first.select(F.col("node").alias("loc_id")).unionByName(needed.select(F.col("parent").alias("loc_id"))).distinct(), "loc_id", "left_semi")
-    f = vecchia.factors(near, needed, (K.Theta(6.0),)).join(first, "node").select("outcome", "pattern", "sqrt_r")
-    return of_node.join(F.broadcast(f), "pattern").select("outcome", "node", rounded("sqrt_r", "sqrt_r"))  # a row for each pattern
+    p = fx.grid(spark, sf_dir).select("loc_id", (F.col("gx") * 0.1).alias("x"), (F.col("gy") * 0.1).alias("y"))
+    return vecchia.build(p, (K.Theta(6.0),), 2, order="grid").factors.select("outcome", "node", rounded("sqrt_r", "sqrt_r"))
+
+
+@query("vecchia_dag_grid", f"WITH {GRID_DAG} SELECT node, parent, k, {r('sqrt(dx * dx * 0.25 + dy * dy * 4.0)', 'd')}, dx, dy FROM dag")
+def vecchia_dag_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.grid(spark, sf_dir).select("loc_id", (F.col("gx") * 0.5).alias("x"), (F.col("gy") * 2.0).alias("y"))
+    return neighbors.vecchia_dag(p, 15, "grid").select("node", "parent", "k", rounded("d", "d"), "dx", "dy")
 
 
 # Moments.

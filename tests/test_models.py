@@ -232,3 +232,25 @@ def test_build_and_nuggets(spark):
     assert len(dets) == 2 and built.blankets.count() == 60 and built.precision.count() > 60 and built.edges.count() == built.h.filter("outcome = 1").count() - 60
     with_nugget = built.factors.filter("outcome = 2").agg({"sqrt_r": "max"}).first()[0]
     assert with_nugget == pytest.approx(np.sqrt(1.5), abs=0.05)
+
+
+def test_fit_on_a_grid_and_its_timings(spark):
+    """Rows of a grid as order and graph; phases of sweeps are timed on request and nothing else of the draws changes."""
+    n, wide = 48, 8
+    rng = np.random.default_rng(3)
+    locs = spark.createDataFrame([(i, 0.1 * (i % wide), 0.1 * (i // wide)) for i in reversed(range(n))], "loc_id bigint, x double, y double")
+    obs = spark.createDataFrame([(i, j, float(v)) for i in range(n) for j, v in ((1, rng.normal()), (2, rng.normal()))], "loc_id bigint, outcome int, y double")
+    design = spark.createDataFrame([(i, [1.0]) for i in range(n)], "loc_id bigint, x array<double>")
+    start = {"beta": np.zeros((1, 2)), "sigma": np.eye(2), "thetas": [(8.0, 1.0, 0.5, 0.0), (8.0, 1.0, 0.5, 0.0)]}
+    plain = api.fit(locs, obs, design, m=4, iters=3, start=start, order="grid")
+    timed = api.fit(locs, obs, design, m=4, iters=3, start=start, order="grid", timings=True)
+    assert {(r.loc_id, r.ord) for r in plain.places.collect()} == {(i, i) for i in range(n)}
+    edges = {(r.node, r.parent) for r in plain.edges.collect()}
+    assert edges == {(r.node, r.parent) for r in neighbors.grid_dag(locs.selectExpr("loc_id", "int(loc_id % 8) gx", "int(loc_id div 8) gy"), 4).collect()}
+    a = {(r.iter, r.param, r.i, r.j): r.value for r in plain.draws.collect()}
+    b = {(r.iter, r.param, r.i, r.j): r.value for r in timed.draws.collect()}
+    seconds = {k: b.pop(k) for k in list(b) if k[1] == "Seconds"}
+    assert a == b
+    assert len(seconds) == len(timed.info["phases"]) and all(v >= 0 for v in seconds.values()) and sum(seconds.values()) > 0
+    with pytest.raises(ValueError):
+        api.fit(locs.filter("loc_id != 9"), obs.filter("loc_id != 9"), design.filter("loc_id != 9"), m=4, iters=1, start=start, order="grid")

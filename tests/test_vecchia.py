@@ -139,3 +139,64 @@ def test_conjugate_gradients_and_wishart():
     assert np.allclose(mean, 9 * scale, rtol=0.08)
 
 
+
+
+def test_bins_and_factors_at_zero_against_dense_algebra(spark, monkeypatch):
+    xy, thetas, m = places(40, 6), (Theta(5.0), Theta(8.0, 1.0, 1.5, 0.2)), 5
+    p = frame(spark, xy)
+    edges = neighbors.ordered_knn(p, m)
+    g = Graph(xy, near(xy, m))
+    l = [np.linalg.inv(g.factor(t).dense()) for t in thetas]
+    monkeypatch.setattr(crosscov, "COLUMNS", 16)
+    got = crosscov.binned(p, edges, thetas, 1, 2, bins=7, most=0.6).orderBy("bin").toPandas()
+    d, c = distances(xy, xy), l[0] @ l[1].T
+    at = np.minimum(np.floor(d / (0.6 / 7)), 6)
+    for r in got.itertuples():
+        own = (at == r.bin) & (d <= 0.6)
+        assert r.pairs == own.sum() and r.value == pytest.approx(c[own].mean())
+    assert got["pairs"].sum() == (d <= 0.6).sum()
+    theta = spark.createDataFrame([(1, it, j, *t) for it in (1, 2) for j, t in enumerate(thetas, 1)], "chain int, iter int, outcome int, phi double, sigmasq double, nu double, alpha double")
+    zero = {(r.iter, r.i, r.j): r.value for r in crosscov.zero_draws(p, edges, theta).collect()}
+    assert len(zero) == 6
+    for (_, i, j), v in zero.items():
+        assert v == pytest.approx((l[i - 1] * l[j - 1]).sum() / 40)
+
+
+def test_scaling_factor_is_symmetric_and_near_one_of_one_outcome(spark):
+    xy = places(60, 7)
+    got = {(r.i, r.j): r.value for r in crosscov.scaling_factor(frame(spark, xy), (Theta(5.0), Theta(9.0)), m=10, most=30).collect()}
+    assert got[1, 2] == got[2, 1] and got[1, 2] < 1
+    assert got[1, 1] == pytest.approx(1, abs=0.02)  # rows of L have norm 1, but for what the approximation leaves
+    keep = np.round(np.linspace(0, 59, 30)).astype(int)  # by dense algebra, in max-min order
+    s = xy[keep][neighbors.max_min_order(xy[keep])]
+    l = [np.linalg.inv(Graph(s, near(s, 10)).factor(t).dense()) for t in (Theta(5.0), Theta(9.0))]
+    assert got[1, 2] == pytest.approx((l[0] * l[1]).sum() / 30)
+
+
+def test_a_grid_shares_factors(spark):
+    rows = [(100 + i, 0.2 * (i % 7), 1.5 - 0.5 * (i // 7)) for i in range(35)]
+    p = spark.createDataFrame(rows, "loc_id bigint, x double, y double")
+    thetas = (Theta(3.0), Theta(4.0, 1.0, 1.5, 0.1))
+    own = vecchia.build(p, thetas, 6, order="grid")
+    general = {(r.outcome, r.node): (r.sqrt_r, r.parents, r.h) for r in vecchia.factors(p, own.edges, thetas).collect()}
+    shared = own.factors.collect()
+    assert len(shared) == 70
+    for r in shared:
+        sqrt_r, parents, h = general[r.outcome, r.node]
+        assert r.sqrt_r == pytest.approx(sqrt_r) and r.parents == parents and r.h == pytest.approx(h)
+    with pytest.raises(ValueError):
+        neighbors.vecchia_dag(p.filter("loc_id != 110"), 6, "grid")
+    assert neighbors.vecchia_dag(p.filter("loc_id = 110"), 6, "grid").count() == 0
+
+
+def test_steps_of_a_sweep():
+    xy = places(90, 8)
+    g = Graph(xy, near(xy, 6))
+    f = g.factor(Theta(5.0))
+    a = np.random.default_rng(1).standard_normal(90)
+    assert sorted(np.concatenate([s.rows for s in g.steps()])) == list(range(90))
+    h = f.dense()
+    for s in g.steps():
+        assert np.allclose(f.transposed_times_at(a, s), (h.T @ a)[s.rows])
+        assert np.allclose(f.times_at(a, s.touched), (h @ a)[s.touched])
+        assert set(s.touched) == set(np.flatnonzero(np.abs(h[:, s.rows]).sum(1) > 0))
