@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, knn, langid, mixing, neardup, packing, pii, secrets, sharding, tokencount
+from . import ann, bestfit, clustering, knn, langid, lexical, mixing, neardup, packing, pii, secrets, sharding, tokencount
 
-MODULES = (pii, secrets, mixing, packing, langid, tokencount, neardup, knn, ann, sharding)
+MODULES = (pii, secrets, mixing, packing, langid, tokencount, neardup, knn, ann, sharding, lexical, clustering, bestfit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
