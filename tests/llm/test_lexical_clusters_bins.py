@@ -223,7 +223,7 @@ def test_bins_of_odd_rows(spark, fan, block, window):
     assert null_last((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == null_last(pieces_of(rows))
     n, sizes = check_bins(got, 2048), [r["length"] for r in got]
     plain = len(bestfit.best_fit(sizes, 2048)[1])
-    assert n <= plain * 1.1 + 2
+    assert n <= plain * (1.1 if window > 7 else 1.3) + 2  # windows of a few pieces have little to choose from
     assert bestfit.pack(docs.limit(0)).collect() == []
 
 
