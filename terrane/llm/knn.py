@@ -1,9 +1,9 @@
 """Exact top-k search by a Voronoi kNN join, for integer inner products.
 
 Pivots, a bounded sample, cut the vectors into cells; a vector is in the cell of its nearest pivot. A cell's summary
-is its count, its radius and the K smallest distances to its pivot. For a query q and a cell with pivot p,
-q.x lies within |q| * |x - p| of q.p. So the summaries give each query a score that K candidates reach for sure, and
-an upper bound for each cell; the query goes to the cells whose bound reaches that score, and to no others.
+is its count, its radius and the smallest distances to its pivot, K and as many as rows share a query's id. For a query q and a
+cell with pivot p, q.x lies within |q| * |x - p| of q.p. So the summaries give each query a score that K candidates reach for
+sure, the rows with its own id not being relied on, and an upper bound for each cell; the query goes to the cells whose bound reaches that score, and to no others.
 Cells are dealt in blocks, so that a cell with a third of all vectors is searched by many tasks; a
 block finds the K best of each query sent to it, and those are merged. Vectors are moved once, into their
 blocks; the queries, a small part of the rows, are what is replicated. Summaries hold PIVOTS rows and are broadcast.
@@ -26,6 +26,8 @@ from .vectors import BLOCK, best, by_width, in_slices, matrix, sample, valid
 
 PIVOTS, SEED = 128, 8
 K, SCALE, EVERY = 10, 1024, 100
+#: Rows of one query's id for which each cell's summary has distances to spare. Of more, all cells' distances together may do; else the query goes to all cells.
+ALIKE = 64
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -90,10 +92,13 @@ def nearest(whole: DataFrame, k: int, every: int, pivots: int, block: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(near.astype(np.int32)), pa.array(away)], ["vec_id", "v", "row", "cell", "away"])
 
     cells = durable(whole.select("vec_id", "v", "row").mapInArrow(cell, "vec_id bigint, v array<double>, row bigint, cell int, away double"))
+    mine = cells.filter(F.col("vec_id") % every == 0)
+    alike = mine.groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("alike"))
+    spare = k + min(ALIKE, alike.agg(F.max("alike")).first()[0] or 1)
     counts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
     spread = F.pmod(F.xxhash64("row"), F.lit(64))
-    near = cells.select("cell", "away", spread.alias("s")).withColumn("nth", F.row_number().over(Window.partitionBy("cell", "s").orderBy("away"))).filter(F.col("nth") <= k + 1)
-    least = near.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("away")), 1, k + 1).alias("least"))  # 64 * (k + 1) distances a cell at most
+    near = cells.select("cell", "away", spread.alias("s")).withColumn("nth", F.row_number().over(Window.partitionBy("cell", "s").orderBy("away"))).filter(F.col("nth") <= spare)
+    least = near.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("away")), 1, spare).alias("least"))  # 64 * (k + ALIKE) distances a cell at most
     summary = {r["cell"]: r for r in counts.join(least, "cell").collect()}  # PIVOTS rows at most
     names = np.array(sorted(summary))
     n_blocks = np.array([-(-summary[c]["n"] // block) for c in names])
@@ -104,12 +109,12 @@ def nearest(whole: DataFrame, k: int, every: int, pivots: int, block: int) -> Da
         for b in in_slices(batches, 256):
             q = matrix(b.column(1))
             size, toward = np.linalg.norm(q, axis=1), q @ p.T
-            # The query itself may be among those counted on, so one more than k is asked for.
-            sure = np.concatenate([toward[:, [i]] - size[:, None] * least_[i] for i in range(len(name))], axis=1)
-            bound = np.full(len(q), -np.inf)
-            if sure.shape[1] > k:
-                bound = -np.partition(-sure, k, axis=1)[:, k]
-            slack = 1e-6 * (1 + np.abs(bound)) if sure.shape[1] > k else 1.0
+            # All rows with the query's id may be among those counted on, so as many more than k are asked for.
+            sure = -np.sort(-np.concatenate([toward[:, [i]] - size[:, None] * least_[i] for i in range(len(name))], axis=1), axis=1)
+            nth = k - 1 + b.column(3).to_numpy()
+            told_ = nth < sure.shape[1]
+            bound = np.where(told_, np.take_along_axis(sure, np.minimum(nth, sure.shape[1] - 1)[:, None], 1)[:, 0], -np.inf)
+            slack = np.where(told_, 1e-6 * (1 + np.abs(np.where(told_, bound, 0.0))), 1.0)
             reach = toward + size[:, None] * radius + 1e-6 * (1 + np.abs(toward)) >= (bound - slack)[:, None]
             row, col = np.nonzero(reach)
             row, col = np.repeat(row, blocks[col]), np.repeat(col, blocks[col])
@@ -117,7 +122,7 @@ def nearest(whole: DataFrame, k: int, every: int, pivots: int, block: int) -> Da
             pick = pa.array(row)
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(pick) for i in range(3)), pa.array(name[col].astype(np.int32)), pa.array(part.astype(np.int32))], ["query_id", "q", "q_row", "cell", "part"])
 
-    queries = cells.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("row").alias("q_row"))
+    queries = mine.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("row").alias("q_row")).join(alike, "query_id")
     sent = queries.mapInArrow(route, "query_id bigint, q array<double>, q_row bigint, cell int, part int")
     of_cell = F.element_at(F.create_map(*(F.lit(int(x)) for c, n in zip(names, n_blocks, strict=True) for x in (c, n))), F.col("cell"))
     data = cells.select("vec_id", "v", "cell", F.pmod(F.xxhash64("row", F.lit(1)), of_cell).cast("int").alias("part"))
