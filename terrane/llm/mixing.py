@@ -7,7 +7,8 @@ the level at which it is full, need no more than there is.
 
 A source's documents are taken a whole number of times, and once more for those that come first in a
 seeded order until the rest of the target is met. The order is by MD5 of seed and id; its first digits
-cut a source into bins, so a source with a third of all rows is ordered by many tasks. Sources themselves are ranked
+cut a source into bins, so a source with a third of all rows is ordered by many tasks. A bin that holds far more rows than its
+share, one id or none standing in very many, is cut again, by row numbers. Sources themselves are ranked
 and summed up in ranges, so there may be as many as there are rows. Native throughout.
 """
 
@@ -22,6 +23,8 @@ CAP = 3
 SEED = "mix-1"
 #: Hexadecimal digits of the order that make a bin: 16 ** 3 bins for each source.
 BIN_DIGITS = 3
+#: A bin is cut again if it has more rows than this, than HOT times its share of the source, and than one in MOST_CUT of all rows: MOST_CUT bins at most are.
+PART_ROWS, HOT, MOST_CUT = 4096, 4, 1 << 16
 
 
 def ahead(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -66,6 +69,21 @@ def weights(names: DataFrame) -> DataFrame:
     return numbered.select("source", "size", "nth", (F.col("nth") % 3 + 1).cast("long").alias("weight"))
 
 
+def cut(rows: DataFrame, bins: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (source, bin, size, row) with part, 0 but in bins that are cut, and bins (source, bin, part, bin_size) to match."""
+    total = names.agg(F.sum("rows")).first()[0] or 0
+    shares = names.select(F.col("source").alias("of"), (HOT * F.col("rows") / 16**BIN_DIGITS).alias("share"))
+    hot = bins.join(shares, bins["source"].eqNullSafe(shares["of"])).filter((F.col("n") > max(PART_ROWS, total // MOST_CUT)) & (F.col("n") > F.col("share")))
+    large = hot.select("source", "bin", F.ceil(F.col("n") / PART_ROWS).alias("parts")).collect()  # MOST_CUT rows at most
+    if not large:
+        return rows.withColumn("part", F.lit(0).cast("bigint")), bins.withColumn("part", F.lit(0).cast("bigint"))
+    kind = bins.schema["source"].dataType.simpleString()
+    told = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in large], f"cut_source {kind}, cut_bin string, parts bigint"))
+    parted = rows.join(told, rows["source"].eqNullSafe(told["cut_source"]) & (rows["bin"] == told["cut_bin"]), "left")
+    parted = parted.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))).select(*rows.columns, "part")
+    return parted, parted.groupBy("source", "bin", "part").agg(F.sum("size").alias("bin_size"))
+
+
 def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED, keep: tuple[str, ...] = (), split_last: bool = True) -> DataFrame:
     """What the mix takes of every row of docs (doc_id, text, source).
 
@@ -75,7 +93,8 @@ def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED, keep: tuple[str, ...]
     taken whole if at least half of it is due. taken = whole * size + extra.
 
     Null text: no words. Null source: a source of its own, last. Repeated rows, also of one id: each is taken
-    by itself, in any order among alike ones. No rows: no rows. Columns not named are ignored.
+    by itself, in any order among alike ones. No rows: no rows. Columns not named are ignored. Where an id, or null, stands in so many
+    rows that their bin is cut, the bin's order is by parts of row numbers first: reruns agree as long as docs has the same partitions.
     """
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = docs.select(
@@ -84,19 +103,21 @@ def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED, keep: tuple[str, ...]
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         mark.alias("mark"),
         *keep,
+        F.monotonically_increasing_id().alias("row"),
     ).withColumn("bin", F.substring("mark", 1, BIN_DIGITS))
-    slim = durable(rows.select("doc_id", "source", "size", "mark", "bin")) if not keep else rows
-    bins = slim.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    names = slim.groupBy("source").agg(F.sum("size").alias("size"))
-    plan = durable(fill(weights(names), cap)).select("source", F.col("size").alias("source_size"), "target", "whole", "rest")
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    slim = durable(rows.select("doc_id", "source", "size", "mark", "bin", "row")) if not keep else rows
+    bins = durable(slim.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.count("*").alias("n")))
+    names = durable(bins.groupBy("source").agg(F.sum("bin_size").alias("size"), F.sum("n").alias("rows")))
+    slim, bins = cut(slim, bins, names)
+    plan = durable(fill(weights(names.select("source", "size")), cap)).select("source", F.col("size").alias("source_size"), "target", "whole", "rest")
+    before = Window.partitionBy("source").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("ahead", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
     bins = bins.join(plan, bins["source"].eqNullSafe(plan["source"])).select(
-        bins["source"].alias("bin_source"), F.col("bin").alias("bin_at"), "ahead", "source_size", "target", "whole", "rest"
+        bins["source"].alias("bin_source"), F.col("bin").alias("bin_at"), F.col("part").alias("part_at"), "ahead", "source_size", "target", "whole", "rest"
     )
-    order = Window.partitionBy("source", "bin").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "bin", "part").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = slim.withColumn("in_bin", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    rows = rows.join(bins, rows["source"].eqNullSafe(bins["bin_source"]) & (rows["bin"] == bins["bin_at"]))
+    rows = rows.join(bins, rows["source"].eqNullSafe(bins["bin_source"]) & (rows["bin"] == bins["bin_at"]) & (rows["part"] == bins["part_at"]))
     due = F.col("rest") - F.col("ahead") - F.col("in_bin")
     extra: Column = F.least(F.greatest(due, F.lit(0)), F.col("size"))
     if not split_last:
