@@ -59,6 +59,8 @@ ADDED_RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30),
 )
 RULES = BASE_RULES + ADDED_RULES
+#: Rows of a blob up to which it is taken as it is: so many, or one in COMMON of all rows.
+COPIES, COMMON = 256, 1 << 16
 SPANS = "array<struct<at: bigint, kind: string, upto: bigint>>"
 LEDGER = f"blob_id string, rule string, spans {SPANS}"
 
@@ -94,6 +96,25 @@ def ranked(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_sort(F.transform(spans, lambda s: F.struct(s["at"].alias("at"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["upto"].alias("upto"))))
 
 
+def one_row_each(rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """One row of each of the blobs (blob_id, path, n, todo), n being their rows: blob_id, todo, text.
+
+    Rows are met by (blob_id, path). Very many rows of a blob may share a path, if they have one id or none; so rows of blobs with
+    very many are first reduced to one where they are. Such blobs are COMMON at most, and broadcast.
+    """
+    total = blobs.agg(F.sum("n")).first()[0] or 0
+    most = max(COPIES, total // COMMON)
+    common = [r["blob_id"] for r in blobs.filter(F.col("n") > most).select("blob_id").collect()]  # COMMON rows at most
+    one = blobs.filter(F.col("n") <= most).select(F.col("blob_id").alias("b"), F.col("path").alias("p"), "todo").hint("shuffle_hash")
+    chosen = rows.join(one, (rows["blob_id"] == one["b"]) & (rows["path"] == one["p"])).select("blob_id", "path", "todo", "text")
+    chosen = chosen.dropDuplicates(["blob_id", "path"]).select("blob_id", "todo", "text")  # one path a blob: dealt as the join is
+    if not common:
+        return chosen
+    named = F.broadcast(rows.sparkSession.createDataFrame([(b,) for b in common], "b string"))
+    few = rows.join(named, rows["blob_id"] == named["b"], "left_semi").groupBy("blob_id").agg(F.min("text").alias("text"))  # one text a blob
+    return chosen.unionByName(few.join(blobs.select("blob_id", "todo"), "blob_id").select("blob_id", "todo", "text"))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of docs (doc_id, text), and the ledger's new rows (blob_id, rule, spans).
 
@@ -108,21 +129,18 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     # A hash of the id, so that null ids are as others. Rows that share it within a blob have one text.
     rows = docs.select(F.xxhash64("doc_id").alias("path"), text).withColumn("blob_id", F.sha2("text", 256))
-    blobs = rows.groupBy("blob_id").agg(F.min("path").alias("path"))
+    blobs = rows.groupBy("blob_id").agg(F.min("path").alias("path"), F.count("*").alias("n"))
     keys = F.array(*(F.lit(r.key) for r in rules))
     if ledger is None:
         blobs = blobs.withColumn("todo", keys)
     else:
         done = ledger.groupBy(F.col("blob_id").alias("seen_id")).agg(F.collect_set("rule").alias("seen"))  # at most one entry a rule version
         blobs = blobs.join(done, blobs["blob_id"] == done["seen_id"], "left")
-        blobs = blobs.select("blob_id", "path", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
+        blobs = blobs.select("blob_id", "path", "n", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
     blobs = durable(blobs.filter(F.size("todo") > 0))
-    one = blobs.select(F.col("blob_id").alias("b"), F.col("path").alias("p"), "todo").hint("shuffle_hash")
-    unseen = rows if ledger is None else screened(rows, "blob_id", blobs.select("blob_id"))
-    chosen = unseen.join(one, (unseen["blob_id"] == one["b"]) & (unseen["path"] == one["p"])).select("blob_id", "path", "todo", "text")
-    chosen = chosen.dropDuplicates(["blob_id", "path"])  # one path a blob: one row of it, dealt as the join is
+    chosen = one_row_each(rows if ledger is None else screened(rows, "blob_id", blobs.select("blob_id")), blobs)
     span = F.struct("at", "kind", "upto")
-    keyed = durable(find(chosen.select("blob_id", "todo", "text"), rules).groupBy("blob_id", "rule").agg(F.array_sort(F.collect_list(span)).alias("spans")))
+    keyed = durable(find(chosen, rules).groupBy("blob_id", "rule").agg(F.array_sort(F.collect_list(span)).alias("spans")))
     todo = blobs.select("blob_id", F.explode("todo").alias("rule"))
     new = todo.join(keyed, ["blob_id", "rule"], "left").select("blob_id", "rule", F.col("spans").cast(SPANS).alias("spans"))
     known = keyed if ledger is None else keyed.unionByName(ledger.filter(F.col("rule").isin([r.key for r in rules]) & F.col("spans").isNotNull()).select("blob_id", "rule", F.col("spans").cast(SPANS).alias("spans")).dropDuplicates(["blob_id", "rule"]))
