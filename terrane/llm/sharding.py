@@ -71,8 +71,8 @@ def shard(docs: DataFrame, shards: int = 40, atoms: int = ATOMS) -> DataFrame:
     """Shard and slot of every row of docs (doc_id, text), with sizes near equal.
 
     Null text: size 16, checksum 0, grouped with empty texts. Repeated rows and null ids: each row gets a
-    slot of its own. No rows: no rows. Other columns are ignored. Ties in the order of an atom go by
-    doc_id; rows alike in all columns may swap slots, which changes nothing.
+    slot of its own, in any number of tasks. No rows: no rows. Other columns are ignored. Slots number the rows of a shard by
+    atom, then by where the rows lie in docs; so they depend on the partitions of docs, shards do not.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -81,7 +81,7 @@ def shard(docs: DataFrame, shards: int = 40, atoms: int = ATOMS) -> DataFrame:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(atoms)).cast("int").alias("atom"),
-        F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id")).alias("spread"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("spread"),  # not by id or text, which very many rows may share
     )
     rows = durable(rows)
     sums = sorted(map(tuple, rows.groupBy("atom").agg(F.sum("size"), F.count("*")).collect()))  # at most `atoms` rows
