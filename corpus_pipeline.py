@@ -27,10 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id. Rows without an id stay."""
+    """One document of each group of near-duplicates, the one with the smallest id; of rows with one id, the one with the least text. Rows without an id stay."""
     kept = neardup.dedup(docs, SHINGLE, SIMILAR).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    rest = F.struct(*(c for c in COLUMNS if c != "doc_id"))
+    one = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("row"))
+    return one.select("doc_id", "row.*").unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

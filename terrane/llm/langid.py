@@ -2,8 +2,8 @@
 
 Learning: grams of one to three letters and whole words, counted by language over a sample of labelled rows
 of at most TRAIN_DOCS documents: the first in a seeded order that goes round the languages, so that a rare one is
-sampled whole before a common one takes more than its turn. The counts are added up by Spark; all scripts of each language
-and its most frequent grams reach the driver, GRAMS in all, dealt evenly to the languages. No language is dropped.
+sampled whole before a common one takes more than its turn; of more languages than that, each has one. The counts are added up
+by Spark, and all of them reach the driver: what TRAIN_DOCS documents hold. No language and no gram is dropped.
 
 Prediction: the script of a word's first letter leaves as candidates the languages learnt with that script. Grams
 that no language has weigh the same for all. A word of a script that no language was learnt with speaks for none of
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .shared import LONG_WORD, slices, small_batches, table
 
 TRAIN_DOCS = 6000
-GRAMS = 200_000
 SEED = 5
 FLOOR, SWITCH = -4.0, 8.0
 PRIOR = 2000.0
@@ -95,12 +94,12 @@ def hash_bound(share: int, size: int) -> int:
     return (1 << 63) - 1 if part >= 1 else int(-(1 << 63) + part * (1 << 64))
 
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS) -> Model:
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """A model from rows of docs (doc_id, text, lang) that are labelled and not held out.
 
-    Bounds: train_docs rows, dealt to the languages in turn, by a seeded order within each (repeated rows count
-    once); and most_grams grams, dealt likewise, the most frequent within each. A language with few rows
-    has all of them, and every language and script of the sample is learnt. Without such rows the model knows no language.
+    Bound: train_docs rows, dealt to the languages in turn, one each at least, by a seeded order within each (repeated rows
+    count once). A language with few rows has all of them, and every language, script and gram of the sample is
+    learnt. Without such rows the model knows no language.
 
     A gram's probability in a language leans towards its mean over the languages, as PRIOR grams would; so a language of
     which little is known is not likelier than others for what is rare in them.
@@ -112,12 +111,12 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS
     if not sizes:
         return Model([], np.zeros(0, np.uint64), {}, np.zeros((5, 0), np.float32), {})
     shares = in_turn(sizes, train_docs)
-    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
     # A hash is uniform, so a bound on it keeps little more than the share; the rest is cut exactly, in tasks of a bounded number of rows.
-    near = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, hash_bound(shares[k], n)))), F.col("lang"))
-    last = rows.filter(F.col("o") <= near).select("lang", "o").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).filter(F.col("nth") <= share)
-    ends = {r["lang"]: r["o"] for r in last.groupBy("lang").agg(F.max("o").alias("o")).collect()}
-    end = F.element_at(F.create_map(*(F.lit(x) for k in sizes for x in (k, ends[k]))), F.col("lang"))
+    spark = docs.sparkSession
+    told = F.broadcast(spark.createDataFrame([(k, shares[k], hash_bound(shares[k], n)) for k, n in sizes.items()], "lang string, share long, near long"))  # a row a language
+    near = rows.join(told, "lang").filter(F.col("o") <= F.col("near")).select("lang", "o", "share").distinct()
+    last = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).filter(F.col("nth") <= F.col("share"))
+    ends = F.broadcast(spark.createDataFrame(last.groupBy("lang").agg(F.max("o").alias("end")).collect(), "lang string, end long"))  # a row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(n: Counter) -> pa.RecordBatch:
@@ -138,20 +137,18 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_grams: int = GRAMS
                 seen.clear()
         yield rows_of(seen)
 
-    part = rows.filter(F.col("o") <= end).dropDuplicates(["lang", "o"]).select("lang", "text")
+    part = rows.join(ends, "lang").filter(F.col("o") <= F.col("end")).dropDuplicates(["lang", "o"]).select("lang", "text")
     counts = part.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # Scripts first, which are few; then grams by frequency, each language's by itself.
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.expr("gram like '#_%'").desc(), F.col("n").desc(), "gram"))
-    top = counts.withColumn("nth", nth).filter(F.col("nth") <= max(len(NAMES), most_grams // len(sizes))).collect()
     langs = sorted(sizes)
     at = {x: i for i, x in enumerate(langs)}
     scripts: dict[str, np.ndarray] = {}
     tables: dict[str, np.ndarray] = {}
-    for r in top:
-        if r.gram[0] == "#" and len(r.gram) > 1:
-            scripts.setdefault(r.gram[1:], np.zeros(len(langs), bool))[at[r.lang]] = True
-        else:
-            tables.setdefault(r.gram, np.zeros(len(langs)))[at[r.lang]] += r.n
+    for b in counts.toArrow().to_batches(max_chunksize=8192):  # what train_docs documents hold
+        for lang, gram, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if gram[0] == "#" and len(gram) > 1:
+                scripts.setdefault(gram[1:], np.zeros(len(langs), bool))[at[lang]] = True
+            else:
+                tables.setdefault(gram, np.zeros(len(langs), np.float32))[at[lang]] += n
     short = sorted((g for g in tables if g[0] != "="), key=code)
     long = [g for g in tables if g[0] == "="]
     n = np.array([tables[g] for g in (*short, *long)]).reshape(-1, len(langs))
@@ -316,7 +313,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     spans; and so without a language learnt. Repeated rows and null ids: a row each. No rows: none.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # what TRAIN_DOCS documents hold
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.string())])
 
     @F.arrow_udf("lang_pred string, score double, spans string")
