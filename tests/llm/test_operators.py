@@ -308,7 +308,7 @@ def test_rare_languages_and_scripts_are_learnt(spark):
     greek = "η γάτα κάθεται στο χαλί και κοιτάζει έξω από το παράθυρο".split()
     r = random.Random(4)
     rows = [tuple(x) for x in own] + [(10_000 + i, " ".join(r.choices(finnish, k=30)), "fi") for i in range(9)] + [(20_000 + i, " ".join(r.choices(greek, k=9)), "el") for i in range(4)]
-    model = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_docs=100, most_grams=3000)
+    model = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_docs=100)
     assert model.langs == ["el", "en", "fi"] and model.scripts["greek"].tolist() == [True, False, False]
     got = langid.label(langid.Scorer(model), ["kissa katsoo ulos ikkunasta", "η γάτα κοιτάζει έξω", *(x["text"] for x in own[:60])])
     assert [x[0] for x in got[:2]] == ["fi", "el"] and all(x[1] > langid.ACCEPT for x in got[:2])

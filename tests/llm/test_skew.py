@@ -2,12 +2,15 @@
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.llm import knn, mixing, secrets, sharding
+import corpus_pipeline
+from terrane.llm import knn, langid, mixing, secrets, sharding
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -84,3 +87,35 @@ def test_slots_of_rows_alike_are_dealt_to_parts(spark, doc_id):
     assert len(got) == 3000 and len({r["shard"] for r in got if r["doc_id"] == doc_id}) == 1
     for s in range(5):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_learnt_weights_are_those_of_plain_counts(spark):
+    """All grams of the rows, none left out: each one's log probability, leaning to its mean over the languages."""
+    rows = [(i, " ".join(f"{lang}wort{(i * j) % 17}" for j in range(20)) + " Ab", lang) for i in range(60) for lang in ("xx", "yy", "zz")]
+    rows = [(3 * i + "xyz".index(lang[0]), t, lang) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    mine = {r["doc_id"] for r in docs.filter(~langid.held_out(F.col("doc_id"))).collect()}
+    model = langid.learn(docs)
+    assert model.langs == ["xx", "yy", "zz"]
+    counts = {lang: Counter(g for d, t, at in rows if at == lang and d in mine for w in langid.LETTERS.findall(t.lower()) for g in langid.grams(w)) for lang in model.langs}
+    kind = lambda g: 4 if g[0] == "=" else len(g)
+    every = set().union(*counts.values())
+    assert len(model.codes) + len(model.words) == len(every)
+    for g in every:
+        total = {lang: sum(n for x, n in c.items() if kind(x) == kind(g)) for lang, c in counts.items()}
+        mean = sum(counts[lang][g] / total[lang] for lang in counts) / 3
+        row = model.words[g[1:]] if g[0] == "=" else int(np.searchsorted(model.codes, langid.code(g)))
+        assert np.allclose(model.weights[row], [np.log((counts[lang][g] + langid.PRIOR * mean) / (total[lang] + langid.PRIOR)) for lang in model.langs], atol=1e-5)
+
+
+def test_more_languages_than_training_rows(spark):
+    rows = [(3 * i, f"wort{i} ab" * 5, f"l{i:02}") for i in range(40)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_docs=5)
+    assert len(model.langs) == sum(1 for i in range(40) if zlib.crc32(str(3 * i).encode()) % 3 != 1)
+
+
+def test_of_rows_with_one_id_the_least_text_stays(spark):
+    texts = [f"some other words number {i} of a longer text that is like no other {'abc'[i % 3]}{i * 7919}" for i in range(6)]
+    rows = [(5, t, "en", "a", len(t)) for t in texts] + [(9, "one two three four five six", "en", "a", 10)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "").collect()}
+    assert got == {5: min(texts), 9: "one two three four five six"}
