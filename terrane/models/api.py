@@ -1,7 +1,7 @@
 """Entry points: fit, simulate, starting values, prediction.
 
-A chain is one task, with the data of its model; chains run side by side. What scales with the data and not with
-iterations (neighbours, moments of the variational response fit, kriging weights, prediction) is left to Spark.
+A chain is one task, with the data of its model, or a stage of tasks that hold a tile of the places each; chains are stored as they
+run (chains.py, tiles.py). What scales with the data and not with iterations (neighbours, moments of the variational response fit, kriging weights, prediction) is left to Spark.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from terrane.functions.kernels import MATERN, Theta
 from terrane.models import predict as predictions
+from terrane.models import chains as streams
 from terrane.models import sampler, starting
 from terrane.models.linalg import Graph
 from terrane.operators import moments, neighbors, vecchia
-from terrane.sources import tables
+from terrane.sources import storage, tables
 
 #: Locations up to which a chain's data go to one task.
 CHAIN_ROWS = 200_000
@@ -87,7 +88,7 @@ def cells(chain: int, values: np.ndarray, missing: np.ndarray) -> pd.DataFrame:
 def fit(
     locations: DataFrame, observations: DataFrame, design: DataFrame, *, m: int = 15, model: str = "response", method: str = "mcmc", iters: int = 1000, chains: int = 1,
     start: str | dict = "auto", family: int = MATERN, nu: float | None = 0.5, order: str = "maxmin", seed: int = 1, update_theta: tuple[bool, bool, bool] | None = None,
-    sampler_name: str = sampler.BLOCK, preconditioner: str = "auto", sample: tuple[bool, bool, bool] = (True, True, True), tol: float | None = None, complete: bool | None = None, predictive: int = 0, timings: bool = False,
+    sampler_name: str = sampler.BLOCK, preconditioner: str = "auto", sample: tuple[bool, bool, bool] = (True, True, True), tol: float | None = None, complete: bool | None = None, predictive: int = 0, timings: bool = False, store: str | None = None, segment: int = streams.SEGMENT, thin: int = 1, keep_process: bool = True,
 ) -> Fit:
     """Fits a model of several outcomes at many places.
 
@@ -95,7 +96,9 @@ def fit(
     thetas, noise, w (all or some). update_theta: whether phi, nu and the nugget's share are sampled; by default phi and the share in
     the response model and none in the latent one. complete: only places with all outcomes; by default for vi of the
     response model, for others missing outcomes are imputed. order: maxmin, id, or grid, which refuses places that are not
-    all of a grid. timings: draws get a param Seconds, what each phase of all sweeps took, i being its number in info["phases"]. Tables with
+    all of a grid. store: the folder in which draws are kept, a new one in the shared folder by default; chains run now, and once. A
+    chain is stored in segments of so many sweeps: with the folder of a run that was broken off, or had fewer iters, it goes on from
+    there. thin: each thin-th sweep is kept. keep_process: whether draws of W are. timings: draws get a param Seconds, what each phase of all sweeps took, i being its number in info["phases"]. Tables with
     faults are refused.
     """
     if model not in ("response", "latent") or method not in ("mcmc", "vi"):
@@ -123,21 +126,26 @@ def fit(
         free = (free[0], free[1], False)  # the nugget is the noise
     options = dict(latent=latent, family=family, update=(free[0], False, free[1], free[2]), sampler=sampler_name, preconditioner=preconditioner, sample_beta=sample[0], sample_sigma=sample[1], sample_noise=sample[2])
     rows = model_rows(locations, observations, design, ranks, edges)
+    folder = store or storage.new_folder(locations.sparkSession, "fit")
+    if method == "mcmc":
+        make = lambda y, x, graph, rng: make_state(y, x, graph, start, options, nu, rng)
+        settings = {"options": options, "start": start, "nu": nu, "m": m, "order": order}
+        draws = streams.run(rows, chains, iters, folder, make, seed, settings, segment, thin, keep_process, timings)
+        return Fit(draws, edges, ranks, info | {"store": folder})
     dealt = rows.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(chains))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.Generator(np.random.Philox(key=[seed, int(key[0])]))
         _, y, x, graph = unpack(pdf)
         state = make_state(y, x, graph, start, options, nu, rng)
-        got = sampler.run_latent_vi(state, rng, tol or 1e-2, draws=predictive) if method == "vi" else sampler.run_chain(state, iters, rng, timings=timings)
-        if method == "vi":
-            got["Ddiag"], got["Theta"] = got["Ddiag"][:, None], np.array(state.thetas).T
-            got["rel_change"] = got["rel_change"].reshape(len(got["rel_change"]), -1, 1) if len(got["rel_change"]) else np.zeros((0, 5, 1))
+        got = sampler.run_latent_vi(state, rng, tol or 1e-2, draws=predictive)
+        got["Ddiag"], got["Theta"] = got["Ddiag"][:, None], np.array(state.thetas).T
+        got["rel_change"] = got["rel_change"].reshape(len(got["rel_change"]), -1, 1) if len(got["rel_change"]) else np.zeros((0, 5, 1))
         drawn = got.pop("Y", None)
         out = long(int(key[0]), got)
         return out if drawn is None or not drawn.size else pd.concat([out, cells(int(key[0]), drawn, ~state.there)])
 
-    return Fit(dealt.groupBy("chain").applyInPandas(run, DRAWS), edges, ranks, info)
+    return Fit(storage.kept(dealt.groupBy("chain").applyInPandas(run, DRAWS), f"{folder}/draws"), edges, ranks, info | {"store": folder})
 
 
 def make_state(y: np.ndarray, x: np.ndarray, graph: Graph, start: str | dict, options: dict, nu: float | None, rng: np.random.Generator) -> sampler.State:
