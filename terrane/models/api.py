@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from terrane.functions.kernels import MATERN, Theta
 from terrane.models import predict as predictions
 from terrane.models import chains as streams
-from terrane.models import sampler, starting
+from terrane.models import sampler, starting, tiles as tiled
 from terrane.models.linalg import Graph
 from terrane.operators import moments, neighbors, vecchia
 from terrane.sources import storage, tables
@@ -88,7 +88,7 @@ def cells(chain: int, values: np.ndarray, missing: np.ndarray) -> pd.DataFrame:
 def fit(
     locations: DataFrame, observations: DataFrame, design: DataFrame, *, m: int = 15, model: str = "response", method: str = "mcmc", iters: int = 1000, chains: int = 1,
     start: str | dict = "auto", family: int = MATERN, nu: float | None = 0.5, order: str = "maxmin", seed: int = 1, update_theta: tuple[bool, bool, bool] | None = None,
-    sampler_name: str = sampler.BLOCK, preconditioner: str = "auto", sample: tuple[bool, bool, bool] = (True, True, True), tol: float | None = None, complete: bool | None = None, predictive: int = 0, timings: bool = False, store: str | None = None, segment: int = streams.SEGMENT, thin: int = 1, keep_process: bool = True,
+    sampler_name: str = sampler.BLOCK, preconditioner: str = "auto", sample: tuple[bool, bool, bool] = (True, True, True), tol: float | None = None, complete: bool | None = None, predictive: int = 0, timings: bool = False, store: str | None = None, segment: int = streams.SEGMENT, thin: int = 1, keep_process: bool = True, tiles: int | None = None,
 ) -> Fit:
     """Fits a model of several outcomes at many places.
 
@@ -98,7 +98,8 @@ def fit(
     response model, for others missing outcomes are imputed. order: maxmin, id, or grid, which refuses places that are not
     all of a grid. store: the folder in which draws are kept, a new one in the shared folder by default; chains run now, and once. A
     chain is stored in segments of so many sweeps: with the folder of a run that was broken off, or had fewer iters, it goes on from
-    there. thin: each thin-th sweep is kept. keep_process: whether draws of W are. timings: draws get a param Seconds, what each phase of all sweeps took, i being its number in info["phases"]. Tables with
+    there. tiles: a chain's tasks, which hold a tile of the places each; by default one up to 200,000 places, and beyond so many that tiles have
+    50,000 (one chain then runs after the other, and as many cores must be free). thin: each thin-th sweep is kept. keep_process: whether draws of W are. timings: draws get a param Seconds, what each phase of all sweeps took, i being its number in info["phases"]. Tables with
     faults are refused.
     """
     if model not in ("response", "latent") or method not in ("mcmc", "vi"):
@@ -111,8 +112,10 @@ def fit(
         locations = locations.join(observations.select("loc_id").distinct(), "loc_id", "left_semi")
     locations = locations.persist()
     n = locations.count()
-    if n > CHAIN_ROWS and (latent or method != "vi"):
-        raise ValueError(f"{n} places; a chain's task takes {CHAIN_ROWS}. Use the variational response fit, or fit by region")
+    if n > CHAIN_ROWS and latent and method == "vi":
+        raise ValueError(f"{n} places; the variational latent fit's task takes {CHAIN_ROWS}. Use chains, which go over tiles")
+    if method == "mcmc" and n > CHAIN_ROWS:
+        tiles = tiles or -(-n // tiled.TILE_ROWS)
     ranks = ordered(locations, n, order).persist()
     by_ord = locations.join(ranks, "loc_id").select(F.col("ord").alias("loc_id"), "x", "y")
     named = neighbors.vecchia_dag(by_ord, m, "grid").drop("dx", "dy") if order == "grid" else neighbors.ordered_knn(by_ord, m)
@@ -129,6 +132,8 @@ def fit(
     folder = store or storage.new_folder(locations.sparkSession, "fit")
     if method == "mcmc":
         make = lambda y, x, graph, rng: make_state(y, x, graph, start, options, nu, rng)
+        if tiles and tiles > 1:
+            return Fit(_tiled(rows, locations, observations, design, edges, ranks, tiles, chains, iters, folder, start, nu, options, seed, {"m": m, "order": order}, segment, thin, keep_process, timings), edges, ranks, info | {"store": folder, "tiles": tiles})
         settings = {"options": options, "start": start, "nu": nu, "m": m, "order": order}
         draws = streams.run(rows, chains, iters, folder, make, seed, settings, segment, thin, keep_process, timings)
         return Fit(draws, edges, ranks, info | {"store": folder})
@@ -148,6 +153,24 @@ def fit(
     return Fit(storage.kept(dealt.groupBy("chain").applyInPandas(run, DRAWS), f"{folder}/draws"), edges, ranks, info | {"store": folder})
 
 
+def _tiled(
+    rows: DataFrame, locs: DataFrame, obs: DataFrame, design: DataFrame, edges: DataFrame, ranks: DataFrame, tiles: int, chains: int, iters: int, folder: str,
+    start: str | dict, nu: float | None, options: dict, seed: int, settings: dict, segment: int, thin: int, keep_process: bool, timings: bool,
+) -> DataFrame:
+    """Chains over tiles. Colours are made only for what goes by them."""
+    own = {} if start == "auto" else dict(start)
+    if not {"beta", "sigma", "thetas"} <= own.keys():
+        own = auto_start(locs, obs, design, edges, ranks, latent=options["latent"], nu=nu, seed=seed) | own
+    if "w" in own:
+        raise ValueError("a start of the process is by place; chains over tiles take none")
+    own = {"noise": np.ones(len(own["thetas"]))} | own
+    told = obs.groupBy("outcome").agg(F.avg("y").alias("mean"), F.count_if(F.col("y").isNull()).alias("gone")).orderBy("outcome").collect()  # a row an outcome
+    by_color = options["sampler"] == sampler.SITE if options["latent"] else any(r["gone"] for r in told)
+    colors = storage.kept(neighbors.coloring(neighbors.blanket(edges)), f"{folder}/colors") if by_color else None
+    dealt = tiled.tile_rows(rows, ranks, locs, edges, colors, tiles)
+    return tiled.run(dealt, tiles, chains, iters, folder, own, [r["mean"] or 0.0 for r in told], options, seed, settings | {"start": own, "options": options}, segment, thin, keep_process, timings)
+
+
 def make_state(y: np.ndarray, x: np.ndarray, graph: Graph, start: str | dict, options: dict, nu: float | None, rng: np.random.Generator) -> sampler.State:
     own = {} if start == "auto" else dict(start)
     first: dict = {}

@@ -9,12 +9,17 @@ order, each with cells as wide as the density of its candidates asks for.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.talk import Talk
+
 #: Locations up to which a side may be broadcast.
 SMALL = 20_000
 
@@ -188,14 +193,55 @@ def greedy_colors(members: dict[int, list[int]]) -> dict[int, int]:
     return out
 
 
-def coloring(blankets: DataFrame) -> DataFrame:
-    """Greedy colours of blankets (node, members). The rule is sequential: one task, over the graph only."""
+#: Nodes that a task colours, about.
+COLOR_ROWS = 20_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = greedy_colors({int(n): [int(x) for x in m] for n, m in zip(pdf["node"], pdf["members"], strict=True)})
-        return pd.DataFrame({"node": list(got), "color": list(got.values())})
 
-    return blankets.withColumn("task", F.lit(1)).groupBy("task").applyInPandas(run, "node bigint, color int")
+def coloring(blankets: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Greedy colours of blankets (node, members): node, color; each node's is the lowest that no earlier node of its blanket has.
+
+    Nodes are dealt to tasks that run at once. A node is coloured as soon as all earlier ones of its blanket are; a task goes as far as it
+    can, then tells the others its new colours. So the colours are those of one pass in the order of nodes.
+    """
+    spark = blankets.sparkSession
+    parts = tasks or max(1, min(spark.sparkContext.defaultParallelism, -(-blankets.count() // COLOR_ROWS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        talk = Talk(TaskContext.get().partitionId())
+        earlier: dict[int, list[int]] = {}
+        for b in batches:
+            earlier.update((n, [x for x in m if x < n]) for n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        waits = {n: len(m) for n, m in earlier.items()}
+        asked: dict[int, list[int]] = {}
+        for n, m in earlier.items():
+            for x in m:
+                asked.setdefault(x, []).append(n)
+        color: dict[int, int] = {}
+        fresh = [n for n, k in waits.items() if not k]
+        while True:
+            told: list[int] = []
+            while fresh:
+                n = fresh.pop()
+                used = {color[x] for x in earlier[n]}
+                color[n] = next(c for c in range(len(used) + 1) if c not in used)
+                told += n, color[n]
+                for child in asked.get(n, ()):
+                    waits[child] -= 1
+                    if not waits[child]:
+                        fresh.append(child)
+            every = talk.everyone(np.array(told, np.int64).tobytes())
+            if not any(every):
+                break
+            for n, c in (pair for i, m in enumerate(every) if i != talk.tile for pair in np.frombuffer(m, np.int64).reshape(-1, 2).tolist()):
+                if n in asked:
+                    color[n] = c
+                    for child in asked[n]:
+                        waits[child] -= 1
+                        if not waits[child]:
+                            fresh.append(child)
+        yield pa.RecordBatch.from_arrays([pa.array(list(earlier), pa.int64()), pa.array([color[n] for n in earlier], pa.int32())], ["node", "color"])
+
+    return blankets.select("node", "members").repartition(parts, "node").mapInArrow(run, "node bigint, color int", barrier=True)
 
 
 def max_min_order(xy: np.ndarray) -> np.ndarray:
