@@ -71,12 +71,15 @@ def weights(names: DataFrame) -> DataFrame:
 
 def cut(rows: DataFrame, bins: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows (source, bin, size, row) with part, 0 but in bins that are cut, and bins (source, bin, part, bin_size) to match."""
+    whole = rows.withColumn("part", F.lit(0).cast("bigint")), bins.withColumn("part", F.lit(0).cast("bigint"))
+    if bins.filter(F.col("n") > PART_ROWS).isEmpty():
+        return whole
     total = names.agg(F.sum("rows")).first()[0] or 0
     shares = names.select(F.col("source").alias("of"), (HOT * F.col("rows") / 16**BIN_DIGITS).alias("share"))
     hot = bins.join(shares, bins["source"].eqNullSafe(shares["of"])).filter((F.col("n") > max(PART_ROWS, total // MOST_CUT)) & (F.col("n") > F.col("share")))
     large = hot.select("source", "bin", F.ceil(F.col("n") / PART_ROWS).alias("parts")).collect()  # MOST_CUT rows at most
     if not large:
-        return rows.withColumn("part", F.lit(0).cast("bigint")), bins.withColumn("part", F.lit(0).cast("bigint"))
+        return whole
     kind = bins.schema["source"].dataType.simpleString()
     told = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in large], f"cut_source {kind}, cut_bin string, parts bigint"))
     parted = rows.join(told, rows["source"].eqNullSafe(told["cut_source"]) & (rows["bin"] == told["cut_bin"]), "left")
@@ -107,7 +110,7 @@ def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED, keep: tuple[str, ...]
     ).withColumn("bin", F.substring("mark", 1, BIN_DIGITS))
     slim = durable(rows.select("doc_id", "source", "size", "mark", "bin", "row")) if not keep else rows
     bins = durable(slim.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.count("*").alias("n")))
-    names = durable(bins.groupBy("source").agg(F.sum("bin_size").alias("size"), F.sum("n").alias("rows")))
+    names = bins.groupBy("source").agg(F.sum("bin_size").alias("size"), F.sum("n").alias("rows"))
     slim, bins = cut(slim, bins, names)
     plan = durable(fill(weights(names.select("source", "size")), cap)).select("source", F.col("size").alias("source_size"), "target", "whole", "rest")
     before = Window.partitionBy("source").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
