@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -122,8 +123,11 @@ def fit(
     node, parent = ranks.select(F.col("ord").alias("node"), F.col("loc_id").alias("n")), ranks.select(F.col("ord").alias("parent"), F.col("loc_id").alias("p"))
     edges = named.join(node, "node").join(parent, "parent").select(F.col("n").alias("node"), F.col("p").alias("parent"), "k", "d").persist()
     info = {"model": model, "method": method, "m": m, "family": family, "dropped": given - n, "phases": sampler.phases(latent, sampler_name)}
+    start = {} if start == "auto" else dict(start)
+    if not ({"sigma", "thetas"} | (set() if method == "vi" and not latent else {"beta"})) <= start.keys():
+        start = auto_start(locations, observations, design, edges, ranks, m=m, latent=latent, nu=nu, family=family) | start
     if method == "vi" and not latent:
-        return Fit(_response_vi(locations, observations, design, edges, start, nu, family, tol or 1e-5, seed, ranks), edges, ranks, info)
+        return Fit(_response_vi(locations, observations, design, edges, start, family, tol or 1e-5), edges, ranks, info)
     free = update_theta if update_theta is not None else (False, False, False) if latent else (True, False, True)
     if latent:
         free = (free[0], free[1], False)  # the nugget is the noise
@@ -131,10 +135,10 @@ def fit(
     rows = model_rows(locations, observations, design, ranks, edges)
     folder = store or storage.new_folder(locations.sparkSession, "fit")
     if method == "mcmc":
-        make = lambda y, x, graph, rng: make_state(y, x, graph, start, options, nu, rng)
+        make = lambda y, x, graph, rng: make_state(y, x, graph, start, options, rng)
         if tiles and tiles > 1:
-            return Fit(_tiled(rows, locations, observations, design, edges, ranks, tiles, chains, iters, folder, start, nu, options, seed, {"m": m, "order": order}, segment, thin, keep_process, timings), edges, ranks, info | {"store": folder, "tiles": tiles})
-        settings = {"options": options, "start": start, "nu": nu, "m": m, "order": order}
+            return Fit(_tiled(rows, locations, observations, design, edges, ranks, tiles, chains, iters, folder, start, options, seed, {"m": m, "order": order}, segment, thin, keep_process, timings), edges, ranks, info | {"store": folder, "tiles": tiles})
+        settings = {"options": options, "start": start, "m": m, "order": order}
         draws = streams.run(rows, chains, iters, folder, make, seed, settings, segment, thin, keep_process, timings)
         return Fit(draws, edges, ranks, info | {"store": folder})
     dealt = rows.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(chains))))
@@ -142,7 +146,7 @@ def fit(
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.Generator(np.random.Philox(key=[seed, int(key[0])]))
         _, y, x, graph = unpack(pdf)
-        state = make_state(y, x, graph, start, options, nu, rng)
+        state = make_state(y, x, graph, start, options, rng)
         got = sampler.run_latent_vi(state, rng, tol or 1e-2, draws=predictive)
         got["Ddiag"], got["Theta"] = got["Ddiag"][:, None], np.array(state.thetas).T
         got["rel_change"] = got["rel_change"].reshape(len(got["rel_change"]), -1, 1) if len(got["rel_change"]) else np.zeros((0, 5, 1))
@@ -155,12 +159,10 @@ def fit(
 
 def _tiled(
     rows: DataFrame, locs: DataFrame, obs: DataFrame, design: DataFrame, edges: DataFrame, ranks: DataFrame, tiles: int, chains: int, iters: int, folder: str,
-    start: str | dict, nu: float | None, options: dict, seed: int, settings: dict, segment: int, thin: int, keep_process: bool, timings: bool,
+    start: dict, options: dict, seed: int, settings: dict, segment: int, thin: int, keep_process: bool, timings: bool,
 ) -> DataFrame:
     """Chains over tiles. Colours are made only for what goes by them."""
-    own = {} if start == "auto" else dict(start)
-    if not {"beta", "sigma", "thetas"} <= own.keys():
-        own = auto_start(locs, obs, design, edges, ranks, latent=options["latent"], nu=nu, seed=seed) | own
+    own = dict(start)
     if "w" in own:
         raise ValueError("a start of the process is by place; chains over tiles take none")
     own = {"noise": np.ones(len(own["thetas"]))} | own
@@ -171,13 +173,9 @@ def _tiled(
     return tiled.run(dealt, tiles, chains, iters, folder, own, [r["mean"] or 0.0 for r in told], options, seed, settings | {"start": own, "options": options}, segment, thin, keep_process, timings)
 
 
-def make_state(y: np.ndarray, x: np.ndarray, graph: Graph, start: str | dict, options: dict, nu: float | None, rng: np.random.Generator) -> sampler.State:
-    own = {} if start == "auto" else dict(start)
-    first: dict = {}
-    if not {"beta", "sigma", "thetas"} <= own.keys():
-        filled = np.where(np.isfinite(y), y, np.nanmean(y, 0))
-        first = starting.starting_values([starting.fit_one(filled[:, j], x, graph, nu) for j in range(y.shape[1])], y, x, options["latent"], rng)
-    v = {"noise": np.ones(y.shape[1]), "w": None} | first | own
+def make_state(y: np.ndarray, x: np.ndarray, graph: Graph, start: dict, options: dict, rng: np.random.Generator) -> sampler.State:
+    """A chain's first state. start: beta, sigma, thetas; noise and w if they are not to be 1 and the outcomes' own."""
+    v = {"noise": np.ones(y.shape[1]), "w": None} | start
     if v["w"] is None:
         v["w"] = np.where(np.isfinite(y), y, np.nanmean(y, 0)) - x @ v["beta"]
     return sampler.State(y, x, graph, [Theta(*t) for t in v["thetas"]], np.array(v["beta"], float), np.array(v["sigma"], float), np.array(v["noise"], float), sampler.Options(**options), np.array(v["w"], float))
@@ -207,10 +205,7 @@ def vi_moments(locations: DataFrame, observations: DataFrame, design: DataFrame,
     return xx, xy, yy, sums[0]["n"]
 
 
-def _response_vi(locs: DataFrame, obs: DataFrame, design: DataFrame, edges: DataFrame, start: str | dict, nu: float | None, family: int, tol: float, seed: int, ranks: DataFrame) -> DataFrame:
-    own = {} if start == "auto" else dict(start)
-    if not {"sigma", "thetas"} <= own.keys():
-        own = auto_start(locs, obs, design, edges, ranks, nu=nu, seed=seed) | own
+def _response_vi(locs: DataFrame, obs: DataFrame, design: DataFrame, edges: DataFrame, own: dict, family: int, tol: float) -> DataFrame:
     got = sampler.response_vi(*vi_moments(locs, obs, design, edges, [Theta(*t) for t in own["thetas"]], family), np.array(own["sigma"], float), tol)
     got["Theta"] = np.array([Theta(*t) for t in own["thetas"]]).T
     return locs.sparkSession.createDataFrame(long(1, got), DRAWS)
@@ -259,23 +254,25 @@ def predict(
     return predictions.response(train, obs, design, new, design_new, draws, m, family, seed, partly, noise, drawn)
 
 
-def auto_start(locs: DataFrame, obs: DataFrame, design: DataFrame, edges: DataFrame, ranks: DataFrame, *, latent: bool = False, nu: float | None = 0.5, seed: int = 1) -> dict:
-    """Starting values by a univariate fit of each outcome, outcomes side by side: beta, sigma, thetas, noise."""
-    if (n := locs.count()) > CHAIN_ROWS:
-        raise ValueError(f"{n} places; give starting values, or fit them on a region")
-    rows = model_rows(locs, obs, design, ranks, edges)
-    dealt = rows.withColumn("outcome", F.explode(F.sequence(F.lit(1), F.size("ys"))))
+def auto_start(locs: DataFrame, obs: DataFrame, design: DataFrame, edges: DataFrame, ranks: DataFrame, *, m: int = 15, latent: bool = False, nu: float | None = 0.5, family: int = MATERN) -> dict:
+    """Starting values by a univariate fit of each outcome, outcomes side by side: beta, sigma, thetas, noise.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, y, x, graph = unpack(pdf)
-        j = int(key[0]) - 1
-        u = starting.fit_one(np.where(np.isfinite(y[:, j]), y[:, j], np.nanmean(y[:, j])), x, graph, nu)
-        return pd.DataFrame({"outcome": [j + 1], "beta": [u.beta.tolist()], "variance": [u.variance], "phi": [u.phi], "nu": [u.nu], "ratio": [u.ratio]})
-
-    found = dealt.groupBy("outcome").applyInPandas(run, "outcome int, beta array<double>, variance double, phi double, nu double, ratio double").orderBy("outcome").collect()  # a row for each outcome
-    fits = [starting.Univariate(np.array(r["beta"]), r["variance"], r["phi"], r["nu"], r["ratio"]) for r in found]
-    got = starting.starting_values(fits, np.zeros((1, len(fits))), np.zeros((1, len(fits[0].beta))), latent, np.random.default_rng(seed))
-    return {k: got[k] for k in ("beta", "sigma", "thetas", "noise")}
+    An outcome's fit is over the places where it is observed; where some are missing, these have a graph of their own, with m parents.
+    """
+    told = obs.groupBy("outcome").agg(F.count_if(F.col("y").isNull() | F.isnan("y")).alias("gone")).orderBy("outcome").collect()  # a row an outcome
+    seen = obs.filter(F.col("y").isNotNull() & ~F.isnan("y"))
+    by_ord, parts = locs.join(ranks.select("loc_id", "ord"), "loc_id"), []
+    for r in told:
+        own = edges.select("node", "parent", "k")
+        if r["gone"]:
+            some = by_ord.join(seen.filter(F.col("outcome") == r["outcome"]).select("loc_id"), "loc_id", "left_semi").persist()
+            found = neighbors.ordered_knn(some.select(F.col("ord").alias("loc_id"), "x", "y"), m)
+            node, parent = ranks.select(F.col("ord").alias("node"), F.col("loc_id").alias("n")), ranks.select(F.col("ord").alias("parent"), F.col("loc_id").alias("p"))
+            own = found.join(node, "node").join(parent, "parent").select(F.col("n").alias("node"), F.col("p").alias("parent"), "k")
+        parts.append(own.withColumn("outcome", F.lit(r["outcome"])))
+    rows = storage.once(starting.families(locs, seen, design, reduce(DataFrame.unionByName, parts)), "families")
+    found = starting.fit(rows, [r["outcome"] for r in told], nu, family)
+    return starting.starting_values([found[r["outcome"]][0] for r in told], latent)
 
 
 def simulate(locations: DataFrame, sigma: np.ndarray, thetas: Sequence[Theta], *, m: int = 15, family: int = MATERN, order: str = "maxmin", seed: int = 1, demean: bool = True) -> DataFrame:

@@ -179,7 +179,7 @@ def posterior_ess(spark: SparkSession, sf_dir: str) -> DataFrame:
 def auto_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.points(spark, sf_dir).persist()
     ranks = neighbors.ranked(p).select("loc_id", "ord").persist()
-    got = api.auto_start(p, fx.outcomes(spark, sf_dir), fx.covariates(spark, sf_dir), neighbors.ordered_knn(p, 8), ranks)
+    got = api.auto_start(p, fx.outcomes(spark, sf_dir), fx.covariates(spark, sf_dir), neighbors.ordered_knn(p, 8), ranks, m=8)
     rows = [(j + 1, t.phi, t.nu, t.alpha, float(got["sigma"][j, j]), float(got["noise"][j]), got["beta"][:, j].tolist()) for j, t in enumerate(got["thetas"])]
     return spark.createDataFrame(rows, "outcome int, phi double, nu double, alpha double, sigma double, noise double, beta array<double>")
 
@@ -188,6 +188,6 @@ def auto_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 def starting_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From univariate fits (variance 2 and 1, noise ratios 1/4 and 1) to a start."""
     fits = [starting.Univariate(np.zeros(1), 2.0, 4.0, 0.5, 0.25), starting.Univariate(np.zeros(1), 1.0, 8.0, 0.5, 1.0)]
-    got = starting.starting_values(fits, np.zeros((1, 2)), np.zeros((1, 1)), False, np.random.default_rng(1))
+    got = starting.starting_values(fits, False)
     rows = [(j + 1, t.phi, float(t.alpha), float(got["sigma"][j, j]), float(got["noise"][j])) for j, t in enumerate(got["thetas"])]
     return spark.createDataFrame(rows, "outcome int, phi double, alpha double, sigma double, noise double")
