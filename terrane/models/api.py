@@ -69,14 +69,14 @@ def long(chain: int, draws: dict[str, np.ndarray]) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame(columns=["chain", "iter", "param", "i", "j", "value"])
 
 
-def ordered(locations: DataFrame, n: int, order: str) -> DataFrame:
-    """loc_id and ord: by id, by rows of a grid, or max-min; of more places than one task takes, max-min by levels of cells."""
+def ordered(locations: DataFrame, order: str) -> DataFrame:
+    """loc_id and ord: by id, by rows of a grid, or max-min; of very many places, max-min by levels of cells."""
     if order == "grid":
         rows = neighbors.grid_steps(locations).select("loc_id", F.struct("gy", "gx").alias("key"))
         return neighbors.ranked(rows, "key").select("loc_id", "ord")
     if order != "maxmin":
         return neighbors.ranked(locations).select("loc_id", "ord")
-    return neighbors.max_min(locations) if n <= CHAIN_ROWS else neighbors.level_order(locations)
+    return neighbors.spread_order(locations)
 
 
 def cells(chain: int, values: np.ndarray, missing: np.ndarray) -> pd.DataFrame:
@@ -117,7 +117,7 @@ def fit(
         raise ValueError(f"{n} places; the variational latent fit's task takes {CHAIN_ROWS}. Use chains, which go over tiles")
     if method == "mcmc" and n > CHAIN_ROWS:
         tiles = tiles or -(-n // tiled.TILE_ROWS)
-    ranks = ordered(locations, n, order).persist()
+    ranks = ordered(locations, order).persist()
     by_ord = locations.join(ranks, "loc_id").select(F.col("ord").alias("loc_id"), "x", "y")
     named = neighbors.vecchia_dag(by_ord, m, "grid").drop("dx", "dy") if order == "grid" else neighbors.ordered_knn(by_ord, m)
     node, parent = ranks.select(F.col("ord").alias("node"), F.col("loc_id").alias("n")), ranks.select(F.col("ord").alias("parent"), F.col("loc_id").alias("p"))
@@ -280,9 +280,7 @@ def simulate(locations: DataFrame, sigma: np.ndarray, thetas: Sequence[Theta], *
     sigma = np.asarray(sigma, float)
     if sigma.shape != (len(thetas),) * 2 or not np.allclose(sigma, sigma.T) or (np.linalg.eigvalsh(sigma) <= 0).any():
         raise ValueError("sigma must be a covariance matrix with a row for each outcome")
-    if (n := locations.count()) > CHAIN_ROWS:
-        raise ValueError(f"{n} places; a triangular solve's task takes {CHAIN_ROWS}")
-    ranks = (neighbors.max_min(locations) if order == "maxmin" else neighbors.ranked(locations).select("loc_id", "ord")).persist()
+    ranks = ordered(locations, order).persist()
     by_ord = locations.join(ranks, "loc_id").select(F.col("ord").alias("loc_id"), "x", "y").persist()
     f = vecchia.factors(by_ord, neighbors.ordered_knn(by_ord, m), thetas, family)
     chol = np.linalg.cholesky(sigma)

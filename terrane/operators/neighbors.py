@@ -8,6 +8,7 @@ order, each with cells as wide as the density of its candidates asks for.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -244,21 +245,99 @@ def coloring(blankets: DataFrame, tasks: int | None = None) -> DataFrame:
     return blankets.select("node", "members").repartition(parts, "node").mapInArrow(run, "node bigint, color int", barrier=True)
 
 
+class Cells:
+    """Points sorted by square cells, with each cell's largest value of near and the point that has it."""
+
+    def __init__(self, xy: np.ndarray, near: np.ndarray, width: float):
+        at = np.floor((xy - xy.min(0)) / width).astype(np.int64)
+        tall = int(at[:, 1].max()) + 3  # a free cell above and below, so that a column's neighbours are its own
+        key = (at[:, 0] + 1) * tall + at[:, 1] + 1
+        self.width, self.order = width, np.argsort(key, kind="stable")
+        self.x, self.y, self.near = xy[self.order, 0], xy[self.order, 1], near[self.order]
+        self.place = np.empty(len(key), np.int64)
+        self.place[self.order] = np.arange(len(key))
+        names, first = np.unique(key[self.order], return_index=True)
+        self.first = [*first.tolist(), len(key)]
+        self.cell = np.empty(len(key), np.int64)
+        self.cell[self.order] = np.repeat(np.arange(len(names)), np.diff(self.first))
+        # The cells about each one, as three stretches of cells that follow one another.
+        ends = [(np.searchsorted(names, names + i * tall - 1), np.searchsorted(names, names + i * tall + 1, "right")) for i in (-1, 0, 1)]
+        self.about = [list(zip(a.tolist(), z.tolist(), strict=True)) for a, z in ends]
+        self.top = [0.0] * len(names)
+        self.heap: list[tuple[float, int, int]] = []
+        for c in range(len(names)):
+            self.renew(c)
+        heapq.heapify(self.heap)
+
+    def renew(self, c: int, push: bool = False) -> None:
+        a, z = self.first[c], self.first[c + 1]
+        own = self.near[a:z]
+        at = int(own.argmax())  # the first of equals, as points of a cell keep their order
+        self.top[c] = float(own[at])
+        entry = (-self.top[c], int(self.order[a + at]), c)
+        heapq.heappush(self.heap, entry) if push else self.heap.append(entry)
+
+    def farthest(self) -> int:
+        while True:
+            value, point, _ = self.heap[0]
+            if -value == self.near[self.place[point]]:  # else the entry is of before
+                return point
+            heapq.heappop(self.heap)
+
+    def choose(self, point: int, x: float, y: float) -> None:
+        c = self.cell[point]
+        self.near[self.place[point]] = -1.0
+        for about in self.about:
+            low, high = about[c]
+            if low == high:
+                continue
+            a, z = self.first[low], self.first[high]
+            d = (self.x[a:z] - x) ** 2 + (self.y[a:z] - y) ** 2
+            less = d < self.near[a:z]
+            if less.any():
+                np.copyto(self.near[a:z], d, where=less)
+                for k in range(low, high):
+                    if less[self.first[k] - a : self.first[k + 1] - a].any():
+                        self.renew(k, True)
+        self.renew(int(c), True)
+
+
 def max_min_order(xy: np.ndarray) -> np.ndarray:
-    """Farthest-point order: from the point nearest the centroid on, always the point farthest from all chosen; ties to the first."""
+    """Farthest-point order: from the point nearest the centroid on, always the point farthest from all chosen; ties to the first.
+
+    A point changes the distances of points within the largest one only, so it looks at the cells about it. Cells are made anew
+    when that distance is half their width: all in all some n log n distances.
+    """
     n = len(xy)
     order = np.empty(n, np.int64)
     order[0] = np.argmin(((xy - xy.mean(0)) ** 2).sum(1))
     near = ((xy - xy[order[0]]) ** 2).sum(1)
+    near[order[0]] = -1.0
+    cells: Cells | None = None
     for i in range(1, n):
-        near[order[i - 1]] = -1.0
-        order[i] = np.argmax(near)
-        near = np.where(near < 0, near, np.minimum(near, ((xy - xy[order[i]]) ** 2).sum(1)))
+        if cells is not None:
+            point = cells.farthest()
+            reach = cells.top[cells.cell[point]] ** 0.5
+        if cells is None or reach < 0.5 * cells.width:
+            if cells is not None:
+                near[cells.order] = cells.near
+            reach = max(near.max(), 0.0) ** 0.5
+            if not reach:  # what is left lies on chosen points
+                order[i:] = np.flatnonzero(near >= 0)
+                break
+            cells = Cells(xy, near, reach * (1 + 1e-9))
+            point = cells.farthest()
+        order[i] = point
+        cells.choose(point, xy[point, 0], xy[point, 1])
     return order
 
 
+#: Places up to which max-min order is exact: one task then has their coordinates, and n log n steps.
+EXACT = 1_000_000
+
+
 def max_min(points: DataFrame) -> DataFrame:
-    """loc_id and ord from 0 in max-min order. The rule is sequential and takes n * n steps: one task."""
+    """loc_id and ord from 0 in max-min order. The rule is sequential: one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("loc_id").reset_index(drop=True)
@@ -268,6 +347,11 @@ def max_min(points: DataFrame) -> DataFrame:
     return points.select("loc_id", "x", "y", F.lit(1).alias("task")).groupBy("task").applyInPandas(run, "loc_id bigint, ord bigint")
 
 
+def spread_order(points: DataFrame, exact: int = EXACT) -> DataFrame:
+    """loc_id and ord from 0: max-min order of up to `exact` places, and of more the order by levels, which is near it."""
+    return max_min(points) if points.count() <= exact else level_order(points)
+
+
 def level_order(points: DataFrame, last: int = 20) -> DataFrame:
     """loc_id and ord from 0, nearly in max-min order, whatever the number of points.
 
@@ -315,7 +399,7 @@ def vecchia_dag(points: DataFrame, m: int, order: str = "maxmin") -> DataFrame:
         return edges.select("node", "parent", "k", F.sqrt(squared_distance("node", "parent")).alias("d"), "dx", "dy")
     if order != "maxmin":
         raise ValueError(f"no order {order}")
-    by = max_min(points).join(points, "loc_id").persist()
+    by = spread_order(points).join(points, "loc_id").persist()
     edges = ordered_knn(by.select(F.col("ord").alias("loc_id"), "x", "y"), m)
     named = by.select(F.col("ord").alias("o"), "loc_id")
     out = edges.join(named, edges["node"] == named["o"]).select(F.col("loc_id").alias("n"), "parent", "k", "d")

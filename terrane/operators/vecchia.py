@@ -12,11 +12,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.kernels import MATERN, Theta, covariance, distances
 from terrane.operators import neighbors
+from terrane.operators.talk import Talk
+from terrane.sources import storage
 
 
 def families(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -175,19 +179,131 @@ class Levels:
         return out
 
 
-def inverse_times(factors_: DataFrame, a: DataFrame, transposed: bool = False) -> DataFrame:
-    """H^-1 a, or H'^-1 a: outcome, loc_id, v. A triangular solve is sequential: one task for each outcome."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node").reset_index(drop=True)
-        at = pd.Series(np.arange(len(pdf)), index=pdf["node"])
-        levels = Levels([at.loc[list(p)].to_numpy() if len(p) else np.zeros(0, int) for p in pdf["parents"]])
-        go = levels.transposed_solve if transposed else levels.solve
-        x = go(pdf["sqrt_r"].to_numpy(), levels.padded(list(pdf["h"])), pdf["a"].to_numpy(float)[:, None])[:, 0]
-        return pd.DataFrame({"outcome": pdf["outcome"], "loc_id": pdf["node"], "v": x})
-
+#: Rows of H that a task of a solve takes, about.
+SOLVE_ROWS = 20_000
+
+
+class Rows:
+    """A task's rows of one outcome's H, for a solve in which all tasks take part: values of other tasks' nodes come as they are found."""
+
+    def __init__(self, nodes: np.ndarray, sqrt_r: np.ndarray, parents: list, h: list, a: np.ndarray):
+        order = np.argsort(nodes, kind="stable")
+        self.nodes, self.sqrt_r, self.a = nodes[order], sqrt_r[order], a[order].astype(float)
+        sizes = np.array([len(parents[i]) for i in order], np.int64)
+        ids = np.concatenate([np.asarray(parents[i], np.int64) for i in order]) if len(order) else np.zeros(0, np.int64)
+        self.h = np.concatenate([np.asarray(h[i], float) for i in order]) if len(order) else np.zeros(0)
+        self.row = np.repeat(np.arange(len(order)), sizes)
+        # Entries by parent: which rows wait for it.
+        self.asked, which = np.unique(ids, return_inverse=True)
+        self.by_parent = np.argsort(which, kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(self.asked)))])
+
+    def entries_of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries whose parents are among the nodes found, and where in found each one's parent is."""
+        at = np.searchsorted(self.asked, found)
+        have = np.flatnonzero((at < len(self.asked)) & (np.append(self.asked, -1)[np.minimum(at, len(self.asked))] == found))
+        at = at[have]
+        counts = self.starts[at + 1] - self.starts[at]
+        entry = np.arange(counts.sum()) + np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts)
+        return self.by_parent[entry], np.repeat(have, counts)
+
+
+def told(talk: Talk, nodes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Nodes and values of the other tasks; and whether no task had any."""
+    every = [(np.frombuffer(m[: len(m) // 2], np.int64), np.frombuffer(m[len(m) // 2 :])) for m in talk.everyone(nodes.astype(np.int64).tobytes() + values.tobytes())]
+    others = [x for i, x in enumerate(every) if i != talk.tile]
+    none = not any(len(n) for n, _ in every)
+    return np.concatenate([n for n, _ in others] or [np.zeros(0, np.int64)]), np.concatenate([v for _, v in others] or [np.zeros(0)]), none
+
+
+def solve_rows(talk: Talk, rows: Rows) -> np.ndarray:
+    """H^-1 a for a task's rows: x_i = r_i a_i + h_i' x at the parents, as soon as these are known. A task goes as far as it can, then tells."""
+    x, waits = rows.sqrt_r * rows.a, np.bincount(rows.row, minlength=len(rows.nodes))
+    fresh = np.flatnonzero(waits == 0)
+    sent_n, sent_v = [], []
+    while True:
+        while len(fresh):
+            sent_n.append(rows.nodes[fresh])
+            sent_v.append(x[fresh])
+            fresh = arrive(rows, x, waits, rows.nodes[fresh], x[fresh])
+        nodes, values, none = told(talk, np.concatenate(sent_n or [np.zeros(0, np.int64)]), np.concatenate(sent_v or [np.zeros(0)]))
+        if none:
+            return x
+        sent_n, sent_v = [], []
+        fresh = arrive(rows, x, waits, nodes, values)
+
+
+def arrive(rows: Rows, x: np.ndarray, waits: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Adds what parents that have become known give to their rows; returns the rows that wait for none now."""
+    entry, at = rows.entries_of(nodes)
+    own = rows.row[entry]
+    np.add.at(x, own, rows.h[entry] * values[at])
+    np.subtract.at(waits, own, 1)
+    touched = np.unique(own)
+    return touched[waits[touched] == 0]
+
+
+def solve_columns(talk: Talk, rows: Rows) -> np.ndarray:
+    """H'^-1 a for a task's rows: from the last nodes to the first, a node's value being known once all its children's are."""
+    n = len(rows.nodes)
+    counts = np.diff(rows.starts)
+    nodes, number, _ = told(talk, rows.asked, counts.astype(float))
+    waits, w, out = np.zeros(n, np.int64), rows.a.copy(), np.zeros(n)
+    place = lambda ids: (np.searchsorted(rows.nodes, ids), np.isin(ids, rows.nodes))
+    for ids, values in ((rows.asked, counts.astype(float)), (nodes, number)):
+        at, mine = place(ids)
+        np.add.at(waits, at[mine], values[mine].astype(np.int64))
+    by_row = np.concatenate([[0], np.cumsum(np.bincount(rows.row, minlength=n))])
+    parent = np.empty(len(rows.row), np.int64)
+    parent[rows.by_parent] = np.repeat(rows.asked, counts)
+    fresh = np.flatnonzero(waits == 0)
+    sent_n, sent_v = [], []
+
+    def give(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+        at, mine = place(ids)
+        np.add.at(w, at[mine], values[mine])
+        np.subtract.at(waits, at[mine], 1)
+        touched = np.unique(at[mine])
+        return touched[waits[touched] == 0]
+
+    while True:
+        while len(fresh):
+            out[fresh] = rows.sqrt_r[fresh] * w[fresh]
+            sizes = by_row[fresh + 1] - by_row[fresh]
+            entry = np.arange(sizes.sum()) + np.repeat(by_row[fresh] - (np.cumsum(sizes) - sizes), sizes)
+            value = rows.h[entry] * np.repeat(out[fresh] / rows.sqrt_r[fresh], sizes)
+            mine = np.isin(parent[entry], rows.nodes)
+            sent_n.append(parent[entry][~mine])
+            sent_v.append(value[~mine])
+            fresh = give(parent[entry][mine], value[mine])
+        nodes, values, none = told(talk, np.concatenate(sent_n or [np.zeros(0, np.int64)]), np.concatenate(sent_v or [np.zeros(0)]))
+        if none:
+            return out
+        sent_n, sent_v = [], []
+        fresh = give(nodes, values)
+
+
+def inverse_times(factors_: DataFrame, a: DataFrame, transposed: bool = False, tasks: int | None = None) -> DataFrame:
+    """H^-1 a, or H'^-1 a, of an outcome and all its nodes: outcome, loc_id, v.
+
+    Rows are dealt to tasks that run at once. A node is solved for when what it needs is known: its parents or, transposed, its children. Tasks
+    go as far as they can and then tell each other what they have found, so there are as many messages as the graph is deep, not as it has nodes.
+    """
     rows = factors_.join(a.select("outcome", F.col("loc_id").alias("node"), "a"), ["outcome", "node"])
-    return rows.groupBy("outcome").applyInPandas(run, "outcome int, loc_id bigint, v double")
+    rows = storage.once(rows.select(F.col("outcome").cast("int").alias("outcome"), F.col("node").cast("bigint").alias("node"), "sqrt_r", "parents", "h", "a"), "solve")
+    parts = tasks or max(1, min(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SOLVE_ROWS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        talk = Talk(TaskContext.get().partitionId())
+        frame = pa.Table.from_batches(batches, pa.schema([("outcome", pa.int32()), ("node", pa.int64()), ("sqrt_r", pa.float64()), ("parents", pa.list_(pa.int64())), ("h", pa.list_(pa.float64())), ("a", pa.float64())])).to_pandas()
+        outcomes = sorted({int(x) for m in talk.everyone(np.unique(frame["outcome"]).astype(np.int64).tobytes()) for x in np.frombuffer(m, np.int64)})
+        for outcome in outcomes:
+            part = frame[frame["outcome"] == outcome]
+            own = Rows(part["node"].to_numpy(np.int64), part["sqrt_r"].to_numpy(float), list(part["parents"]), list(part["h"]), part["a"].to_numpy(float))
+            x = (solve_columns if transposed else solve_rows)(talk, own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), outcome, np.int32)), pa.array(own.nodes), pa.array(x)], ["outcome", "loc_id", "v"])
+
+    return rows.repartition(parts, "node").mapInArrow(run, "outcome int, loc_id bigint, v double", barrier=True)
 
 
 class Approximation(NamedTuple):

@@ -200,3 +200,49 @@ def test_steps_of_a_sweep():
         assert np.allclose(f.transposed_times_at(a, s), (h.T @ a)[s.rows])
         assert np.allclose(f.times_at(a, s.touched), (h @ a)[s.touched])
         assert set(s.touched) == set(np.flatnonzero(np.abs(h[:, s.rows]).sum(1) > 0))
+
+
+@pytest.mark.parametrize("transposed", [False, True])
+def test_solves_over_tasks_are_those_of_dense_algebra(spark, transposed):
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(7 * i, float(a), float(b)) for i, (a, b) in enumerate(rng.random((120, 2)))], "loc_id bigint, x double, y double")
+    f = vecchia.factors(points, neighbors.ordered_knn(points, 6), [Theta(6.0), Theta(9.0, nu=1.5)]).persist()
+    a = spark.createDataFrame([(j, 7 * i, float(v)) for j in (1, 2) for i, v in enumerate(rng.normal(size=120))], "outcome int, loc_id bigint, a double")
+    right = {(r["outcome"], r["loc_id"]): r["a"] for r in a.collect()}
+    dense = np.zeros((3, 120, 120))
+    for r in vecchia.entries(f).collect():
+        dense[r["outcome"], r["i"] // 7, r["j"] // 7] += r["v"]
+    for tasks in (1, 3):
+        got = {(r["outcome"], r["loc_id"]): r["v"] for r in vecchia.inverse_times(f, a, transposed, tasks).collect()}
+        for j in (1, 2):
+            want = np.linalg.solve(dense[j].T if transposed else dense[j], [right[j, 7 * i] for i in range(120)])
+            assert np.allclose([got[j, 7 * i] for i in range(120)], want)
+
+
+def test_maxmin_is_that_of_the_plain_rule():
+    def plain(xy):
+        order, near = [int(np.argmin(((xy - xy.mean(0)) ** 2).sum(1)))], np.full(len(xy), np.inf)
+        while len(order) < len(xy):
+            near = np.minimum(near, ((xy - xy[order[-1]]) ** 2).sum(1))
+            near[order] = -1.0
+            order.append(int(np.argmax(near)))
+        return order
+
+    rng = np.random.default_rng(3)
+    gx, gy = np.meshgrid(np.arange(20) * 0.1, np.arange(15) * 0.1)
+    line = np.column_stack([np.zeros(200), rng.random(200)])
+    clustered = np.concatenate([rng.random((60, 2)), 0.5 + 1e-4 * rng.random((540, 2))])
+    for xy in (rng.random((700, 2)), np.column_stack([gx.ravel(), gy.ravel()]), line, clustered, np.repeat(rng.random((30, 2)), 3, 0), rng.random((1, 2))):
+        assert neighbors.max_min_order(xy).tolist() == plain(xy)
+
+
+def test_grid_shares_factors_within_a_chain():
+    gx, gy = np.meshgrid(np.arange(30) * 0.1, np.arange(20) * 0.1)
+    xy = np.column_stack([gx.ravel(), gy.ravel()])
+    parents = [[j for j in (i - 1, i - 30, i - 31) if j >= 0 and abs(j % 30 - i % 30) <= 1] for i in range(600)]
+    shared = Graph(xy, parents)
+    assert sum(len(among) for _, _, among, _, _ in shared.groups) < 20
+    shaken = Graph(xy + 1e-7 * np.random.default_rng(1).random(xy.shape), parents)
+    assert all(same is None for *_, same in shaken.groups)
+    a, b = shared.factor(Theta(5.0, 1.0, 1.5)), shaken.factor(Theta(5.0, 1.0, 1.5))
+    assert np.allclose(a.h, b.h, atol=1e-4) and np.allclose(a.sqrt_r, b.sqrt_r, atol=1e-5)
