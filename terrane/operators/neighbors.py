@@ -1,9 +1,9 @@
 """Neighbour searches, orderings and the graph of a sparse approximation.
 
-Two ways for nearest neighbours. Up to SMALL locations, counted first, one side is broadcast. Beyond, both sides are
-dealt to square cells and joined on cells nearby; what is not surely found in the cells around a point is searched
-again with cells twice as wide. For neighbours among earlier points, points are searched by octaves of their
-order, each with cells as wide as the density of its candidates asks for.
+Two ways for nearest neighbours. Up to SMALL locations, counted first, one side is broadcast. Beyond, candidates are cut at
+medians into tiles of about as many points, however they are clustered; a point looks in its own tile, and then in
+those that the circle of what it found reaches into. For neighbours among earlier points, points are searched by octaves of
+their order, each among the candidates up to its end, at least half of which are earlier.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.talk import Talk
+from terrane.sources import storage
 
 #: Locations up to which a side may be broadcast.
 SMALL = 20_000
+#: Candidates of a tile, about; rows of a level's sample, which cuts its tiles, and tiles of a level at most.
+TILE, SAMPLE, TILES = 4096, 1 << 18, 4096
 
 
 def squared_distance(a: str, b: str) -> Column:
@@ -56,12 +60,12 @@ def knn(points: DataFrame, new: DataFrame, m: int, small: int = SMALL) -> DataFr
     a = new.select(F.col("loc_id").alias("node"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = points.select(F.col("loc_id").alias("parent"), F.col("x").alias("bx"), F.col("y").alias("by"))
     if points.count() > small or points.count() * new.count() > small * small:
-        return _by_cells(a.withColumn("level", F.lit(0)), b.withColumn("levels", F.array(F.lit(0))), m, ordered=False)
+        return _by_tiles(a.withColumn("level", F.lit(0)), b.withColumn("levels", F.array(F.lit(0))), m, False)
     return nearest(a.crossJoin(F.broadcast(b)).select("node", "parent", squared_distance("a", "b").alias("d2")), m)
 
 
-def ordered_knn_cells(points: DataFrame, m: int) -> DataFrame:
-    """ordered_knn() by cells, whatever the number of points."""
+def ordered_knn_cells(points: DataFrame, m: int, block: int = TILE) -> DataFrame:
+    """ordered_knn() by tiles, whatever the number of points."""
     rank = ranked(points)
     octave = F.floor(F.log2(F.col("ord") + 1)).cast("int")
     last = rank.agg(F.max(octave)).first()[0]
@@ -69,7 +73,7 @@ def ordered_knn_cells(points: DataFrame, m: int) -> DataFrame:
         return nearest(points.select(F.col("loc_id").alias("node"), F.col("loc_id").alias("parent"), F.lit(0.0).alias("d2")).limit(0), m)
     a = rank.select(F.col("loc_id").alias("node"), F.col("x").alias("ax"), F.col("y").alias("ay"), octave.alias("level"))
     b = rank.select(F.col("loc_id").alias("parent"), F.col("x").alias("bx"), F.col("y").alias("by"), F.sequence(octave, F.lit(last)).alias("levels"))
-    return _by_cells(a, b, m, ordered=True)
+    return _by_tiles(a, b, m, True, block)
 
 
 def ranked(points: DataFrame, key: str = "loc_id") -> DataFrame:
@@ -82,45 +86,146 @@ def ranked(points: DataFrame, key: str = "loc_id") -> DataFrame:
     return rows.withColumn("nth", nth).join(F.broadcast(firsts), "part").withColumn("ord", F.col("first") + F.col("nth")).drop("part", "nth", "first")
 
 
-def _by_cells(a: DataFrame, b: DataFrame, m: int, ordered: bool) -> DataFrame:
-    """Nearest parents of a (node, ax, ay, level) among b (parent, bx, by, levels), levels having cells of their own width."""
-    box = b.agg(F.min("bx"), F.max("bx"), F.min("by"), F.max("by"), F.count("*")).first()
-    if not box[4]:
-        return nearest(a.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("d2")).limit(0), m)
-    span = max(box[1] - box[0], box[3] - box[2]) or 1.0
-    found, wide = None, 1.0
-    left = a
-    while True:
-        # In expectation a cell has about m candidates of its level.
-        held = F.pow(F.lit(2.0), F.col("level")) if ordered else F.lit(float(box[4]))
-        width = F.least(F.lit(wide * span) * F.sqrt(F.lit(float(m)) / held), F.lit(2.0 * span))
-
-        def cell(c: str, level: Column) -> Column:
-            h = F.pow(F.lit(2.0), level) if ordered else F.lit(float(box[4]))
-            w = F.least(F.lit(wide * span) * F.sqrt(F.lit(float(m)) / h), F.lit(2.0 * span))  # noqa: B023
-            return F.floor((F.col(c) - F.lit(box[0] if c[1] == "x" else box[2])) / w)
-
-        around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        level = F.col("level").cast("double")
-        query = left.withColumn("w", width).withColumn("cx", cell("ax", level)).withColumn("cy", cell("ay", level)).withColumn("o", F.explode(around))
-        query = query.withColumn("cx", F.col("cx") + F.col("o.i")).withColumn("cy", F.col("cy") + F.col("o.j"))
-        held_b = b.withColumn("level", F.explode("levels")).withColumn("cx", cell("bx", F.col("level").cast("double"))).withColumn("cy", cell("by", F.col("level").cast("double")))
-        pairs = query.join(held_b.select("parent", "bx", "by", "level", "cx", "cy"), ["level", "cx", "cy"])
+class Cuts(NamedTuple):
+    """A level's tiles: a tree of cuts at medians, each along the longer side. Node by node: axis, cut, children (below, above), tile or -1."""
+
+    axis: np.ndarray
+    at: np.ndarray
+    below: np.ndarray
+    above: np.ndarray
+    tile: np.ndarray
+
+    def tiles(self, xy: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(xy), np.int64)
+        while len(live := np.flatnonzero(self.tile[node] < 0)):
+            n = node[live]
+            up = xy[live, self.axis[n]] > self.at[n]
+            node[live] = np.where(up, self.above[n], self.below[n])
+        return self.tile[node]
+
+
+def cuts(sample: np.ndarray, tiles: int) -> Cuts:
+    """Cuts a sample until there are so many tiles, or none can be cut."""
+    rows: list[list[float]] = []
+    count = 0
+    todo = [(np.arange(len(sample)), tiles, -1, 0)]
+    while todo:
+        ids, want, parent, side = todo.pop()
+        me = len(rows)
+        if parent >= 0:
+            rows[parent][2 + side] = me
+        xy = sample[ids]
+        axis = int(np.argmax(np.ptp(xy, axis=0))) if len(ids) else 0
+        low = want // 2
+        cut = float(np.partition(xy[:, axis], len(ids) * low // want - 1)[len(ids) * low // want - 1]) if want > 1 and len(ids) >= want else 0.0
+        up = xy[:, axis] > cut if want > 1 and len(ids) >= want else np.zeros(0, bool)
+        if not up.any():
+            rows.append([0, 0.0, -1, -1, count])
+            count += 1
+            continue
+        rows.append([axis, cut, -1, -1, -1])
+        todo += [(ids[up], want - low, me, 1), (ids[~up], low, me, 0)]
+    axis, at, below, above, tile = zip(*rows, strict=True)
+    return Cuts(np.array(axis, int), np.array(at), np.array(below, int), np.array(above, int), np.array(tile, int))
+
+
+def _nearest_of(nodes: np.ndarray, q: np.ndarray, far: np.ndarray, parents: np.ndarray, xy: np.ndarray, m: int, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each node its m nearest of some candidates that are not farther than far (squared): node, parent, d2; ties at the edge too."""
+    out: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in range(0, len(nodes), 512):
+        own = slice(i, i + 512)
+        dx, dy = q[own, 0, None] - xy[None, :, 0], q[own, 1, None] - xy[None, :, 1]
+        d2 = dx * dx + dy * dy
         if ordered:
-            pairs = pairs.filter("parent < node")
-        pairs = pairs.select("node", "parent", squared_distance("a", "b").alias("d2"))
-        near = nearest(pairs, m)
-        ends = near.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n"))
-        state = left.withColumn("w", width).join(ends, "node", "left")
-        # Within w of a point lies nothing but cells that were searched.
-        sure = ((F.col("n") == m) & (F.col("far") <= F.col("w"))) | (F.col("w") >= 2.0 * span)
-        state = state.withColumn("sure", F.coalesce(sure, F.lit(False))).persist()
-        done = near.join(state.filter("sure").select("node"), "node", "left_semi")
-        found = done if found is None else found.unionByName(done)
-        left = state.filter("not sure").select("node", "ax", "ay", "level")
-        if left.isEmpty():
-            return found
-        wide *= 2.0
+            d2[parents[None, :] >= nodes[own, None]] = np.inf
+        edge = far[own].copy()
+        if d2.shape[1] > m:
+            edge = np.minimum(edge, np.partition(d2, m - 1, axis=1)[:, m - 1])
+        a, b = np.nonzero((d2 <= edge[:, None]) & (d2 < np.inf))
+        out.append((nodes[own][a], parents[b], d2[a, b]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _by_tiles(a: DataFrame, b: DataFrame, m: int, ordered: bool, block: int = TILE) -> DataFrame:
+    """Nearest parents of a (node, ax, ay, level) among b (parent, bx, by, levels).
+
+    Each level's candidates are cut into tiles of about as many points, however they are clustered; a tile with more than twice `block` is
+    dealt in blocks. A node looks in its own tile, and then in those that reach into the circle of what it found. Two passes; a task has one block.
+    """
+    spark = b.sparkSession
+    levels = b.select("parent", "bx", "by", F.explode(F.col("levels").cast("array<int>")).alias("level"))
+    sizes = {r["level"]: r["n"] for r in levels.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row a level
+    if not sizes:
+        return nearest(a.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("d2")).limit(0), m)
+    trees: dict[int, Cuts] = {}
+    for level, n in sizes.items():
+        want = max(1, min(TILES, -(-n // block)))
+        rows = min(SAMPLE, 256 * want)
+        own = levels.filter(F.col("level") == level)
+        picked = own if n <= rows else own.filter(F.pmod(F.xxhash64("parent", F.lit(7)), F.lit(n)) < rows)  # about `rows` of them: SAMPLE, about
+        trees[level] = cuts(np.array([(r["bx"], r["by"]) for r in picked.select("bx", "by").collect()]).reshape(-1, 2), want) if want > 1 else cuts(np.zeros((0, 2)), 1)
+    shared = spark.sparkContext.broadcast(trees)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            level, xy = t.column(3).to_numpy(), np.column_stack([t.column(1).to_numpy(), t.column(2).to_numpy()])
+            tile = np.zeros(len(level), np.int32)
+            for x in np.unique(level):
+                tile[level == x] = shared.value[int(x)].tiles(xy[level == x])
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(tile)], [*t.schema.names, "tile"])
+
+    held = storage.once(levels.mapInArrow(place, "parent bigint, bx double, by double, level int, tile int"), "candidates")
+    boxes = held.groupBy("level", "tile").agg(F.min("bx").alias("x0"), F.max("bx").alias("x1"), F.min("by").alias("y0"), F.max("by").alias("y1"), F.count("*").alias("n")).collect()  # TILES rows a level at most
+    told: dict[int, np.ndarray] = {x: np.array([(r["tile"], -(-r["n"] // (2 * block)), r["x0"], r["x1"], r["y0"], r["y1"]) for r in boxes if r["level"] == x]) for x in sizes}
+    reach = spark.sparkContext.broadcast(told)
+    many = [(r["level"], r["tile"], -(-r["n"] // (2 * block))) for r in boxes if r["n"] > 2 * block]
+    dealt = held.withColumn("part", F.lit(0))
+    if many:
+        large = F.broadcast(spark.createDataFrame(many, "level int, tile int, parts int"))
+        dealt = held.join(large, ["level", "tile"], "left").withColumn("part", F.pmod(F.xxhash64("parent"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+    def send(first: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                for i in range(0, t.num_rows, 1024):
+                    s = t.slice(i, 1024)
+                    level, xy, far = s.column(3).to_numpy(), np.column_stack([s.column(1).to_numpy(), s.column(2).to_numpy()]), s.column(4).to_numpy()
+                    to, tile, part = [], [], []
+                    for x in np.unique(level):
+                        at, box = np.flatnonzero(level == x), reach.value.get(int(x), np.zeros((0, 6)))
+                        own = shared.value[int(x)].tiles(xy[at])[:, None] == box[None, :, 0] if len(box) else np.zeros((len(at), 0), bool)
+                        if not first:
+                            dx = np.maximum(np.maximum(box[None, :, 2] - xy[at, 0, None], xy[at, 0, None] - box[None, :, 3]), 0.0)
+                            dy = np.maximum(np.maximum(box[None, :, 4] - xy[at, 1, None], xy[at, 1, None] - box[None, :, 5]), 0.0)
+                            own = ~own & ((dx * dx + dy * dy) * (1 - 1e-12) <= far[at, None])
+                        i_, j = np.nonzero(own)
+                        parts = box[j, 1].astype(int)
+                        to.append(np.repeat(at[i_], parts))
+                        tile.append(np.repeat(box[j, 0], parts))
+                        part.append(np.concatenate([np.arange(n) for n in parts]) if len(parts) else np.zeros(0))
+                    pick = pa.array(np.concatenate(to))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.take(pick) for c in s.columns), pa.array(np.concatenate(tile).astype(np.int32)), pa.array(np.concatenate(part).astype(np.int32))], ["node", "ax", "ay", "level", "far", "tile", "part"]
+                    )
+
+        return run
+
+    def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if left.num_rows and right.num_rows:
+            q, xy = (np.column_stack([t[c + "x"].to_numpy(), t[c + "y"].to_numpy()]) for t, c in ((left, "a"), (right, "b")))
+            found = _nearest_of(left["node"].to_numpy(), q, left["far"].to_numpy(), right["parent"].to_numpy(), xy, m, ordered)
+        return pa.table({"node": found[0], "parent": found[1], "d2": found[2]})
+
+    def search(queries: DataFrame, first: bool) -> DataFrame:
+        sent = queries.select("node", "ax", "ay", F.col("level").cast("int").alias("level"), "far").mapInArrow(send(first), "node bigint, ax double, ay double, level int, far double, tile int, part int")
+        keys = ["level", "tile", "part"]
+        return sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(solve, "node bigint, parent bigint, d2 double")
+
+    near = storage.once(search(a.withColumn("far", F.lit(float("inf"))), True), "near")
+    edge = near.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("d2", "parent"))).filter(F.col("nth") == m).select("node", F.col("d2").alias("far"))
+    wide = a.join(edge, "node", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+    return nearest(near.unionByName(search(wide, False)), m)
 
 
 def grid_check(points: DataFrame, tolerance: float = math.sqrt(np.finfo(float).eps)) -> DataFrame:

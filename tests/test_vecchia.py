@@ -246,3 +246,37 @@ def test_grid_shares_factors_within_a_chain():
     assert all(same is None for *_, same in shaken.groups)
     a, b = shared.factor(Theta(5.0, 1.0, 1.5)), shaken.factor(Theta(5.0, 1.0, 1.5))
     assert np.allclose(a.h, b.h, atol=1e-4) and np.allclose(a.sqrt_r, b.sqrt_r, atol=1e-5)
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "ties"])
+def test_neighbours_by_tiles_are_those_of_a_plain_search(spark, kind):
+    """Tiles of a bounded number of points, wherever most of them are; ties to the smaller id."""
+    rng = np.random.default_rng(6)
+    n, m, block = 700, 5, 60
+    xy = rng.random((n, 2))
+    if kind == "clustered":
+        xy[rng.permutation(n)[: int(0.9 * n)]] = 0.3 + 1e-4 * rng.random((int(0.9 * n), 2))
+    elif kind == "ties":
+        xy = np.array([(i % 28, i // 28) for i in rng.permutation(n)]) * 0.125
+    points = spark.createDataFrame(pd.DataFrame({"loc_id": np.arange(n), "x": xy[:, 0], "y": xy[:, 1]}))
+    got = {}
+    for r in neighbors.ordered_knn_cells(points, m, block).collect():
+        got.setdefault(r["node"], []).append((r["k"], r["parent"]))
+    d2 = (xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2
+    for i in range(n):
+        want = sorted(range(i), key=lambda j: (d2[i, j], j))[:m]  # noqa: B023
+        assert [p for _, p in sorted(got.get(i, []))] == want
+    new = spark.createDataFrame(pd.DataFrame({"loc_id": np.arange(40), "x": rng.random(40) * 1.5, "y": rng.random(40)}))
+    near = neighbors.knn(points, new, m, small=10).collect()
+    at = {r["loc_id"]: (r["x"], r["y"]) for r in new.collect()}
+    for i, (x, y) in at.items():
+        far = (x - xy[:, 0]) ** 2 + (y - xy[:, 1]) ** 2
+        assert [r["parent"] for r in sorted((r for r in near if r["node"] == i), key=lambda r: r["k"])] == sorted(range(n), key=lambda j: (far[j], j))[:m]  # noqa: B023
+
+
+def test_tiles_of_clustered_points_are_even():
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.random((1000, 2)), 0.3 + 1e-4 * rng.random((9000, 2))])
+    tree = neighbors.cuts(xy[rng.permutation(10_000)[:2000]], 20)
+    sizes = np.bincount(tree.tiles(xy))
+    assert len(sizes) == 20 and sizes.max() < 800
