@@ -88,7 +88,7 @@ def cells(chain: int, values: np.ndarray, missing: np.ndarray) -> pd.DataFrame:
 
 def fit(
     locations: DataFrame, observations: DataFrame, design: DataFrame, *, m: int = 15, model: str = "response", method: str = "mcmc", iters: int = 1000, chains: int = 1,
-    start: str | dict = "auto", family: int = MATERN, nu: float | None = 0.5, order: str = "maxmin", seed: int = 1, update_theta: tuple[bool, bool, bool] | None = None,
+    start: str | dict = "auto", family: int = MATERN, nu: float | None = 0.5, order: str = "auto", seed: int = 1, update_theta: tuple[bool, bool, bool] | None = None,
     sampler_name: str = sampler.BLOCK, preconditioner: str = "auto", sample: tuple[bool, bool, bool] = (True, True, True), tol: float | None = None, complete: bool | None = None, predictive: int = 0, timings: bool = False, store: str | None = None, segment: int = streams.SEGMENT, thin: int = 1, keep_process: bool = True, tiles: int | None = None,
 ) -> Fit:
     """Fits a model of several outcomes at many places.
@@ -97,7 +97,7 @@ def fit(
     thetas, noise, w (all or some). update_theta: whether phi, nu and the nugget's share are sampled; by default phi and the share in
     the response model and none in the latent one. complete: only places with all outcomes; by default for vi of the
     response model, for others missing outcomes are imputed. order: maxmin, id, or grid, which refuses places that are not
-    all of a grid. store: the folder in which draws are kept, a new one in the shared folder by default; chains run now, and once. A
+    all of a grid; auto is grid where they are, and else maxmin. store: the folder in which draws are kept, a new one in the shared folder by default; chains run now, and once. A
     chain is stored in segments of so many sweeps: with the folder of a run that was broken off, or had fewer iters, it goes on from
     there. tiles: a chain's tasks, which hold a tile of the places each; by default one up to 200,000 places, and beyond so many that tiles have
     50,000 (one chain then runs after the other, and as many cores must be free). thin: each thin-th sweep is kept. keep_process: whether draws of W are. timings: draws get a param Seconds, what each phase of all sweeps took, i being its number in info["phases"]. Tables with
@@ -117,12 +117,14 @@ def fit(
         raise ValueError(f"{n} places; the variational latent fit's task takes {CHAIN_ROWS}. Use chains, which go over tiles")
     if method == "mcmc" and n > CHAIN_ROWS:
         tiles = tiles or -(-n // tiled.TILE_ROWS)
+    if order == "auto":
+        order = "grid" if neighbors.grid_check(locations).first()["gridded"] else "maxmin"
     ranks = ordered(locations, order).persist()
     by_ord = locations.join(ranks, "loc_id").select(F.col("ord").alias("loc_id"), "x", "y")
     named = neighbors.vecchia_dag(by_ord, m, "grid").drop("dx", "dy") if order == "grid" else neighbors.ordered_knn(by_ord, m)
     node, parent = ranks.select(F.col("ord").alias("node"), F.col("loc_id").alias("n")), ranks.select(F.col("ord").alias("parent"), F.col("loc_id").alias("p"))
     edges = named.join(node, "node").join(parent, "parent").select(F.col("n").alias("node"), F.col("p").alias("parent"), "k", "d").persist()
-    info = {"model": model, "method": method, "m": m, "family": family, "dropped": given - n, "phases": sampler.phases(latent, sampler_name)}
+    info = {"model": model, "method": method, "m": m, "family": family, "order": order, "dropped": given - n, "phases": sampler.phases(latent, sampler_name)}
     start = {} if start == "auto" else dict(start)
     if not ({"sigma", "thetas"} | (set() if method == "vi" and not latent else {"beta"})) <= start.keys():
         start = auto_start(locations, observations, design, edges, ranks, m=m, latent=latent, nu=nu, family=family) | start
@@ -182,27 +184,43 @@ def make_state(y: np.ndarray, x: np.ndarray, graph: Graph, start: dict, options:
 
 
 def vi_moments(locations: DataFrame, observations: DataFrame, design: DataFrame, edges: DataFrame, thetas: Sequence[Theta], family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Whitened moments xx, xy, yy and the number of places: one aggregate over all places."""
-    h = vecchia.entries(vecchia.factors(locations, edges, thetas, family))
-    x = design.select(F.col("loc_id").alias("j"), F.posexplode("x").alias("c", "u"))
-    y = observations.select(F.col("loc_id").alias("j"), F.lit(-1).alias("c"), F.col("outcome").alias("o"), F.col("y").alias("u"))
-    hx = h.join(x, "j").groupBy("i", "outcome", "c").agg(F.sum(F.col("v") * F.col("u")).alias("w"))
-    hy = h.join(y, "j").filter("outcome = o").groupBy("i", "outcome", "c").agg(F.sum(F.col("v") * F.col("u")).alias("w"))
-    both = hx.unionByName(hy)
-    a = both.select("i", F.col("outcome").alias("a"), F.col("c").alias("ca"), F.col("w").alias("wa"))
-    b = both.select("i", F.col("outcome").alias("b"), F.col("c").alias("cb"), F.col("w").alias("wb"))
-    sums = a.join(b, "i").groupBy("a", "b", "ca", "cb").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.count("*").alias("n")).collect()  # (q (p + 1))^2 rows
-    q, p = max(r["a"] for r in sums), max(r["ca"] for r in sums) + 1
-    xx, xy, yy = np.zeros((q, q, p, p)), np.zeros((q, q, p)), np.zeros((q, q))
-    for r in sums:
-        i, j = r["a"] - 1, r["b"] - 1
-        if r["ca"] >= 0 and r["cb"] >= 0:
-            xx[i, j, r["ca"], r["cb"]] = r["s"]
-        elif r["ca"] >= 0:
-            xy[i, j, r["ca"]] = r["s"]
-        elif r["cb"] < 0:
-            yy[i, j] = r["s"]
-    return xx, xy, yy, sums[0]["n"]
+    """Whitened moments xx, xy, yy and the number of places.
+
+    Values of a node's parents are gathered once, for all outcomes; a batch of nodes is whitened and multiplied where it is, and only
+    its (q (p + 1)) ** 2 sums move on.
+    """
+    ys = observations.groupBy("loc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("outcome", "y"))), lambda o: o["y"]).alias("ys"))
+    rows = locations.select(F.col("loc_id").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py")).join(design.select(F.col("loc_id").alias("parent"), F.col("x").alias("xs")), "parent")
+    rows = rows.join(ys.withColumnRenamed("loc_id", "parent"), "parent").select("parent", F.struct("px", "py", F.concat("xs", "ys").alias("u")).alias("v"))
+    every = edges.select("node", "k", "parent").unionByName(rows.select(F.col("parent").alias("node"), F.lit(0).alias("k"), "parent"))
+    met = every.join(rows, "parent").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("f"))
+    q = len(thetas)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, n = None, 0
+        for pdf in batches:
+            for size, part in pdf.groupby(pdf["px"].map(len)):
+                for at in range(0, len(part), 4096):
+                    own = part.iloc[at : at + 4096]
+                    places = np.stack([np.stack(own["px"]), np.stack(own["py"])], axis=-1)
+                    u = np.array([np.stack(x) for x in own["u"]], float).reshape(len(own), size, -1)
+                    p = u.shape[2] - q
+                    white = []
+                    for j, theta in enumerate(thetas):
+                        h, r2 = vecchia.solve(places[:, 0], places[:, 1:], theta, family)
+                        z = u[:, :, [*range(p), p + j]]
+                        white.append((z[:, 0] - np.einsum("nk,nkc->nc", h, z[:, 1:])) / np.sqrt(r2)[:, None])
+                    w = np.concatenate(white, 1)
+                    sums = w.T @ w if sums is None else sums + w.T @ w
+                    n += len(own)
+        if sums is not None:
+            yield pd.DataFrame({"s": [[float(n), *sums.ravel().tolist()]]})
+
+    each = met.select(F.col("f.v.px").alias("px"), F.col("f.v.py").alias("py"), F.col("f.v.u").alias("u")).mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
+    got = np.array([r["v"] for r in each.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])  # 1 + (q (p + 1))^2 numbers
+    width = round((len(got) - 1) ** 0.5) // q
+    s = got[1:].reshape(q, width, q, width).transpose(0, 2, 1, 3)
+    return s[:, :, :-1, :-1].copy(), s[:, :, :-1, -1].copy(), s[:, :, -1, -1].copy(), int(got[0])
 
 
 def _response_vi(locs: DataFrame, obs: DataFrame, design: DataFrame, edges: DataFrame, own: dict, family: int, tol: float) -> DataFrame:

@@ -48,10 +48,12 @@ def weights(train: DataFrame, new: DataFrame, thetas: Sequence[Theta], m: int, f
 
 
 def mean(train: DataFrame, new: DataFrame, values: DataFrame, fixed: DataFrame, thetas: Sequence[Theta], m: int, family: int = MATERN) -> DataFrame:
-    """x beta plus kriged values: loc_id, outcome, mean, sd. values (loc_id, outcome, a) at training places, fixed (loc_id, outcome, f) at new ones."""
+    """x beta plus kriged values: loc_id, outcome, mean, sd. values (loc_id, outcome, a) at training places, all of them or it fails; fixed (loc_id, outcome, f) at new ones."""
     w = weights(train, new, thetas, m, family)
     each = w.select("outcome", "node", "sd", F.explode(F.arrays_zip("parents", "h")).alias("e")).select("outcome", "node", "sd", F.col("e.parents").alias("loc_id"), "e.h")
-    sums = each.join(values, ["outcome", "loc_id"]).groupBy("outcome", "node").agg(F.sum(F.col("h") * F.col("a")).alias("k"), F.first("sd").alias("sd"))
+    gap = F.raise_error(F.lit("a neighbour has no value: missing outcomes are to be imputed first")).cast("double")
+    each = each.join(values.select("outcome", "loc_id", F.coalesce("a", gap).alias("a"), F.lit(True).alias("there")), ["outcome", "loc_id"], "left").withColumn("a", F.when(F.col("there"), F.col("a")).otherwise(gap))
+    sums = each.groupBy("outcome", "node").agg(F.sum(F.col("h") * F.col("a")).alias("k"), F.first("sd").alias("sd"))
     return sums.join(fixed.select(F.col("loc_id").alias("node"), "outcome", "f"), ["outcome", "node"]).select(F.col("node").alias("loc_id"), "outcome", (F.col("f") + F.col("k")).alias("mean"), "sd")
 
 

@@ -24,24 +24,27 @@ from terrane.sources import storage
 
 
 def families(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node with its place and its parents and theirs, by k: node, x, y, parents, px, py. Edges number m a node at most."""
-    places = points.select(F.col("loc_id").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"))
-    one = F.struct("k", "parent", "px", "py")
-    of_node = edges.select("node", "parent", "k").join(places, "parent").groupBy("node").agg(F.array_sort(F.collect_list(one)).alias("p"))
-    rows = points.select(F.col("loc_id").alias("node"), "x", "y").join(of_node, "node", "left")
-    none = F.array().cast("array<struct<k: int, parent: bigint, px: double, py: double>>")
-    rows = rows.withColumn("p", F.coalesce(F.col("p").cast("array<struct<k: int, parent: bigint, px: double, py: double>>"), none))
-    return rows.select("node", "x", "y", F.col("p.parent").alias("parents"), F.col("p.px").alias("px"), F.col("p.py").alias("py"))
-
-
-def solve(places: np.ndarray, parents: np.ndarray, theta: Theta, family: int, nugget: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """h (n, k) and r squared (n) for places (n, 2) and their parents' (n, k, 2)."""
+    """Each node with its place and its parents and theirs, by k: node, x, y, nugget, parents, px, py, pn. Edges number m a node at most.
+
+    nugget and pn: variances that places have for themselves, of points' column nugget; 0 without it.
+    """
+    own = points.select("loc_id", "x", "y", (F.coalesce("nugget", F.lit(0.0)) if "nugget" in points.columns else F.lit(0.0)).cast("double").alias("nugget"))
+    places = own.select(F.col("loc_id").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("nugget").alias("pn"))
+    of_node = edges.select("node", "parent", "k").join(places, "parent").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "parent", "px", "py", "pn"))).alias("p"))
+    rows = own.withColumnRenamed("loc_id", "node").join(of_node, "node", "left")
+    kind = "array<struct<k: int, parent: bigint, px: double, py: double, pn: double>>"
+    rows = rows.withColumn("p", F.coalesce(F.col("p").cast(kind), F.array().cast(kind)))
+    return rows.select("node", "x", "y", "nugget", F.col("p.parent").alias("parents"), F.col("p.px").alias("px"), F.col("p.py").alias("py"), F.col("p.pn").alias("pn"))
+
+
+def solve(places: np.ndarray, parents: np.ndarray, theta: Theta, family: int, nugget: float | np.ndarray = 0.0, theirs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """h (n, k) and r squared (n) for places (n, 2) and their parents' (n, k, 2). nugget: of the places, (n) or one for all; theirs: of the parents, (n, k)."""
     n, k = parents.shape[:2]
     total = theta.sigmasq + nugget
     if not k:
-        return np.zeros((n, 0)), np.full(n, total)
+        return np.zeros((n, 0)), np.broadcast_to(total, n).astype(float)
     among = covariance(distances(parents, parents), theta, family)
-    among[:, np.arange(k), np.arange(k)] = total
+    among[:, np.arange(k), np.arange(k)] = theta.sigmasq + (nugget if theirs is None else theirs)
     to = covariance(distances(places[:, None, :], parents), theta, family)[:, 0, :]
     try:
         h = np.linalg.solve(among, to[:, :, None])[:, :, 0]
@@ -53,7 +56,8 @@ def solve(places: np.ndarray, parents: np.ndarray, theta: Theta, family: int, nu
 def factors(points: DataFrame, edges: DataFrame, thetas: Sequence[Theta], family: int = MATERN, nugget: float | Sequence[float] = 0.0) -> DataFrame:
     """Factors of every node for each outcome's theta, outcomes numbered from 1: outcome, node, sqrt_r, parents, h.
 
-    nugget: variance that each place has for itself, beyond that of theta; one for all outcomes, or one for each.
+    nugget: variance that each place has for itself, beyond that of theta; one for all outcomes, or one for each. What points' column
+    nugget says of a place, if there is one, comes on top.
     """
     nuggets = [float(nugget)] * len(thetas) if np.isscalar(nugget) else list(map(float, nugget))
 
@@ -64,8 +68,9 @@ def factors(points: DataFrame, edges: DataFrame, thetas: Sequence[Theta], family
                 part = pdf[size == k]
                 at = part[["x", "y"]].to_numpy(float)
                 theirs = np.stack([np.stack(part["px"]), np.stack(part["py"])], axis=-1) if k else np.zeros((len(part), 0, 2))
+                own, others = part["nugget"].to_numpy(float), np.stack(part["pn"]) if k else np.zeros((len(part), 0))
                 for j, theta in enumerate(thetas, 1):
-                    h, r2 = solve(at, theirs, theta, family, nuggets[j - 1])
+                    h, r2 = solve(at, theirs, theta, family, nuggets[j - 1] + own, nuggets[j - 1] + others)
                     if not (r2 > 0).all():
                         raise ValueError("a conditional variance is not positive: places too close for this theta")
                     yield pd.DataFrame({"outcome": np.full(len(part), j), "node": part["node"].to_numpy(), "sqrt_r": np.sqrt(r2), "parents": list(part["parents"]), "h": list(h)})
@@ -76,8 +81,10 @@ def factors(points: DataFrame, edges: DataFrame, thetas: Sequence[Theta], family
 def grid_factors(points: DataFrame, dag: DataFrame, thetas: Sequence[Theta], family: int = MATERN, nugget: float | Sequence[float] = 0.0) -> DataFrame:
     """factors() of a grid: a factor is made for one node of each pattern of offsets dx, dy, and given to all.
 
-    Patterns number about (2 m)^2 at most, whatever the number of nodes: they differ near the borders only.
+    Patterns number about (2 m)^2 at most, whatever the number of nodes: they differ near the borders only. Nuggets by place are not shared, and refused.
     """
+    if "nugget" in points.columns:
+        raise ValueError("places with nuggets of their own share no factors")
     parents = F.transform(F.array_sort(F.collect_list(F.struct("k", "parent"))), lambda p: p["parent"])
     of_node = points.select(F.col("loc_id").alias("node")).join(neighbors.node_patterns(dag), "node", "left").join(dag.groupBy("node").agg(parents.alias("parents")), "node", "left")
     of_node = of_node.select("node", F.coalesce("pattern", F.lit("")).alias("pattern"), F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents")).persist()

@@ -254,3 +254,40 @@ def test_fit_on_a_grid_and_its_timings(spark):
     assert len(seconds) == len(timed.info["phases"]) and all(v >= 0 for v in seconds.values()) and sum(seconds.values()) > 0
     with pytest.raises(ValueError):
         api.fit(locs.filter("loc_id != 9"), obs.filter("loc_id != 9"), design.filter("loc_id != 9"), m=4, iters=1, start=start, order="grid")
+
+
+def test_moments_are_those_of_dense_algebra(spark):
+    xy, y, _, thetas = simulated(50, 2, 0.5, 0.2, 8)
+    locs, obs, _ = frames(spark, xy, y)
+    x = np.column_stack([np.ones(50), xy[:, 0]])
+    design = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "loc_id bigint, x array<double>")
+    xx, xy_, yy, n = api.vi_moments(locs, obs, design, neighbors.ordered_knn(locs, 6), thetas, 1)
+    graph = graph_of(xy, 6)
+    hs = [graph.factor(t).dense() for t in thetas]
+    assert n == 50
+    for a in range(2):
+        for b in range(2):
+            assert np.allclose(xx[a, b], (hs[a] @ x).T @ (hs[b] @ x))
+            assert np.allclose(xy_[a, b], (hs[a] @ x).T @ (hs[b] @ y[:, b]))
+            assert yy[a, b] == pytest.approx((hs[a] @ y[:, a]) @ (hs[b] @ y[:, b]))
+
+
+def test_means_refuse_neighbours_without_a_value(spark):
+    locs, obs, _ = small_tables(spark, missing={(3, 1)})
+    fixed = locs.select("loc_id", F.lit(1).alias("outcome"), F.lit(0.0).alias("f"))
+    values = obs.filter("outcome = 1").select("loc_id", "outcome", F.col("y").alias("a"))
+    new = locs.filter("loc_id = 3").select(F.lit(900).cast("long").alias("loc_id"), "x", "y")
+    for given in (values, values.filter("a is not null")):
+        with pytest.raises(Exception, match="imputed first"):
+            predict.mean(locs, new, given, fixed.withColumn("loc_id", F.lit(900).cast("long")).distinct(), [Theta(6.0)], 4).collect()
+
+
+def test_grids_are_recognised(spark):
+    rng = np.random.default_rng(3)
+    locs = spark.createDataFrame([(i, 0.1 * (i % 8), 0.1 * (i // 8)) for i in range(40)], "loc_id bigint, x double, y double")
+    obs = spark.createDataFrame([(i, 1, float(rng.normal())) for i in range(40)], "loc_id bigint, outcome int, y double")
+    design = spark.createDataFrame([(i, [1.0]) for i in range(40)], "loc_id bigint, x array<double>")
+    start = {"beta": np.zeros((1, 1)), "sigma": np.eye(1), "thetas": [(8.0, 1.0, 0.5, 0.1)]}
+    assert api.fit(locs, obs, design, m=4, iters=1, start=start).info["order"] == "grid"
+    some = [t.filter("loc_id != 9") for t in (locs, obs, design)]
+    assert api.fit(*some, m=4, iters=1, start=start).info["order"] == "maxmin"

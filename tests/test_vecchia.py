@@ -280,3 +280,18 @@ def test_tiles_of_clustered_points_are_even():
     tree = neighbors.cuts(xy[rng.permutation(10_000)[:2000]], 20)
     sizes = np.bincount(tree.tiles(xy))
     assert len(sizes) == 20 and sizes.max() < 800
+
+
+def test_nuggets_by_place_are_on_the_diagonal(spark):
+    """All earlier places as parents: H is the inverse Cholesky factor of the covariance with each place's own nugget."""
+    rng = np.random.default_rng(4)
+    xy, own = rng.random((30, 2)), rng.random(30)
+    points = spark.createDataFrame(pd.DataFrame({"loc_id": np.arange(30), "x": xy[:, 0], "y": xy[:, 1], "nugget": own}))
+    theta = Theta(6.0, 1.0, 1.5)
+    f = vecchia.factors(points, neighbors.ordered_knn(points, 29), [theta], nugget=0.1)
+    dense = np.zeros((30, 30))
+    for r in vecchia.entries(f).collect():
+        dense[r["i"], r["j"]] = r["v"]
+    assert np.allclose(dense, np.linalg.inv(np.linalg.cholesky(covariance(distances(xy, xy), theta) + np.diag(0.1 + own))), atol=1e-8)
+    with pytest.raises(ValueError, match="share no factors"):
+        vecchia.grid_factors(points, neighbors.ordered_knn(points, 3), [theta])
