@@ -8,10 +8,10 @@ locations are checked for duplicates where that matters.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,7 +90,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def covariance_column(d: Column, theta: Theta, family: int = MATERN) -> Column:
-    """covariance() as a column, in whole-stage code; for the Matern family where nu is 1/2, 3/2 or 5/2."""
+    """covariance() as a column; by closed forms in whole-stage code, but for the Matern family where nu is none of 1/2, 3/2, 5/2."""
     t = d * F.lit(theta.phi)
     if family == POWER_EXPONENTIAL:
         rho = F.exp(F.lit(-theta.phi) * F.pow(d, F.lit(theta.nu)))
@@ -109,13 +109,47 @@ def covariance_column(d: Column, theta: Theta, family: int = MATERN) -> Column:
     return F.when(d == 0, F.lit(theta.sigmasq)).otherwise(F.lit((1 - theta.alpha) * theta.sigmasq) * rho)
 
 
-def general_matern(d: Column, theta: Theta) -> Column:
-    """The Matern family for any nu: there is no Bessel function in Spark, so Arrow batches go through numpy."""
-    @F.pandas_udf("double")
-    def matern(x: pd.Series) -> pd.Series:
-        return pd.Series(covariance(x.to_numpy(), theta, MATERN))
+#: Terms of a Chebyshev series for an octave of t = d phi; the octaves end at 2 ** LAST, beyond which rho is under 1e-27.
+TERMS, LAST = 24, 6
+
+
+@lru_cache(maxsize=64)
+def octaves(nu: float) -> tuple[int, np.ndarray]:
+    """The first octave and, one after the other, the Chebyshev coefficients of rho(t) exp(t) in [2 ** k, 2 ** (k + 1)] from it on.
+
+    Below the first octave rho differs from 1 by less than 1e-16, or a series about 0 is as good: see general_matern().
+    """
+    first = -10 if by_series(nu) else -30
+    nodes = np.cos(np.pi * (np.arange(TERMS) + 0.5) / TERMS)
+    t = 2.0 ** np.arange(first, LAST)[:, None] * (1.5 + 0.5 * nodes)[None, :]
+    values = correlation(t, Theta(1.0, nu=nu)) * np.exp(t)
+    to = 2.0 / TERMS * np.cos(np.pi * np.arange(TERMS)[:, None] * (np.arange(TERMS) + 0.5)[None, :] / TERMS)
+    to[0] /= 2
+    return first, values @ to.T
+
 
-    return matern(d)
+def by_series(nu: float) -> bool:
+    """Whether the series about 0 is used: where rho leaves 1 so soon that octaves would not reach. It fails at whole numbers."""
+    return nu < 0.9
+
+
+def general_matern(d: Column, theta: Theta) -> Column:
+    """The Matern family for any nu, of column functions: there is no Bessel function in Spark, so each octave has its Chebyshev series."""
+    nu, t = theta.nu, d * F.lit(theta.phi)
+    first, table = octaves(nu)
+    octave = F.least(F.greatest(F.floor(F.log2(t)).cast("int"), F.lit(first)), F.lit(LAST - 1))
+    u = (t / F.pow(F.lit(2.0), octave) - 1.5) * 2
+    terms = F.slice(F.lit(table[:, ::-1].ravel()), (octave - first) * TERMS + 1, F.lit(TERMS))
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    rho = F.aggregate(terms, start, lambda s, c: F.struct((c + 2 * u * s["a"] - s["b"]).alias("a"), s["a"].alias("b")), lambda s: s["a"] - u * s["b"]) * F.exp(-t)
+    if by_series(nu):  # Gamma(1 - nu) (S(-nu) - (t / 2) ** (2 nu) S(nu)), S(m) being the sum of (t / 2) ** (2 k) / (k! Gamma(k + m + 1))
+        h = t * t / 4
+        sums = [F.lit(1 / math.gamma(m + 1)) + h * (F.lit(1 / math.gamma(m + 2)) + h * F.lit(0.5 / math.gamma(m + 3))) for m in (-nu, nu)]
+        near = F.lit(math.gamma(1 - nu)) * (sums[0] - F.pow(t / 2, F.lit(2 * nu)) * sums[1])
+    else:
+        near = F.lit(1.0)
+    rho = F.when(t < 2.0**first, near).when(t >= 2.0**LAST, F.lit(0.0)).otherwise(rho)
+    return F.when(d == 0, F.lit(theta.sigmasq)).otherwise(F.lit((1 - theta.alpha) * theta.sigmasq) * rho)
 
 
 def has_closed_form(theta: Theta, family: int) -> bool:

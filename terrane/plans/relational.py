@@ -122,6 +122,18 @@ def cov_matern_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("node", "parent", rounded(K.general_matern(F.col("d"), t), "c"))
 
 
+def bessel(d: str, nu: float) -> str:
+    """SQL of the Matern correlation at d = t by the trapezoid rule for the integral of exp(-t cosh s) cosh(nu s)."""
+    return f"2 / gamma({nu}) * pow({d} / 2, {nu}) * list_sum(list_transform(range(0, 400), lambda k: exp(-{d} * cosh(k * 0.05)) * cosh({nu} * k * 0.05) * CASE WHEN k = 0 THEN 0.025 ELSE 0.05 END))"
+
+
+@query("cov_matern_bessel", f"WITH {IRR}, {nn(2)} SELECT node, parent, " + ", ".join(f"{r(f'0.9 * ({bessel("(d * 9)", nu)})', name)}" for name, nu in (("c08", 0.8), ("c12", 1.2), ("c1", 1.0))) + " FROM nn")
+def cov_matern_bessel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothness without a closed form, in column functions; SQL has the Bessel function's integral."""
+    near = neighbors.ordered_knn(fx.points(spark, sf_dir), 2)
+    return near.select("node", "parent", *(rounded(K.covariance_column(F.col("d"), K.Theta(9.0, 1.0, nu, 0.1)), name) for name, nu in (("c08", 0.8), ("c12", 1.2), ("c1", 1.0))))
+
+
 @query("cov_zero_distance", f"WITH {IRR} SELECT loc_id, {r(kernel('x - x', K.Theta(9.0, 2.0, 1.5, 0.3)), 'c')} FROM irr")
 def cov_zero_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.points(spark, sf_dir).select("loc_id", rounded(K.covariance_column(F.col("x") - F.col("x"), K.Theta(9.0, 2.0, 1.5, 0.3)), "c"))

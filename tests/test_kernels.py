@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from terrane.functions import kernels as K
 from terrane.functions.transforms import from_line, to_line
@@ -42,3 +43,12 @@ def test_transform_round_trip(a, b):
     low, high = np.array([0.3, 0.0]), np.array([200.0, 1.0])
     x = np.array([a, b])
     assert np.allclose(from_line(to_line(x, low, high), low, high), x)
+
+
+@pytest.mark.parametrize("nu", [0.05, 0.3, 0.8, 0.89, 0.9, 1.0, 1.2, 2.0, 2.09])
+def test_general_smoothness_as_a_column(spark, nu):
+    """Column functions against the Bessel function's integral in numpy, from distances next to 0 to those where nothing is left."""
+    d = np.concatenate([[0.0], 10.0 ** np.linspace(-9, 1.2, 400)])
+    theta = K.Theta(5.0, 2.0, nu, 0.1)
+    got = spark.createDataFrame([(float(x),) for x in d], "d double").select("d", K.general_matern(F.col("d"), theta).alias("c")).toPandas().sort_values("d")["c"]
+    assert np.abs(got.to_numpy() - K.covariance(d, theta)).max() < 5e-12
