@@ -111,7 +111,7 @@ def fit(
     if complete if complete is not None else not latent and method == "vi":
         observations = moments.complete_cases(observations)
         locations = locations.join(observations.select("loc_id").distinct(), "loc_id", "left_semi")
-    locations = locations.persist()
+    locations = storage.once(locations, "locations")
     n = locations.count()
     if n > CHAIN_ROWS and latent and method == "vi":
         raise ValueError(f"{n} places; the variational latent fit's task takes {CHAIN_ROWS}. Use chains, which go over tiles")
@@ -119,11 +119,11 @@ def fit(
         tiles = tiles or -(-n // tiled.TILE_ROWS)
     if order == "auto":
         order = "grid" if neighbors.grid_check(locations).first()["gridded"] else "maxmin"
-    ranks = ordered(locations, order).persist()
+    ranks = storage.once(ordered(locations, order), "ranks")
     by_ord = locations.join(ranks, "loc_id").select(F.col("ord").alias("loc_id"), "x", "y")
     named = neighbors.vecchia_dag(by_ord, m, "grid").drop("dx", "dy") if order == "grid" else neighbors.ordered_knn(by_ord, m)
     node, parent = ranks.select(F.col("ord").alias("node"), F.col("loc_id").alias("n")), ranks.select(F.col("ord").alias("parent"), F.col("loc_id").alias("p"))
-    edges = named.join(node, "node").join(parent, "parent").select(F.col("n").alias("node"), F.col("p").alias("parent"), "k", "d").persist()
+    edges = storage.once(named.join(node, "node").join(parent, "parent").select(F.col("n").alias("node"), F.col("p").alias("parent"), "k", "d"), "edges")
     info = {"model": model, "method": method, "m": m, "family": family, "order": order, "dropped": given - n, "phases": sampler.phases(latent, sampler_name)}
     start = {} if start == "auto" else dict(start)
     if not ({"sigma", "thetas"} | (set() if method == "vi" and not latent else {"beta"})) <= start.keys():
@@ -283,7 +283,7 @@ def auto_start(locs: DataFrame, obs: DataFrame, design: DataFrame, edges: DataFr
     for r in told:
         own = edges.select("node", "parent", "k")
         if r["gone"]:
-            some = by_ord.join(seen.filter(F.col("outcome") == r["outcome"]).select("loc_id"), "loc_id", "left_semi").persist()
+            some = by_ord.join(seen.filter(F.col("outcome") == r["outcome"]).select("loc_id"), "loc_id", "left_semi")
             found = neighbors.ordered_knn(some.select(F.col("ord").alias("loc_id"), "x", "y"), m)
             node, parent = ranks.select(F.col("ord").alias("node"), F.col("loc_id").alias("n")), ranks.select(F.col("ord").alias("parent"), F.col("loc_id").alias("p"))
             own = found.join(node, "node").join(parent, "parent").select(F.col("n").alias("node"), F.col("p").alias("parent"), "k")
@@ -298,8 +298,8 @@ def simulate(locations: DataFrame, sigma: np.ndarray, thetas: Sequence[Theta], *
     sigma = np.asarray(sigma, float)
     if sigma.shape != (len(thetas),) * 2 or not np.allclose(sigma, sigma.T) or (np.linalg.eigvalsh(sigma) <= 0).any():
         raise ValueError("sigma must be a covariance matrix with a row for each outcome")
-    ranks = ordered(locations, order).persist()
-    by_ord = locations.join(ranks, "loc_id").select(F.col("ord").alias("loc_id"), "x", "y").persist()
+    ranks = storage.once(ordered(locations, order), "ranks")
+    by_ord = locations.join(ranks, "loc_id").select(F.col("ord").alias("loc_id"), "x", "y")
     f = vecchia.factors(by_ord, neighbors.ordered_knn(by_ord, m), thetas, family)
     chol = np.linalg.cholesky(sigma)
     q = len(thetas)

@@ -79,7 +79,7 @@ def ordered_knn_cells(points: DataFrame, m: int, block: int = TILE) -> DataFrame
 def ranked(points: DataFrame, key: str = "loc_id") -> DataFrame:
     """points with ord, their rank by a key from 0: ranges are sorted apart, then counted on."""
     parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = points.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()).persist()
+    rows = storage.once(points.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()), "ranges")
     ahead = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = rows.groupBy("part").count().select("part", ahead.alias("first"))  # a row for each partition
     nth = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
@@ -497,14 +497,14 @@ def vecchia_dag(points: DataFrame, m: int, order: str = "maxmin") -> DataFrame:
     if order == "id":
         return ordered_knn(points, m)
     if order == "grid":
-        at = grid_steps(points).persist()
+        at = storage.once(grid_steps(points), "grid")
         edges = grid_dag(at, m)
         for end in ("node", "parent"):
             edges = edges.join(at.select(F.col("loc_id").alias(end), F.col("x").alias(f"{end}x"), F.col("y").alias(f"{end}y")), end)
         return edges.select("node", "parent", "k", F.sqrt(squared_distance("node", "parent")).alias("d"), "dx", "dy")
     if order != "maxmin":
         raise ValueError(f"no order {order}")
-    by = spread_order(points).join(points, "loc_id").persist()
+    by = storage.once(spread_order(points).join(points, "loc_id"), "ordered")
     edges = ordered_knn(by.select(F.col("ord").alias("loc_id"), "x", "y"), m)
     named = by.select(F.col("ord").alias("o"), "loc_id")
     out = edges.join(named, edges["node"] == named["o"]).select(F.col("loc_id").alias("n"), "parent", "k", "d")

@@ -87,8 +87,8 @@ def grid_factors(points: DataFrame, dag: DataFrame, thetas: Sequence[Theta], fam
         raise ValueError("places with nuggets of their own share no factors")
     parents = F.transform(F.array_sort(F.collect_list(F.struct("k", "parent"))), lambda p: p["parent"])
     of_node = points.select(F.col("loc_id").alias("node")).join(neighbors.node_patterns(dag), "node", "left").join(dag.groupBy("node").agg(parents.alias("parents")), "node", "left")
-    of_node = of_node.select("node", F.coalesce("pattern", F.lit("")).alias("pattern"), F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents")).persist()
-    first = of_node.groupBy("pattern").agg(F.min("node").alias("node")).persist()
+    of_node = storage.once(of_node.select("node", F.coalesce("pattern", F.lit("")).alias("pattern"), F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents")), "patterns")
+    first = of_node.groupBy("pattern").agg(F.min("node").alias("node"))
     needed = dag.select("node", "parent", "k").join(F.broadcast(first.select("node")), "node")
     used = first.select(F.col("node").alias("loc_id")).unionByName(needed.select(F.col("parent").alias("loc_id"))).distinct()
     made = factors(points.join(F.broadcast(used), "loc_id", "left_semi"), needed, thetas, family, nugget)
@@ -329,7 +329,7 @@ def build(points: DataFrame, thetas: Sequence[Theta], m: int = 15, family: int =
 
     order: as of neighbors.vecchia_dag(); on a grid nodes share factors.
     """
-    edges = neighbors.vecchia_dag(points, m, order).persist()
+    edges = storage.once(neighbors.vecchia_dag(points, m, order), "edges")
     own = (grid_factors if order == "grid" else factors)(points, edges, thetas, family, nugget)
     h = entries(own)
     return Approximation(edges, own, h, precision(h), log_determinant(own), neighbors.blanket(edges))
