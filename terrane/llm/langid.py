@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ PRIOR = 2000.0
 ACCEPT = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Most words with known scores in a Python worker; those of more than LONG_WORD characters are known for a slice only.
-WORDS = 600_000
+WORDS = 400_000
 # First code points of ranges of scripts.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"),
@@ -56,11 +57,11 @@ def grams(word: str) -> list[str]:
 
 
 class Model(NamedTuple):
-    """codes: sorted codes of grams of letters, their rows in weights being the same; words: rows of whole words; the last rows are for grams not seen."""
+    """codes: sorted codes of grams of letters, whose rows in weights are the first; words: sorted marks of whole words, whose rows follow; the last rows are for grams not seen."""
 
     langs: list[str]
     codes: np.ndarray
-    words: dict[str, int]
+    words: np.ndarray
     weights: np.ndarray
     scripts: dict[str, np.ndarray]
 
@@ -69,6 +70,20 @@ class Model(NamedTuple):
         return len(self.weights) - 5 + kind
 
 
+    def rows(self, letters: bool, keys: np.ndarray, kind: int) -> np.ndarray:
+        """The rows of codes, or of marks of words; of those not seen, that of their kind."""
+        table, first = (self.codes, 0) if letters else (self.words, len(self.codes))
+        if not len(table):
+            return np.full(len(keys), self.unseen(kind))
+        place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[place] == keys, first + place, self.unseen(kind))
+
+
+def mark(word: str) -> int:
+    """A word as 64 bits: a table of words is read by many workers, each of which would hold its strings."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 def code(gram: str) -> int:
     """Up to three characters as an integer."""
     return sum(ord(c) << 21 * i for i, c in enumerate(reversed(gram)))
@@ -109,7 +124,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", order.alias("o"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not sizes:
-        return Model([], np.zeros(0, np.uint64), {}, np.zeros((5, 0), np.float32), {})
+        return Model([], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((5, 0), np.float32), {})
     shares = in_turn(sizes, train_docs)
     # A hash is uniform, so a bound on it keeps little more than the share; the rest is cut exactly, in tasks of a bounded number of rows.
     spark = docs.sparkSession
@@ -150,7 +165,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
             else:
                 tables.setdefault(gram, np.zeros(len(langs), np.float32))[at[lang]] += n
     short = sorted((g for g in tables if g[0] != "="), key=code)
-    long = [g for g in tables if g[0] == "="]
+    long = sorted((g for g in tables if g[0] == "="), key=lambda g: mark(g[1:]))
     n = np.array([tables[g] for g in (*short, *long)]).reshape(-1, len(langs))
     kind = np.array([*map(len, short), *(4 for _ in long)])
     weights = np.zeros((len(n) + 5, len(langs)))
@@ -160,7 +175,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         mean = (own / np.maximum(total, 1)).sum(1, keepdims=True) / max(1, (total > 0).sum())
         weights[:-5][kind == k] = np.log((own + PRIOR * mean) / (total + PRIOR))
         weights[len(n) + k] = 0.0  # no evidence for any language
-    return Model(langs, np.array([code(g) for g in short], np.uint64), {g[1:]: len(short) + i for i, g in enumerate(long)}, weights.astype(np.float32), scripts)
+    return Model(langs, np.array([code(g) for g in short], np.uint64), np.array([mark(g[1:]) for g in long], np.uint64), weights.astype(np.float32), scripts)
 
 
 class Scorer:
@@ -190,10 +205,8 @@ class Scorer:
         bits = np.uint64(21)
         sums = np.zeros((len(points), len(m.langs)))
         for kind, codes, may in ((1, points, inside), (2, points << bits | second, left > 1), (3, (points << bits | second) << bits | third, left > 2)):
-            own = codes[may]
-            place = np.minimum(np.searchsorted(m.codes, own), len(m.codes) - 1)
-            sums[may] += m.weights[np.where(m.codes[place] == own, place, m.unseen(kind))]
-        whole = m.weights[[m.words.get(w, m.unseen(4)) for w in words]]
+            sums[may] += m.weights[m.rows(True, codes[may], kind)]
+        whole = m.weights[m.rows(False, np.array([mark(w) for w in words], np.uint64), 4)]
         out = np.add.reduceat(sums, starts, axis=0) + whole
         may = self.may[np.searchsorted(STARTS, points[starts + 1].astype(np.int64), "right") - 1]
         learnt = may.any(1)

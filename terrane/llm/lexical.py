@@ -37,7 +37,7 @@ TERMS = 1 << 16
 #: Documents that the upper levels are fitted on, and the terms of each that are looked at there; how many levels; rounds of swaps at most.
 SAMPLE, SAMPLE_TERMS, LEVELS, SWAPS = 4096, 512, 5, 8
 #: Documents, and postings, of a block that a task bisects, about; documents of a shard at most.
-BLOCK, POSTINGS, SHARD = 4096, 1 << 21, 256
+BLOCK, POSTINGS, SHARD = 2048, 1 << 19, 256
 #: Shards that are scored first for each item.
 SEEDS = 4
 #: Shards that a task looks at at a time.
