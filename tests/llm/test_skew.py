@@ -104,7 +104,8 @@ def test_learnt_weights_are_those_of_plain_counts(spark):
     for g in every:
         total = {lang: sum(n for x, n in c.items() if kind(x) == kind(g)) for lang, c in counts.items()}
         mean = sum(counts[lang][g] / total[lang] for lang in counts) / 3
-        row = model.words[g[1:]] if g[0] == "=" else int(np.searchsorted(model.codes, langid.code(g)))
+        row = model.rows(g[0] != "=", np.array([langid.mark(g[1:]) if g[0] == "=" else langid.code(g)], np.uint64), kind(g))[0]
+        assert row < len(every)
         assert np.allclose(model.weights[row], [np.log((counts[lang][g] + langid.PRIOR * mean) / (total[lang] + langid.PRIOR)) for lang in model.langs], atol=1e-5)
 
 
@@ -119,3 +120,9 @@ def test_of_rows_with_one_id_the_least_text_stays(spark):
     rows = [(5, t, "en", "a", len(t)) for t in texts] + [(9, "one two three four five six", "en", "a", 10)]
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "").collect()}
     assert got == {5: min(texts), 9: "one two three four five six"}
+
+
+def test_training_texts_without_letters(spark):
+    model = langid.learn(spark.createDataFrame([(i, "123 !", "en") for i in range(9)], "doc_id bigint, text string, lang string"))
+    docs = spark.createDataFrame([(1, "some words"), (2, "99")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}[2] == "und"
