@@ -627,4 +627,4 @@ def test_pipeline(spark):
 
 def test_every_operator_is_registered():
     names = entry_points.queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
