@@ -37,7 +37,7 @@ from .shared import LONG_WORD, durable, screened, slices, small_batches, table
 
 ROWS, MANTISSA, MISS = 4, 10, 1e-8
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
-WORDS = 250_000
+WORDS = 120_000
 
 
 def bands(percent: int) -> int:
