@@ -295,3 +295,10 @@ def test_nuggets_by_place_are_on_the_diagonal(spark):
     assert np.allclose(dense, np.linalg.inv(np.linalg.cholesky(covariance(distances(xy, xy), theta) + np.diag(0.1 + own))), atol=1e-8)
     with pytest.raises(ValueError, match="share no factors"):
         vecchia.grid_factors(points, neighbors.ordered_knn(points, 3), [theta])
+
+
+def test_all_pairs_of_more_points_than_are_broadcast(spark, monkeypatch):
+    xy, theta = places(30, 8), Theta(5.0)
+    monkeypatch.setattr(neighbors, "SMALL", 8)
+    got = crosscov.cross_correlation(frame(spark, xy), frame(spark, xy), theta).toPandas().pivot(index="a", columns="b", values="c")
+    assert np.allclose(got.to_numpy(), covariance(distances(xy, xy), theta))
