@@ -302,3 +302,17 @@ def test_all_pairs_of_more_points_than_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "SMALL", 8)
     got = crosscov.cross_correlation(frame(spark, xy), frame(spark, xy), theta).toPandas().pivot(index="a", columns="b", values="c")
     assert np.allclose(got.to_numpy(), covariance(distances(xy, xy), theta))
+
+
+def test_correlation_given_a_large_reference_set(spark, monkeypatch):
+    s, x, thetas = places(12, 1), np.concatenate([places(12, 1)[:5], places(7, 2)]), (Theta(5.0), Theta(8.0, 1.0, 1.5, 0.2))
+    for at_limit in (False, True):
+        got, want = (f(frame(spark, x), frame(spark, x), frame(spark, s), [(2, 2)], thetas, at_limit=at_limit).toPandas() for f in (crosscov.pairwise, crosscov._through))
+        got, want = (t.pivot(index="x_id", columns="y_id", values="value").to_numpy() for t in (got, want))
+        assert got.shape == (12, 12) and np.allclose(got, want, atol=1e-7)
+    monkeypatch.setattr(crosscov, "DENSE", 5)
+    monkeypatch.setattr(neighbors, "SMALL", 5)
+    got = crosscov.pairwise(frame(spark, s), frame(spark, s), frame(spark, s), [(2, 2)], thetas).toPandas()
+    assert np.allclose(got.pivot(index="x_id", columns="y_id", values="value").to_numpy(), covariance(distances(s, s), thetas[1]))
+    own = crosscov.pairwise(frame(spark, s), frame(spark, s), frame(spark, s), [(1, 1), (2, 2)], thetas, diagonal=True).toPandas()
+    assert len(own) == 24 and np.allclose(own["value"], 1) and (own["x_id"] == own["y_id"]).all()
