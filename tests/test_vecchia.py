@@ -316,3 +316,31 @@ def test_correlation_given_a_large_reference_set(spark, monkeypatch):
     assert np.allclose(got.pivot(index="x_id", columns="y_id", values="value").to_numpy(), covariance(distances(s, s), thetas[1]))
     own = crosscov.pairwise(frame(spark, s), frame(spark, s), frame(spark, s), [(1, 1), (2, 2)], thetas, diagonal=True).toPandas()
     assert len(own) == 24 and np.allclose(own["value"], 1) and (own["x_id"] == own["y_id"]).all()
+
+
+@pytest.mark.parametrize("m", [1, 4])
+def test_lower_factors_of_more_places_than_a_dense_matrix(spark, monkeypatch, m):
+    xy, thetas = places(40, 6), (Theta(5.0), Theta(8.0, 1.0, 1.5, 0.2))
+    for name, value in (("DENSE", 10), ("COLUMNS", 16), ("CELLS", 200)):
+        monkeypatch.setattr(crosscov, name, value, raising=False)
+    p = frame(spark, xy)
+    edges = neighbors.ordered_knn(p, m)
+    g = Graph(xy, near(xy, m))
+    l = [np.linalg.inv(g.factor(t).dense()) for t in thetas]
+    low = crosscov.lower(vecchia.factors(p, edges, thetas))
+    got = np.zeros((2, 40, 40))
+    for r in low.collect():
+        assert r.v != 0 and not got[r.outcome - 1, r.s, r.t]
+        got[r.outcome - 1, r.s, r.t] = r.v
+    assert np.allclose(got, l)
+    zero = {(r.i, r.j): r.value for r in crosscov.at_zero(low).collect()}
+    theta = spark.createDataFrame([(1, 1, j, *t) for j, t in enumerate(thetas, 1)], "chain int, iter int, outcome int, phi double, sigmasq double, nu double, alpha double")
+    drawn = {(r.i, r.j): r.value for r in crosscov.zero_draws(p, edges, theta).collect()}
+    assert set(zero) == set(drawn) == {(1, 1), (2, 1), (2, 2)}
+    for (i, j), v in zero.items():
+        assert v == pytest.approx((l[i - 1] * l[j - 1]).sum() / 40) and drawn[i, j] == pytest.approx(v)
+    d, c = distances(xy, xy), l[0] @ l[1].T
+    bins = crosscov.binned_draws(p, edges, theta, 1, 2, bins=7, most=0.6).collect()
+    assert sum(r.pairs for r in bins) == (d <= 0.6).sum()
+    for r in bins:
+        assert r.value == pytest.approx(c[(np.minimum(np.floor(d / (0.6 / 7)), 6) == r.bin) & (d <= 0.6)].mean())
