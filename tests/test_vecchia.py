@@ -344,3 +344,20 @@ def test_lower_factors_of_more_places_than_a_dense_matrix(spark, monkeypatch, m)
     assert sum(r.pairs for r in bins) == (d <= 0.6).sum()
     for r in bins:
         assert r.value == pytest.approx(c[(np.minimum(np.floor(d / (0.6 / 7)), 6) == r.bin) & (d <= 0.6)].mean())
+
+
+def test_grid_parents_over_tiles_with_holes_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "SIDE", 4, raising=False)
+    cells = [(i, i % 11 - 3, i // 11 - 2) for i in range(121) if i % 7]
+    cells.append((500, *cells[20][1:]))  # a second place in one cell
+    steps, want = neighbors.stencil(15), set()
+    for node, x, y in cells:
+        near = sorted((o, other) for other, a, b in cells for o, (dx, dy) in enumerate(steps) if (a, b) == (x + dx, y + dy))
+        want |= {(node, other, k, *steps[o]) for k, (o, other) in enumerate(near[:15], 1)}
+    grid = spark.createDataFrame(cells, "loc_id bigint, gx int, gy int")
+    dag = neighbors.grid_dag(grid, 15)
+    assert {tuple(r) for r in dag.collect()} == want and dag.count() == len(want)
+    of = lambda d: sorted(map(tuple, d.select("pattern", "nodes", "exemplar").collect()))
+    assert of(neighbors.patterns_of(neighbors.grid_parents(grid, 15))) == of(neighbors.grid_patterns(dag))
+    # As many rows go through an exchange as there are cells, or some more; not one for each offset.
+    assert "Window" not in dag._jdf.queryExecution().executedPlan().toString()
