@@ -70,3 +70,13 @@ def test_segments_of_tiles_give_the_chain_of_one_run(spark):
     get = lambda **o: {(r.chain, r.iter, r.param, r.i, r.j): r.value for r in api.fit(*tables, m=5, iters=7, chains=2, start=start, tiles=3, **o).draws.collect()}
     whole, cut = get(), get(segment=3)
     assert whole.keys() == cut.keys() and max(abs(whole[k] - cut[k]) for k in whole) < 1e-9
+
+
+def test_by_default_chains_of_many_places_go_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(api, "ONE_TASK", 30, raising=False)
+    monkeypatch.setattr(tiles, "TILE_ROWS", 2)
+    xy, y, _, thetas = simulated(60, 2, 0.5, 0.3, 21)
+    start = {"beta": np.zeros((1, 2)), "sigma": np.eye(2), "thetas": [tuple(t) for t in thetas], "noise": np.full(2, 0.09)}
+    fit = api.fit(*frames(spark, xy, y), m=4, iters=2, model="latent", start=start, order="id")
+    assert fit.info["tiles"] == 4 and fit.draws.filter("param = 'W'").count() == 2 * 2 * 60  # no more than there are cores
+    assert "tiles" not in api.fit(*frames(spark, xy, y), m=4, iters=2, model="latent", start=start | {"w": np.zeros((60, 2))}, order="id").info
