@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,6 +110,32 @@ def hash_bound(share: int, size: int) -> int:
     return (1 << 63) - 1 if part >= 1 else int(-(1 << 63) + part * (1 << 64))
 
 
+def tabled(counts: pa.Table, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Of counts (lang, gram, n), a row for each gram, letters first and by key: its key, its kind (letters; 4: a word), its counts by language; and the scripts.
+
+    In arrays: objects of as many grams were most of what the driver's Python held.
+    """
+    grams = counts["gram"].combine_chunks().dictionary_encode()
+    row, lang, n = grams.indices.to_numpy(), pc.index_in(counts["lang"], value_set=pa.array(langs, pa.string())).to_numpy(), counts["n"].to_numpy()
+    keys, kind = np.zeros(len(grams.dictionary), np.uint64), np.zeros(len(grams.dictionary), np.int64)
+    scripts: dict[str, np.ndarray] = {}
+    for start in range(0, len(keys), 8192):
+        for i, gram in enumerate(grams.dictionary.slice(start, 8192).to_pylist(), start):
+            if gram[0] == "#" and len(gram) > 1:
+                scripts[gram[1:]] = np.isin(np.arange(len(langs)), lang[row == i])
+            elif gram[0] == "=":
+                keys[i], kind[i] = mark(gram[1:]), 4
+            else:
+                keys[i], kind[i] = code(gram), len(gram)
+    order = np.lexsort((keys, kind == 4))
+    order = order[kind[order] > 0]
+    place = np.full(len(keys), len(order))  # of scripts: a row behind all others
+    place[order] = np.arange(len(order))
+    out = np.zeros((len(order) + 1, len(langs)), np.float32)
+    out[place[row], lang] = n
+    return keys[order], kind[order], out[:-1], scripts
+
+
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """A model from rows of docs (doc_id, text, lang) that are labelled and not held out.
 
@@ -155,19 +182,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     part = rows.join(ends, "lang").filter(F.col("o") <= F.col("end")).dropDuplicates(["lang", "o"]).select("lang", "text")
     counts = part.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
-    at = {x: i for i, x in enumerate(langs)}
-    scripts: dict[str, np.ndarray] = {}
-    tables: dict[str, np.ndarray] = {}
-    for b in counts.toArrow().to_batches(max_chunksize=8192):  # what train_docs documents hold
-        for lang, gram, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if gram[0] == "#" and len(gram) > 1:
-                scripts.setdefault(gram[1:], np.zeros(len(langs), bool))[at[lang]] = True
-            else:
-                tables.setdefault(gram, np.zeros(len(langs), np.float32))[at[lang]] += n
-    short = sorted((g for g in tables if g[0] != "="), key=code)
-    long = sorted((g for g in tables if g[0] == "="), key=lambda g: mark(g[1:]))
-    n = np.array([tables[g] for g in (*short, *long)]).reshape(-1, len(langs))
-    kind = np.array([*map(len, short), *(4 for _ in long)])
+    keys, kind, n, scripts = tabled(counts.toArrow(), langs)  # what train_docs documents hold
     weights = np.zeros((len(n) + 5, len(langs)))
     for k in range(1, 5):  # letters, pairs, triples and words have distributions of their own
         own = n[kind == k]
@@ -175,7 +190,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         mean = (own / np.maximum(total, 1)).sum(1, keepdims=True) / max(1, (total > 0).sum())
         weights[:-5][kind == k] = np.log((own + PRIOR * mean) / (total + PRIOR))
         weights[len(n) + k] = 0.0  # no evidence for any language
-    return Model(langs, np.array([code(g) for g in short], np.uint64), np.array([mark(g[1:]) for g in long], np.uint64), weights.astype(np.float32), scripts)
+    return Model(langs, keys[kind < 4], keys[kind == 4], weights.astype(np.float32), scripts)
 
 
 class Scorer:

@@ -2,15 +2,17 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrane.llm import knn, langid, mixing, secrets, sharding
+from terrane.llm import knn, langid, mixing, neardup, secrets, sharding
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -126,3 +128,31 @@ def test_training_texts_without_letters(spark):
     model = langid.learn(spark.createDataFrame([(i, "123 !", "en") for i in range(9)], "doc_id bigint, text string, lang string"))
     docs = spark.createDataFrame([(1, "some words"), (2, "99")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}[2] == "und"
+
+
+def test_components_take_no_step_where_edges_are_stars(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(neardup, "durable", lambda df: steps.append(1) or df.localCheckpoint())
+
+    def found(edges):
+        steps.clear()
+        return {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+
+    assert found([(5, 2), (2, 7), (2, 5), (9, 8), (3, 3)]) == {2: 2, 5: 2, 7: 2, 8: 8, 9: 8} and len(steps) == 1
+    assert found([]) == {} and len(steps) == 1
+    assert found([(i, i + 1) for i in range(9)] + [(20, 30), (30, 25)]) == {**dict.fromkeys(range(10), 0), 20: 20, 25: 20, 30: 20} and len(steps) > 1
+
+
+def test_grams_are_tabled_without_an_object_each():
+    langs, grams = ["de", "en"], [f"={i}" for i in range(60_000)]
+    n = len(grams)
+    counts = pa.table({"lang": ["en", "de"] * (n // 2) + ["de", "en", "en", "de"], "gram": [*grams, "ab", "#latin", "ab", "#greek"], "n": [*range(1, n + 1), 3, 4, 5, 6]})
+    tracemalloc.start()
+    keys, kind, values, scripts = langid.tabled(counts, langs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * n
+    assert kind.tolist() == [2] + [4] * n and keys[0] == langid.code("ab") and (np.diff(keys[1:].astype(object)) > 0).all()
+    assert values[0].tolist() == [3, 5] and {k: v.tolist() for k, v in scripts.items()} == {"latin": [False, True], "greek": [True, False]}
+    row = 1 + int(np.searchsorted(keys[1:], np.uint64(langid.mark("7"))))
+    assert values[row].tolist() == [8, 0]
