@@ -13,6 +13,7 @@ partition's number in their high bits.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,10 +43,55 @@ def is_letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or word.lower().isalpha())
 
 
+#: The tokenizer's own pieces, in lower-case text of U+0000 to U+00FF.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
+class Words(dict[str, bytes]):
+    """Ids of words of lower-case Latin-1 text, by the tokenizer's model, a piece at a time as they are asked for; none that is long is kept."""
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenize = tokenizer.model.tokenize
+        self.ids = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.as_bytes = {x: as_bytes.pre_tokenize_str(chr(x))[0][0] for x in range(0x100)}
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if (out := self.older.get(word)) is None:
+            pieces = () if word.isalpha() else PIECES.findall(word)
+            if len(pieces) > 1:
+                out = b"".join(map(self.__getitem__, pieces))
+            else:
+                plain = word if word.isascii() and word.isprintable() else word.translate(self.as_bytes)
+                out = b"".join([self.ids[t.id] for t in self.tokenize(plain)])
+        if len(word) <= LONG_WORD:
+            self[word] = out
+        return out
+
+    def turn(self) -> None:
+        """Begins a new generation when this one is full."""
+        if len(self) >= WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
+def is_latin(text: str) -> bool:
+    """Whether a text is of U+0000 to U+00FF only, and lower case leaves the tokenizer's special strings as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
+
+
 class Encoder:
     """Ids of whole texts, by word: this tokenizer drops white space and looks at nothing across it.
 
-    A word that is letters of any alphabet and one mark behind them is the ids of both: the tokenizer splits
+    Latin-1 texts are lower-cased, as the tokenizer does, and their words cut as it does; only its model is asked. In others a
+    word that is letters of any alphabet and one mark behind them is the ids of both: the tokenizer splits
     there. Texts with the separators that Python and the tokenizer see differently go to it whole.
     """
 
@@ -56,8 +102,7 @@ class Encoder:
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[ends] = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = Words(self.tokenizer)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,10 +125,7 @@ class Encoder:
         return out
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        known, old, out = self.words, self.older, {}
-        if len(known) >= WORDS:
-            self.older = old = known
-            self.words = known = {}
+        known, old, out = self.words, self.words.older, {}
         plain, rest, split = set(), set(), []
         for w in words:
             if (ids := known.get(w)) is None:
@@ -113,11 +155,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids."""
+        self.words.turn()
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        ids = self.learn(set().union(*words)) if words else {}
+        latin = [not o and is_latin(t) for t, o in zip(texts, odd, strict=True)]
+        words = [[] if o or a else t.split() for t, o, a in zip(texts, odd, latin, strict=True)]
+        ids = self.learn(set().union(*words)) if any(words) else {}
         whole = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
-        return [next(whole) if o else b"".join(map(ids.__getitem__, w)) for w, o in zip(words, odd, strict=True)]
+        own = self.words.__getitem__
+        return [b"".join(map(own, t.lower().split())) if a else next(whole) if o else b"".join(map(ids.__getitem__, w)) for t, w, o, a in zip(texts, words, odd, latin, strict=True)]
 
 
 @lru_cache(maxsize=1)

@@ -106,3 +106,21 @@ def test_mix(docs):
         taken = [r["whole"] * r["size"] + r["extra"] for r in own]
         assert all(r["target"] == pytest.approx(float(targets[i])) for r in own) and abs(sum(taken) - float(targets[i])) <= 1
         assert all(n <= 3 * r["size"] for n, r in zip(taken, own, strict=True))
+
+
+def test_latin_words_are_the_tokenizers_by_its_model_alone(monkeypatch):
+    e = packing.Encoder(tokencount.tokenizer_path(packing.MODEL))
+    rng = np.random.default_rng(5)
+    marks = [chr(x) for x in range(0x100) if not 0x1C <= x <= 0x1F]
+    texts = ["".join(rng.choice(marks, 200)) for _ in range(300)]
+    texts += ["It's THEY'RE i'd''s o'clock x'LL 'S ''ve _a_1b²c¼ aªbºµ ÀÉÿß×÷ end.,;*** $$$ a\x85b\xa0c\x7f\xad", "word " * 50 + "y" * 300, "", " \n"]
+    texts += ["<|startoftext|> A<|endoftext|>B", "a<|STARTOFTEXT|>b", "Ünder Ж İI ſt œuvre á é"]
+    monkeypatch.setattr(packing, "WORDS", 500)
+    want = e.whole(texts)
+    for i in range(0, len(texts), 20):
+        assert e.encode(texts[i : i + 20]) == want[i : i + 20]
+    assert all(len(w) <= packing.LONG_WORD for w in e.words) and len(e.words) < 5000
+    monkeypatch.setattr(e, "whole", list)  # of no texts
+    monkeypatch.setattr(e, "letters", None)
+    latin = [i for i in range(304) if "<|" not in texts[i]]
+    assert len(latin) > 250 and e.encode([texts[i] for i in latin]) == [want[i] for i in latin]
