@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions.kernels import Theta, covariance, distances
+from terrane.models import api
 from terrane.models.linalg import Graph, column_products, pcg, wishart
 from terrane.operators import crosscov, neighbors, vecchia
 from terrane.sources import tables
@@ -361,3 +362,15 @@ def test_grid_parents_over_tiles_with_holes_and_repeats(spark, monkeypatch):
     assert of(neighbors.patterns_of(neighbors.grid_parents(grid, 15))) == of(neighbors.grid_patterns(dag))
     # As many rows go through an exchange as there are cells, or some more; not one for each offset.
     assert "Window" not in dag._jdf.queryExecution().executedPlan().toString()
+
+
+def test_max_min_order_does_not_depend_on_the_number_of_places(spark, monkeypatch):
+    """However many places there seem to be, fits and graphs have the exact order; the one by levels is to be asked for."""
+    xy = np.random.default_rng(5).uniform(size=(300, 2))
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "loc_id bigint, x double, y double")
+    exact = neighbors.max_min_order(xy).tolist()
+    want = {tuple(r) for r in neighbors.vecchia_dag(points, 3).select("node", "parent", "k").collect()}
+    monkeypatch.setattr(type(points), "count", lambda self: 10**7)
+    assert [r["loc_id"] for r in api.ordered(points, "maxmin").orderBy("ord").collect()] == exact
+    assert {tuple(r) for r in neighbors.vecchia_dag(points, 3).select("node", "parent", "k").collect()} == want
+    assert [r["loc_id"] for r in api.ordered(points, "levels").orderBy("ord").collect()] != exact
