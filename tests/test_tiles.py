@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.models import api, sampler, tiles
+from terrane.models import api, chains, sampler, tiles
 from terrane.operators import neighbors
 from test_models import frames, simulated, small_tables
 
@@ -80,3 +81,43 @@ def test_by_default_chains_of_many_places_go_over_tiles(spark, monkeypatch):
     fit = api.fit(*frames(spark, xy, y), m=4, iters=2, model="latent", start=start, order="id")
     assert fit.info["tiles"] == 4 and fit.draws.filter("param = 'W'").count() == 2 * 2 * 60  # no more than there are cores
     assert "tiles" not in api.fit(*frames(spark, xy, y), m=4, iters=2, model="latent", start=start | {"w": np.zeros((60, 2))}, order="id").info
+
+
+def test_variational_fits_of_many_places_go_over_tiles(spark, monkeypatch):
+    """Their estimates are near those of one task, and all places and missing outcomes are there."""
+    xy, y, _, thetas = simulated(400, 2, 0.5, 0.3, 21, gone=0.05)
+    start = {"beta": np.zeros((1, 2)), "sigma": np.eye(2), "thetas": [tuple(t) for t in thetas], "noise": np.full(2, 0.09)}
+    options = dict(m=8, model="latent", method="vi", start=start, order="id", tol=0.03, predictive=3)
+    one = api.fit(*frames(spark, xy, y), **options)
+    monkeypatch.setattr(api, "CHAIN_ROWS", 100, raising=False)
+    monkeypatch.setattr(api, "ONE_TASK", 100)
+    monkeypatch.setattr(tiles, "TILE_ROWS", 100)
+    many = api.fit(*frames(spark, xy, y), **options)
+    assert many.info["tiles"] == 4 and "tiles" not in one.info
+    count = lambda f: {(r["param"], r["count"]) for r in f.draws.filter("param not in ('rel_change')").groupBy("param").count().collect()}
+    assert count(one) == count(many)
+    a, b = ({(r.param, r.i, r.j): r.value for r in f.draws.filter("iter = 0").collect()} for f in (one, many))
+    assert a.keys() == b.keys()
+    far = lambda p: np.sqrt(np.mean([(a[k] - b[k]) ** 2 for k in a if k[0] == p]))
+    assert far("W") < 0.1 and far("Sigma") < 0.1 and far("Ddiag") < 0.02 and far("Beta") < 0.15
+    assert len(api.imputed(many).select("loc_id", "outcome").distinct().collect()) == (~np.isfinite(y)).sum()
+
+
+def test_solves_over_tiles_are_those_of_one_task(spark):
+    """H x is a whitened process; solved back over tiles it is the process."""
+    xy, y, _, thetas = simulated(300, 2, 0.5, 0.3, 5)
+    locs, obs, design = frames(spark, xy, y)
+    edges, ranks = neighbors.ordered_knn(locs, 6), neighbors.ranked(locs).select("loc_id", "ord")
+    start = {"beta": np.zeros((1, 2)), "sigma": np.eye(2), "thetas": [tuple(t) for t in thetas], "noise": np.ones(2)}
+    dealt = tiles.tile_rows(api.model_rows(locs, obs, design, ranks, edges), ranks, locs, edges, None, 3)
+    make = tiles.maker(start, [0.0, 0.0], {"latent": True}, 1)
+
+    def run(batches):
+        own = pa.Table.from_batches(batches)
+        state, _ = make(own, own["tile"][0].as_py(), 1)
+        off = max(np.abs(state.h_solve(f, state.v[:, [j]])[:, 0] - state.w[:, j]).max() for j, f in enumerate(state.factors))
+        yield pa.RecordBatch.from_arrays([pa.array([len(state.w)]), pa.array([off])], ["n", "off"])
+
+    numbers = spark.createDataFrame([(s, t) for t, s in enumerate(chains.slots(spark, 3))], "slot int, tile int")
+    got = dealt.join(F.broadcast(numbers), "tile").repartition(3, "slot").mapInArrow(run, "n bigint, off double", barrier=True).collect()
+    assert sum(r["n"] for r in got) == 300 and max(r["off"] for r in got) < 1e-9
