@@ -374,3 +374,23 @@ def test_max_min_order_does_not_depend_on_the_number_of_places(spark, monkeypatc
     assert [r["loc_id"] for r in api.ordered(points, "maxmin").orderBy("ord").collect()] == exact
     assert {tuple(r) for r in neighbors.vecchia_dag(points, 3).select("node", "parent", "k").collect()} == want
     assert [r["loc_id"] for r in api.ordered(points, "levels").orderBy("ord").collect()] != exact
+
+
+def test_columns_of_bins_end_at_the_diagonal(spark):
+    """Half of the pairs are made, and bins of one outcome and of two have both orders of each pair."""
+    xy = places(70, 4)
+    parents = near(xy, 4)
+    p = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(xy)], "loc_id bigint, x double, y double")
+    edges = spark.createDataFrame([(i, int(q), k) for i, ps in enumerate(parents) for k, q in enumerate(ps, 1)], "node bigint, parent bigint, k int")
+    thetas, graph, d = [THETA, Theta(9.0, 1.0, 0.5, 0.0)], Graph(xy, parents), distances(xy, xy)
+    l = [np.linalg.inv(graph.factor(t).dense()) for t in thetas]
+    net = crosscov._by_depth(crosscov.net(p, edges))
+    made = [crosscov._factor(net, np.arange(70), t, 1) for t in thetas]
+    part = np.array([5, 20, 33])
+    got = crosscov._down_to(net, part, *made)
+    assert got.shape == (34, 3) and np.allclose(got, (l[0] @ l[1].T)[np.ix_(net.ids[:34], net.ids[part])])
+    for i, j in ((1, 2), (2, 1), (1, 1)):
+        c = l[i - 1] @ l[j - 1].T
+        bin_ = np.where(d <= 0.6, np.minimum((d / (0.6 / 7)).astype(int), 6), 7)
+        for r in crosscov.binned(p, edges, thetas, i, j, bins=7, most=0.6).collect():
+            assert r["pairs"] == (bin_ == r["bin"]).sum() and r["value"] == pytest.approx(c[bin_ == r["bin"]].mean())
